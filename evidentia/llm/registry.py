@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, byte_repeats, simhash
+from evidentia.llm import bpe, byte_repeats, mixing, simhash, sketches
 from evidentia.llm.common import table
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -18,11 +22,15 @@ def op7_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_round_trip, op7_simhash_classes, op10_byte_repeats)}
+QUERIES = {f.__name__: f for f in (op1_mix, op5_bpe_round_trip, op7_simhash_classes, op8_sketches, op10_byte_repeats)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_mix": mixing.SQL}
