@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, byte_repeats, mixing, simhash, sketches
+from evidentia.llm import bpe, byte_repeats, mixing, quality, simhash, sketches, toxicity
 from evidentia.llm.common import table
 
 
@@ -13,10 +13,23 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def _classified(spark: SparkSession, sf_dir: str, kind, label: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return kind.scores(docs, kind.fit(docs, labels, label)).withColumn("predicted", (F.col("score") >= kind.THRESHOLD).cast("int"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality, "quality")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity, "toxic")
+
+
 def op7_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -30,7 +43,7 @@ def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op5_bpe_round_trip, op7_simhash_classes, op8_sketches, op10_byte_repeats)}
+QUERIES = {f.__name__: f for f in (op1_mix, op4_quality, op5_bpe_round_trip, op6_toxicity, op7_simhash_classes, op8_sketches, op10_byte_repeats)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {"op1_mix": mixing.SQL}
