@@ -33,7 +33,7 @@ SAMPLE_CHARS = 200_000
 FEATURES = 4000
 #: A feature counts from so many distinct texts on.
 LEAST_TEXTS = 6
-#: The log odds from which a feature tells a text toxic.
+#: The log odds, less two standard errors, from which a feature tells a text toxic.
 ODDS = 2.0
 PENALTY = 4.0
 THRESHOLD = 0.5
@@ -186,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         return None
     toxic, clean = (F.col("toxic") + 0.5) / (sizes[1] + 1.0), (F.col("clean") + 0.5) / (sizes[0] + 1.0)
     odds = F.log(toxic / clean)
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     least = min(LEAST_TEXTS, max(2, sizes[1] // 4))
-    table = _count(sample).filter(F.col("toxic") + F.col("clean") >= least).filter(odds > ODDS)
+    table = _count(sample).filter(F.col("toxic") + F.col("clean") >= least).filter(odds - 2 * error > ODDS)
     told = odds * F.sqrt(F.col("toxic") + F.col("clean"))
     names = [r["feature"] for r in table.orderBy(told.desc(), "feature").limit(FEATURES).collect()]
     vocabulary = {f: i for i, f in enumerate(names)}
