@@ -15,7 +15,7 @@ each once for each block of documents. The text itself crosses the network once:
 read the same exchange. A minimiser with many occurrences arrives once for each block, with the
 smallest doc_id there.
 
-Values: a null text is empty, a null doc_id comes before all others, rows with equal doc_id never
+Values: a null text is empty, a null doc_id comes before all others (and stays null), rows with equal doc_id never
 remove from each other, documents shorter than ``k`` bytes are kept whole, an empty table gives an
 empty result. Other columns are not touched.
 """
@@ -111,8 +111,8 @@ class _Block:
     """One block's documents, in an order that follows from their rows alone."""
 
     def __init__(self, table: pa.Table, k: int, parts: int) -> None:
-        ids, texts = table.column("doc_id").to_pylist(), [x.encode() for x in table.column("text").to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        ids, texts = table.column("_id").to_pylist(), [x.encode() for x in table.column("text").to_pylist()]
+        self.order = order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.texts = [texts[i] for i in order]
         self.buffer = b"".join(self.texts)
@@ -280,7 +280,7 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _find_keys(k: int, parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
-        block = t.column("block")[0].as_py()
+        block = t.column("_block")[0].as_py()
         rows = [(block, p, keys.tobytes() + np.packbits(twice).tobytes()) for p, (keys, twice) in _Block(t, k, parts).keys().items()]
         return pa.Table.from_batches([_blobs(rows)])
 
@@ -316,7 +316,7 @@ def _send_strings(k: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table
     def run(docs: pa.Table, bits: pa.Table) -> pa.Table:
         rows = []
         if len(docs) and len(bits):
-            block = docs.column("block")[0].as_py()
+            block = docs.column("_block")[0].as_py()
             b = _Block(docs, k, parts)
             for p, (strings, _, least, at) in b.strings(dict(zip(bits.column("part").to_pylist(), bits.column("blob").to_pylist(), strict=True))).items():
                 head = np.array([len(strings)], np.int64).tobytes() + np.array(least, np.int64).tobytes() + b.key[at].tobytes() + np.array([len(s) for s in strings], np.uint8).tobytes()
@@ -387,35 +387,54 @@ def _spans(b: _Block, bits: dict[int, bytes], masks: dict[int, bytes]) -> tuple[
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _apply(k: int, parts: int, text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _apply(k: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, sent: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        if len(docs):
-            b = _Block(docs, k, parts)
-            by = {0: {}, 1: {}}
-            for kind, p, blob in zip(sent.column("kind").to_pylist(), sent.column("part").to_pylist(), sent.column("blob").to_pylist(), strict=True):
-                by[kind][p] = blob
-            start, stop = _spans(b, by[0], by[1])
-            at = np.searchsorted(start, np.concatenate([[0], b.ends]))
-            begin = 0
-            for i, raw in enumerate(b.texts):
-                spans = [(int(x) - begin, int(y) - begin) for x, y in zip(start[at[i] : at[i + 1]], stop[at[i] : at[i + 1]], strict=True)]
-                begin = int(b.ends[i])
-                if text:
-                    rows.append((int(b.ids[i]), raw.decode(), cut_text(raw, spans)))
-                else:
-                    kept, to = [], 0
-                    for x, y in spans:
-                        kept.append(raw[to:x])
-                        to = y
-                    kept.append(raw[to:])
-                    rows.append((int(b.ids[i]), len(raw), sum(y - x for x, y in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest()))
-        names = [("doc_id", pa.int64()), ("text", pa.string()), ("kept", pa.string())] if text else [(c, pa.string() if c == "kept_sha256" else pa.int64()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")]
-        return pa.table({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(names)})
+        for i, raw, spans in _cuts(docs, sent, k, parts):
+            kept, to = [], 0
+            for x, y in spans:
+                kept.append(raw[to:x])
+                to = y
+            kept.append(raw[to:])
+            rows.append((docs.column("doc_id")[i].as_py(), len(raw), sum(y - x for x, y in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest()))
+        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        return pa.table({c: pa.array([r[i] for r in rows], pa.string() if c == "kept_sha256" else pa.int64()) for i, c in enumerate(names)})
 
     return run
 
 
+def _clean(k: int, parts: int, columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(docs: pa.Table, sent: pa.Table) -> pa.Table:
+        order, texts = [], []
+        for i, raw, spans in _cuts(docs, sent, k, parts):
+            order.append(i)
+            texts.append(cut_text(raw, spans))
+        out = docs.select(columns).take(pa.array(order, pa.int64()))
+        out = out.set_column(columns.index("text"), "text", pa.array(texts, pa.string()))
+        if "n_chars" in columns:
+            at = columns.index("n_chars")
+            out = out.set_column(at, "n_chars", pa.array([len(t) for t in texts], out.schema.field(at).type))
+        return out
+
+    return run
+
+
+def _cuts(docs: pa.Table, sent: pa.Table, k: int, parts: int) -> Iterator[tuple[int, bytes, list[tuple[int, int]]]]:
+    """(row, bytes, removed spans) of each of a block's documents."""
+    if not len(docs):
+        return
+    b = _Block(docs, k, parts)
+    by: dict[int, dict[int, bytes]] = {0: {}, 1: {}}
+    for kind, p, blob in zip(sent.column("kind").to_pylist(), sent.column("part").to_pylist(), sent.column("blob").to_pylist(), strict=True):
+        by[kind][p] = blob
+    start, stop = _spans(b, by[0], by[1])
+    at = np.searchsorted(start, np.concatenate([[0], b.ends]))
+    begin = 0
+    for i, raw in enumerate(b.texts):
+        yield b.order[i], raw, [(int(x) - begin, int(y) - begin) for x, y in zip(start[at[i] : at[i + 1]], stop[at[i] : at[i + 1]], strict=True)]
+        begin = int(b.ends[i])
+
+
 def cut_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
     """What is left as text: a span that begins or ends inside a code point leaves that code point whole."""
     kept, to = [], 0
@@ -430,25 +449,28 @@ def cut_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join(kept).decode()
 
 
-def _plan(docs: DataFrame, k: int, block_bytes: int, text: bool) -> DataFrame:
+def _plan(docs: DataFrame, k: int, block_bytes: int, clean: bool) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length(text_of())).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
-    blocked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    by_block = blocked.groupBy("block")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    blocked = docs.withColumn("text", text_of()).withColumn("_id", own).withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
+    by_block = blocked.groupBy("_block")
     keys = by_block.applyInArrow(_find_keys(k, blocks), _BLOB)
     bits = keys.groupBy("part").applyInArrow(_repeated_keys, _BLOB)
     strings = by_block.cogroup(bits.groupBy("block")).applyInArrow(_send_strings(k, blocks), _BLOB)
     masks = strings.groupBy("part").applyInArrow(_index_strings(k), _BLOB)
     both = bits.withColumn("kind", F.lit(0)).unionByName(masks.withColumn("kind", F.lit(1)))
-    out = "doc_id long, text string, kept string" if text else _RESULT
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(_apply(k, blocks, text), out)
+    together = by_block.cogroup(both.groupBy("block"))
+    if clean:
+        return together.applyInArrow(_clean(k, blocks, docs.columns), docs.withColumn("text", text_of()).schema)
+    return together.applyInArrow(_apply(k, blocks), _RESULT)
 
 
 def remove_repeats(docs: DataFrame, k: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans and kept_sha256 after each byte goes that a ``k``-byte string covers which also starts in a document with a smaller doc_id."""
-    return _plan(docs, k, block_bytes, False)
+    return _plan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, block_bytes, False)
 
 
-def kept_texts(docs: DataFrame, k: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text, kept): each document's text and what is left of it."""
+def cleaned(docs: DataFrame, k: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents' columns, with what is left of each text (code points are left whole) and, if there is n_chars, its code points."""
     return _plan(docs, k, block_bytes, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, byte_repeats, mixing, quality, simhash, sketches, toxicity
+from evidentia.llm import bpe, byte_repeats, lm, media, mixing, pages, quality, simhash, sketches, toxicity
 from evidentia.llm.common import table
 
 
@@ -13,6 +13,15 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents by how much more they are like the conversations than like the documents."""
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+
+
 def _classified(spark: SparkSession, sf_dir: str, kind, label: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return kind.scores(docs, kind.fit(docs, labels, label)).withColumn("predicted", (F.col("score") >= kind.THRESHOLD).cast("int"))
@@ -39,11 +48,15 @@ def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op4_quality, op5_bpe_round_trip, op6_toxicity, op7_simhash_classes, op8_sketches, op10_byte_repeats)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_main_text, op3_cross_entropy_difference, op4_quality, op5_bpe_round_trip, op6_toxicity, op7_simhash_classes, op8_sketches, op9_media, op10_byte_repeats)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {"op1_mix": mixing.SQL}

@@ -2,8 +2,9 @@
 
 Fingerprints: the majority of each bit over the XXH64 of all word shingles, repeats included.
 
-Links: two fingerprints that differ in at most ``bits`` (3) of 64 agree on at least one of four 16-bit
-blocks, so distinct fingerprints meet in cells, one for each block's value. In a cell they are sorted by
+Links: two fingerprints that differ in at most 3 of 64 bits agree on at least one of four 16-bit blocks
+(at most 6 bits: on two of eight 8-bit blocks), so distinct fingerprints meet in cells, one for each value
+of the blocks. In a cell they are sorted by
 Gray rank, in which fingerprints that share leading bits stand together and neighbours differ little. The
 shared leading patterns of 32 and 48 bits form the upper nodes of the index. A pair of nodes is followed
 only while the differences counted so far stay within the limit, and not at all once every fingerprint
@@ -11,6 +12,10 @@ below both is known to be in one component; so whole groups are pruned. A cell g
 never all its pairs. A cell of more than ``CELL`` fingerprints is cut into shares, and each two shares
 meet in a task of their own, so no task holds an unbounded group and no pair is left out.
 
+Near copies (``representatives``): fingerprints of the distinct words find candidates of up to 6 bits
+in the same index, and a pair counts if 128-bit fingerprints of five-word shingles differ in at most
+``CHECK_BITS``, where the Jaccard coefficient is about 0.8.
+
 Components: alternating large-star and small-star steps, each cut by a checkpoint, over distinct
 fingerprints only; equal fingerprints are one vertex from the start.
 
@@ -22,6 +27,7 @@ An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,8 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import cut, text_of
 
 BITS = 3
+#: Of 128; 19 are expected at a Jaccard coefficient of 0.8.
+CHECK_BITS = 22
 #: Fingerprints of a cell that meet in one task.
 CELL = 1024
 #: Rows of a task's index, before the copies that large cells add.
@@ -100,10 +108,17 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
             return label
 
 
-def linked(cell: np.ndarray, code: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, row) of a spanning forest of the links within each cell; code: the cell's own block leads."""
+def _within(rows_a: np.ndarray, rows_b: np.ndarray, check: np.ndarray | None) -> np.ndarray:
+    if check is None:
+        return np.ones(len(rows_a), bool)
+    return np.bitwise_count(check[rows_a] ^ check[rows_b]).sum(1) <= CHECK_BITS
+
+
+def linked(cell: np.ndarray, code: np.ndarray, bits: int = BITS, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, row) of a spanning forest of the links within each cell; code: the cell's own blocks lead; check: rows of 64-bit words that must be near, too."""
     order = np.lexsort((gray_rank(code), cell))
     cell, code = cell[order], code[order]
+    check = None if check is None else check[order]
     edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     size = np.diff(np.append(edge, len(cell)))
     label = np.arange(len(cell))
@@ -111,6 +126,7 @@ def linked(cell: np.ndarray, code: np.ndarray, bits: int = BITS) -> tuple[np.nda
     edge, size = edge[many], size[many]
     # neighbours in Gray order come first: they join most of a dense group
     near = np.flatnonzero((cell[1:] == cell[:-1]) & (np.bitwise_count(code[1:] ^ code[:-1]) <= bits))
+    near = near[_within(near, near + 1, check)]
     label = _stars(len(cell), near, near + 1, label)
     budget = np.cumsum(size.astype(np.int64) ** 2) // _PAIRS
     for part in np.split(np.arange(len(edge)), np.flatnonzero(budget[1:] != budget[:-1]) + 1):
@@ -118,7 +134,8 @@ def linked(cell: np.ndarray, code: np.ndarray, bits: int = BITS) -> tuple[np.nda
             continue
         rows = np.repeat(edge[part], size[part]) + np.arange(size[part].sum()) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
         a, b = _search(cell[rows], code[rows], label[rows], bits)
-        label = _stars(len(cell), rows[a], rows[b], label)
+        keep = _within(rows[a], rows[b], check)
+        label = _stars(len(cell), rows[a[keep]], rows[b[keep]], label)
     other = np.flatnonzero(label != np.arange(len(cell)))
     return order[other], order[label[other]]
 
@@ -145,31 +162,50 @@ def _search(cell: np.ndarray, code: np.ndarray, label: np.ndarray, bits: int) ->
     return first[left], first[right]
 
 
-def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(u, v): a forest's edges, cell by cell, of the links among the distinct fingerprints ``fp``."""
-    if bits > 3:
-        raise ValueError("four blocks find links of up to 3 bits")
-    rows = prints.select("fp", F.posexplode(F.array(*[F.shiftright("fp", 48 - 16 * i).bitwiseAND(0xFFFF) for i in range(4)])).alias("at", "value"))
-    rows = rows.select("fp", (F.col("at") * 65536 + F.col("value")).cast("long").alias("cell"))
+def _tables(bits: int) -> list[tuple[int, ...]]:
+    """Each table's leading bytes: codes within ``bits`` agree on the leading 16 bits of one table at least."""
+    if bits <= 3:
+        return [(2 * i, 2 * i + 1) for i in range(4)]
+    if bits <= 6:
+        return list(combinations(range(8), 2))
+    raise ValueError("links of up to 6 bits are found")
+
+
+def _turned(code: np.ndarray, table: np.ndarray, tables: list[tuple[int, ...]]) -> np.ndarray:
+    """The codes with their table's two bytes in front."""
+    raw = code.astype(">u8").view(np.uint8).reshape(-1, 8)
+    places = np.array([[*t, *(i for i in range(8) if i not in t)] for t in tables])
+    return np.take_along_axis(raw, places[table], 1).copy().view(">u8").reshape(-1).astype(np.uint64)
+
+
+def links(prints: DataFrame, bits: int = BITS, check: tuple[str, ...] = ()) -> DataFrame:
+    """(u, v): a forest's edges, cell by cell, of the links among the rows (node, fp, *check); nodes are distinct."""
+    tables = _tables(bits)
+    byte = lambda i: F.shiftright("fp", 56 - 8 * i).bitwiseAND(0xFF)
+    values = F.array(*[byte(a) * 256 + byte(b) for a, b in tables])
+    rows = prints.select("node", "fp", *check, F.posexplode(values).alias("at", "value"))
+    rows = rows.withColumn("cell", (F.col("at") * 65536 + F.col("value")).cast("long")).drop("at", "value")
     heavy = rows.groupBy("cell").count().filter(F.col("count") > CELL).select("cell", F.ceil(F.col("count") / CELL).cast("int").alias("shares"))
     rows = rows.join(heavy, "cell", "left")
-    share = F.pmod(F.xxhash64("fp"), F.coalesce("shares", F.lit(1)).cast("long")).cast("int")
+    share = F.pmod(F.xxhash64("node"), F.coalesce("shares", F.lit(1)).cast("long")).cast("int")
     rows = rows.withColumn("share", share)
     other = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))
-    rows = rows.select("fp", "cell", "share", other.alias("other"))
-    rows = rows.select("fp", "cell", F.least("share", "other").alias("i"), F.greatest("share", "other").alias("j"))
+    rows = rows.select("node", "fp", *check, "cell", "share", other.alias("other"))
+    rows = rows.select("node", "fp", *check, "cell", F.least("share", "other").alias("i"), F.greatest("share", "other").alias("j"))
     total = prints.count()
-    shards = max(1, -(-4 * total // SHARD))
+    shards = max(1, -(-len(tables) * total // SHARD))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(shards)))
 
     def run(t: pa.Table) -> pa.Table:
-        col = {c: t.column(c).to_numpy() for c in ("fp", "cell", "i", "j")}
-        code = col["fp"].view(np.uint64)
-        turn = (16 * (col["cell"] // 65536)).astype(np.uint64)
-        turned = np.where(turn == 0, code, (code << turn) | (code >> ((np.uint64(64) - turn) % np.uint64(64))))
-        _, group = np.unique(np.stack([col["cell"], col["i"], col["j"]]), axis=1, return_inverse=True)
-        a, b = linked(group.reshape(-1), turned)
-        return pa.table({"u": col["fp"][a], "v": col["fp"][b]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+        col = {c: t.column(c).to_numpy() for c in ("node", "fp", "cell", "i", "j")}
+        code = _turned(col["fp"].view(np.uint64), col["cell"] // 65536, tables)
+        order = np.lexsort((col["j"], col["i"], col["cell"]))
+        new = np.append(False, np.any([np.diff(col[c][order]) != 0 for c in ("cell", "i", "j")], axis=0))
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new)
+        near = np.column_stack([t.column(c).to_numpy().view(np.uint64) for c in check]) if check else None
+        a, b = linked(group, code, bits, near)
+        return pa.table({"u": col["node"][a], "v": col["node"][b]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     return rows.groupBy("shard").applyInArrow(run, "u long, v long").distinct()
 
@@ -196,8 +232,60 @@ def classes(docs: DataFrame, shingle: int = 3, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id that links of up to ``bits`` reach."""
     prints = cut(fingerprints(docs, shingle))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), bits))
+    roots = components(links(distinct.select(F.col("fp").alias("node"), "fp"), bits))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _bits(digests: bytes, size: int) -> np.ndarray:
+    """How many of the digests have each bit."""
+    return np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, size), axis=1).sum(0, dtype=np.int64)
+
+
+def signature(text: str) -> tuple[int, int, int]:
+    """The fingerprint of the distinct words, and the two halves of the 128-bit one of the five-word shingles; as signed longs."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    if not words:
+        return 0, 0, 0
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    if len(words) > 5:
+        spans = list(zip(starts[:-4].tolist(), ends[4:].tolist(), strict=True))
+    else:
+        spans = [(0, len(line))]
+    single = xxhash.xxh64_digest
+    vocabulary = sorted(set(words))
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(vocabulary), _CHUNK):
+        counts += _bits(b"".join([single(w, 42) for w in vocabulary[a : a + _CHUNK]]), 8)
+    double = xxhash.xxh128_digest
+    wide = np.zeros(128, np.int64)
+    for a in range(0, len(spans), _CHUNK):
+        wide += _bits(b"".join([double(line[x:y], 42) for x, y in spans[a : a + _CHUNK]]), 16)
+    raw = np.packbits(counts * 2 > len(vocabulary)).tobytes() + np.packbits(wide * 2 > len(spans)).tobytes()
+    return tuple(int.from_bytes(raw[i : i + 8], "big", signed=True) for i in (0, 8, 16))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, but for those near to one of a smaller doc_id (rows without doc_id stay)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(t.as_py()) for t in batch.column("text")]
+            cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
+            yield pa.record_batch([batch.column("doc_id"), *cols], ["doc_id", "fp", "c1", "c2"])
+
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    prints = cut(rows.mapInArrow(run, "doc_id long, fp long, c1 long, c2 long"))
+    classes = cut(prints.groupBy("fp", "c1", "c2").agg(F.min("doc_id").alias("node")))
+    # a doc_id of several rows with different texts may stand for several classes
+    nodes = classes.dropDuplicates(["node"])
+    roots = components(links(nodes, 6, ("c1", "c2"))).filter("node <> root").select("node")
+    copies = prints.join(classes, ["fp", "c1", "c2"]).filter("doc_id <> node").select("doc_id")
+    gone = copies.unionByName(roots.select(F.col("node").alias("doc_id"))).distinct()
+    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs.doc_id == F.col("_gone"), "left_anti")
