@@ -9,6 +9,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values
 STOPWORDS = ("the", "a", "an", "of", "to", "and", "or", "for", "with", "about", "how", "what", "which", "why", "who", "when", "where", "is", "are", "was", "were", "do", "does", "did", "can", "could", "should", "would", "related", "show", "find", "list", "recent", "get", "see", "me", "my", "our", "your", "this", "that", "these", "those")
@@ -18,7 +19,7 @@ DAY_MICROS = 86_400_000_000
 
 # text
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
@@ -131,7 +132,7 @@ def wiki_title(title: str) -> str:
     return words[:1].upper() + words[1:]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_title(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else wiki_title(x))
 
@@ -145,7 +146,7 @@ def wiki_links(text: str) -> list[str]:
     return [t for t in map(wiki_title, articles) if t]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def link_targets(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else wiki_links(x))
 
@@ -169,7 +170,7 @@ def wiki_plain(text: str) -> str:
     return text.strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain_text(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else wiki_plain(x))
 

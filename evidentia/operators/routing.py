@@ -16,7 +16,8 @@ from evidentia.operators import retrieval
 
 # Fixed values
 PROTOTYPES = (
-    ("greeting", "tier0", "hi hello hey good morning thanks goodbye"),
+    ("greeting", "tier0", "hello hi hey good morning thanks thank you"),
+    ("farewell", "tier0", "bye goodbye see you later"),
     ("off_topic", "tier0", "write a poem tell a joke a recipe the weather sing a song write a story"),
     ("recall", "tier_tools", "what changed recently show the project status list recent activity"),
     ("lookup", "tier_tools", "find files related to this show connections between documents and people"),

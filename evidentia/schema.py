@@ -17,15 +17,22 @@ GENERATED = ("claim", "hypothesis", "derived")
 STRUCTURAL = ("links_to", "child_of")
 TYPE_FORMAT = "^[a-z][a-z0-9_]*$"
 
-EVENT = T.StructType.fromDDL("source string, provenance string, origin string, occurred_at string, entities array<struct<type: string, key: string, scope: string, content: string>>, relations array<struct<`from`: string, `to`: string, type: string>>, seq long")
-NODE = T.StructType.fromDDL("id long, type string, key string, scope string, kind string, reliability double, created_at timestamp")
-EVIDENCE = T.StructType.fromDDL("src long, dst long, type string, scope string, provenance string, origin string, seq long, ts timestamp, weight double, reliability double, kind string")
-EDGE = T.StructType.fromDDL("src long, dst long, type string, scope string, weight double, reliability double, kind string, seen_count int, last_seen timestamp, reward double")
-CHUNK = T.StructType.fromDDL("id long, node_id long, ordinal int, text string, vec array<float>, token_count int")
-OUTBOX = T.StructType.fromDDL("seq long, change string, target_key string, payload string, idem_key string")
-DEAD_LETTER = T.StructType.fromDDL("payload string, reason string")
-STAGNANT = T.StructType.fromDDL("reason string, ref string, detail string")
-ANSWER = T.StructType.fromDDL("status string, answer string, confidence double, tier string, citations array<struct<source: string, ref: string, confidence: double>>")
+_SIMPLE = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "floats": T.ArrayType(T.FloatType())}
+
+
+def _struct(**fields: str | T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n.rstrip("_"), _SIMPLE[k] if isinstance(k, str) else k) for n, k in fields.items()])
+
+
+EVENT = _struct(source="string", provenance="string", origin="string", occurred_at="string", entities=T.ArrayType(_struct(type="string", key="string", scope="string", content="string")), relations=T.ArrayType(_struct(from_="string", to="string", type="string")), seq="long")
+NODE = _struct(id="long", type="string", key="string", scope="string", kind="string", reliability="double", created_at="timestamp")
+EVIDENCE = _struct(src="long", dst="long", type="string", scope="string", provenance="string", origin="string", seq="long", ts="timestamp", weight="double", reliability="double", kind="string")
+EDGE = _struct(src="long", dst="long", type="string", scope="string", weight="double", reliability="double", kind="string", seen_count="int", last_seen="timestamp", reward="double")
+CHUNK = _struct(id="long", node_id="long", ordinal="int", text="string", vec="floats", token_count="int")
+OUTBOX = _struct(seq="long", change="string", target_key="string", payload="string", idem_key="string")
+DEAD_LETTER = _struct(payload="string", reason="string")
+STAGNANT = _struct(reason="string", ref="string", detail="string")
+ANSWER = _struct(status="string", answer="string", confidence="double", tier="string", citations=T.ArrayType(_struct(source="string", ref="string", confidence="double")))
 
 
 def scope_rank(scope: Column) -> Column:
