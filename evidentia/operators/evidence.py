@@ -1,6 +1,6 @@
 """The evidence log and its folds: upserts and reinforcement as pure functions of append-only rows.
 
-``seq`` is the total order of arrival. Every fold is one aggregation with partial sums over the edge's
+``seq`` is the order of arrival; events of one number are ordered by time and then by their values. Every fold is one aggregation with partial sums over the edge's
 natural key; none needs the rows of a key together.
 """
 
@@ -21,8 +21,8 @@ def witness() -> Column:
 
 def classified(events: DataFrame) -> DataFrame:
     """Adds ``outcome``: duplicate (the edge has the provenance already), existing_origin, or new_origin."""
-    by_provenance = Window.partitionBy(*EDGE_KEY, "provenance").orderBy("seq")
-    by_origin = Window.partitionBy(*EDGE_KEY, witness()).orderBy("seq")
+    by_provenance = Window.partitionBy(*EDGE_KEY, "provenance").orderBy("seq", "ts")
+    by_origin = Window.partitionBy(*EDGE_KEY, witness()).orderBy("seq", "ts")
     ranked = events.withColumn("_p", F.row_number().over(by_provenance)).withColumn("_o", F.row_number().over(by_origin))
     outcome = F.when(F.col("_p") > 1, "duplicate").when(F.col("_o") > 1, "existing_origin").otherwise("new_origin")
     return ranked.withColumn("outcome", outcome).drop("_p", "_o")
@@ -35,18 +35,19 @@ def fold_edges(events: DataFrame, rewards: DataFrame | None = None) -> DataFrame
     ``last_seen`` the time of the latest first event of a witness: repeats refresh nothing. rewards:
     (src, dst, type, scope, reward, seq), the latest holds.
     """
-    per_witness = events.groupBy(*EDGE_KEY, witness().alias("witness")).agg(F.min_by("ts", "seq").alias("ts"), F.min_by(F.struct("seq", *[c for c in ("weight", "reliability", "kind") if c in events.columns]), "seq").alias("first"))
-    kept = [F.min_by(f"first.{c}", "first.seq").alias(c) for c in ("weight", "reliability", "kind") if c in events.columns]
-    edges = per_witness.groupBy(*EDGE_KEY).agg(*kept, F.count("*").cast("int").alias("seen_count"), F.max("ts").alias("last_seen"))
+    kept = [c for c in ("weight", "reliability", "kind") if c in events.columns]
+    per_witness = events.groupBy(*EDGE_KEY, witness().alias("witness")).agg(F.min(F.struct("seq", "ts", *kept)).alias("first"))
+    edges = per_witness.groupBy(*EDGE_KEY).agg(F.min("first").alias("_f"), F.count("*").cast("int").alias("seen_count"), F.max("first.ts").alias("last_seen"))
+    edges = edges.select(*EDGE_KEY, *[F.col(f"_f.{c}").alias(c) for c in kept], "seen_count", "last_seen")
     if rewards is None:
         return edges.withColumn("reward", F.lit(0.0))
-    latest = rewards.groupBy(*EDGE_KEY).agg(F.max_by("reward", "seq").alias("reward"))
+    latest = rewards.groupBy(*EDGE_KEY).agg(F.max(F.struct("seq", "reward"))["reward"].alias("reward"))
     return edges.join(latest, list(EDGE_KEY), "left").withColumn("reward", F.coalesce("reward", F.lit(0.0)))
 
 
 def provenances(events: DataFrame) -> DataFrame:
     """One row for each edge and provenance, with its first event's origin."""
-    return events.groupBy(*EDGE_KEY, "provenance").agg(F.min_by("origin", "seq").alias("origin"))
+    return events.groupBy(*EDGE_KEY, "provenance").agg(F.min(F.struct("seq", "ts", "origin"))["origin"].alias("origin"))
 
 
 def close_aliases(aliases: DataFrame, rounds: int = 32) -> DataFrame:

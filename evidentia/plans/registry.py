@@ -78,7 +78,7 @@ def nodes_sql(*names: str) -> str:
 
 
 #: The edge fold by windows.
-FOLD = """d0 AS (SELECT *, row_number() OVER (PARTITION BY src, dst, type, scope, provenance ORDER BY seq) AS pn, row_number() OVER (PARTITION BY src, dst, type, scope, coalesce(origin, provenance) ORDER BY seq) AS wn, row_number() OVER (PARTITION BY src, dst, type, scope ORDER BY seq) AS fn, row_number() OVER (PARTITION BY src, dst, type, scope ORDER BY seq DESC) AS ln FROM ev),
+FOLD = """d0 AS (SELECT *, row_number() OVER (PARTITION BY src, dst, type, scope, provenance ORDER BY seq, ts) AS pn, row_number() OVER (PARTITION BY src, dst, type, scope, coalesce(origin, provenance) ORDER BY seq, ts) AS wn, row_number() OVER (PARTITION BY src, dst, type, scope ORDER BY seq, ts, weight, reliability, kind) AS fn, row_number() OVER (PARTITION BY src, dst, type, scope ORDER BY seq DESC, reward DESC) AS ln FROM ev),
 edge AS (SELECT src, dst, type, scope, max(CASE WHEN fn = 1 THEN weight END) AS weight, max(CASE WHEN fn = 1 THEN reliability END) AS reliability, max(CASE WHEN fn = 1 THEN kind END) AS kind, CAST(sum(CASE WHEN wn = 1 THEN 1 ELSE 0 END) AS INTEGER) AS seen_count, max(CASE WHEN wn = 1 THEN ts END) AS last_seen, max(CASE WHEN ln = 1 THEN reward END) AS reward FROM d0 GROUP BY src, dst, type, scope)"""
 
 
@@ -484,10 +484,10 @@ def segment_markdown(t: Tables) -> DataFrame:
     return content.segmented(t.documents.select(F.col("doc_id").alias("node_id"), F.col("text").alias("body")))
 
 
-@query("WITH v AS (SELECT vec_id % 100 AS node_id, unnest(range(1, 65)) AS i, embedding FROM {embeddings}), m AS (SELECT node_id, i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM v GROUP BY ALL) SELECT CAST(node_id AS BIGINT) AS node_id, CAST(i AS INTEGER) AS i, x FROM m")
+@query("WITH v AS (SELECT vec_id % 100 AS node_id, unnest(range(1, 65)) AS i, embedding FROM {embeddings}), m AS (SELECT node_id, i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) + 0.0 AS x FROM v GROUP BY ALL) SELECT CAST(node_id AS BIGINT) AS node_id, CAST(i AS INTEGER) AS i, x FROM m")
 def node_vec_mean(t: Tables) -> DataFrame:
     means = content.mean_vectors(t.sql(views.VECTORS))
-    return means.select("node_id", F.posexplode("vec").alias("i", "x")).select("node_id", (F.col("i") + 1).alias("i"), r6("x").alias("x"))
+    return means.select("node_id", F.posexplode("vec").alias("i", "x")).select("node_id", (F.col("i") + 1).alias("i"), (r6("x") + 0.0).alias("x"))
 
 
 _SIMS = "sims AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS cos FROM {embeddings} c, (SELECT * FROM {embeddings} WHERE vec_id % 100 = 0) q)"
