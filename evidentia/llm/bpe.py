@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import text_of
+from evidentia.llm.common import release, text_of
 
-MAX_STATES = 200_000
-MAX_PAIRS = 1_000_000
-MAX_PIECES = 300_000
+MAX_STATES = 120_000
+MAX_PAIRS = 500_000
+MAX_WORDS = 150_000
+MAX_PIECES = 50_000
 #: Longer pieces are not kept.
 KEPT_PIECE = 64
 
@@ -66,18 +67,20 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((-1, 0),)
-        self.states: list[tuple[tuple[int, int], ...]] = [start]
-        self.done: list[int] = [0]
+        # a thread is (last token + 1) << 32 | place in the trie; place 0 is a token's end
+        start = (0,)
+        self.states: list[tuple[int, ...]] = [start]
+        self.done = bytearray([0])
         self.number = {start: 0}
-        self.moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
+        #: state << 8 | byte to the next state and, for each of its threads, the one it continues << 24 | (ended token + 1)
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def _state(self, threads: tuple[tuple[int, int], ...]) -> int:
+    def _state(self, threads: tuple[int, ...]) -> int:
         number = self.number.get(threads)
         if number is None:
             number = self.number[threads] = len(self.states)
             self.states.append(threads)
-            self.done.append(next(i for i, t in enumerate(threads) if t[1] == 0))
+            self.done.append(next(i for i, t in enumerate(threads) if not t & 0xFFFFFFFF))
         return number
 
     def _parts(self, token: int) -> tuple[bytes, bytes] | None:
@@ -134,28 +137,31 @@ class Transducer:
             self.pairs[key] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
-        """The next state, and for each of its threads the thread it comes from and the token it ended, or -1."""
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The next state, and for each of its threads the thread it comes from and the token it ended, if any."""
         found = []
         children, token_at = self.children, self.token
-        for i, (last, node) in enumerate(self.states[state]):
-            nxt = children[node].get(byte)
+        for i, thread in enumerate(self.states[state]):
+            nxt = children[thread & 0xFFFFFFFF].get(byte)
             if nxt is None:
                 continue
+            last = thread >> 32
             if children[nxt]:
-                found.append(((last, nxt), (i, -1)))
+                found.append((last << 32 | nxt, i << 24))
             token = token_at[nxt]
-            if token >= 0 and self.adjacent(last, token):
-                found.append(((token, 0), (i, token)))
+            if token >= 0 and self.adjacent(last - 1, token):
+                found.append(((token + 1) << 32, i << 24 | token + 1))
         found.sort()
-        return self._state(tuple(t for t, _ in found)), tuple(back for _, back in found)
+        return self._state(tuple([t for t, _ in found])), tuple([back for _, back in found])
 
     def _output(self, state: int, trail: list) -> list[int]:
         out, i = [], self.done[state]
         for back in reversed(trail):
-            i, token = back[i]
-            if token >= 0:
-                out.append(token)
+            step = back[i]
+            i = step >> 24
+            token = step & 0xFFFFFF
+            if token:
+                out.append(token - 1)
         out.reverse()
         return out
 
@@ -188,12 +194,13 @@ class _Unsafe(Exception):
 
 
 class _Kept(dict):
-    """Remembers up to 2 * MAX_PIECES entries: a full generation becomes the old one."""
+    """Remembers up to twice ``most`` entries: a full generation becomes the old one."""
 
     old: dict = {}
+    most = MAX_PIECES
 
     def keep(self, key: str, ids: tuple[int, ...]) -> None:
-        if len(self) >= MAX_PIECES:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = ids
@@ -206,6 +213,8 @@ class _Words(_Kept):
     stands around it, so the matches of such a word don't depend on the rest of the text.
     """
 
+    most = MAX_WORDS
+
     def __init__(self, pieces: _Pieces, split) -> None:
         self.pieces, self.split = pieces, split
 
@@ -301,6 +310,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         gc.set_threshold(500_000, 50, 1000)
         dec = Decoder(enc.machine.bytes_of)
         digits = {i: str(i) for i in enc.machine.bytes_of}
+        release("bpe")
         for batch in batches:
             counts, ids_sha, raw_sha = [], [], []
             for text in batch.column("text"):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import NO_ID, text_of
+from evidentia.llm.common import NO_ID, release, text_of
 
 MER = 24
 #: Text of a block, and what one index holds before it, in bytes.
@@ -280,6 +280,7 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _find_keys(k: int, parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
+        release()
         block = t.column("_block")[0].as_py()
         rows = [(block, p, keys.tobytes() + np.packbits(twice).tobytes()) for p, (keys, twice) in _Block(t, k, parts).keys().items()]
         return pa.Table.from_batches([_blobs(rows)])

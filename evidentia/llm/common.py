@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,3 +55,13 @@ def crc32(data: bytes) -> int:
 def held_out() -> Column:
     """Rows that no classifier learns from: crc32 of the decimal doc_id divides by 5."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def release(keep: str = "") -> None:
+    """Frees what other operators remember in this Python worker, which runs the tasks of one after another."""
+    for name, clear in (("bpe", "encoder.cache_clear"), ("lm", "_HASHES.clear")):
+        module = sys.modules.get(f"evidentia.llm.{name}")
+        if module is not None and name != keep:
+            for part in clear.split("."):
+                module = getattr(module, part)
+            module()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, text_of
+from evidentia.llm.common import cut, release, text_of
 
 ALPHA = 0.1
 MIX = 0.6
@@ -117,6 +117,7 @@ _KEYS = (np.uint32, np.uint32, np.uint32, np.uint32)
 
 def _count(parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
+        release("lm")
         b = _Block(t.column("text").to_pylist(), parts)
         by = [b.slices(d[0]) for d in b.distinct]
         rows = []

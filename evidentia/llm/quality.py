@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import held_out, text_of
+from evidentia.llm.common import held_out, release, text_of
 
 SAMPLE = 2500
 SAMPLE_CHARS = 40_000
@@ -124,6 +124,7 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, held_out, score) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column("text")
             out = np.concatenate([model.score([t.as_py().encode() for t in texts[a : a + 256]]) for a in range(0, len(texts), 256)] or [np.zeros(0)])

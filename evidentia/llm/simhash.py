@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, text_of
+from evidentia.llm.common import cut, release, text_of
 
 BITS = 3
 #: Of 128; 19 are expected at a Jaccard coefficient of 0.8.
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
@@ -275,6 +276,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, but for those near to one of a smaller doc_id (rows without doc_id stay)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [signature(t.as_py()) for t in batch.column("text")]
             cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]

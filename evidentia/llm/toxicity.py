@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, held_out, text_of
+from evidentia.llm.common import cut, held_out, release, text_of
 from evidentia.llm.quality import labelled_sample
 
 SAMPLE = 8000
@@ -107,6 +107,7 @@ def _count(sample: DataFrame) -> DataFrame:
     """(feature, toxic, clean): in how many texts, summed for each batch before the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             by = (Counter(), Counter())
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
@@ -201,6 +202,7 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, held_out, score) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out = [model.score(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"])
@@ -217,6 +219,7 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keep = pa.array([model.score(t.as_py() or "") < threshold for t in batch.column("text")], pa.bool_())
             yield batch.filter(keep)
