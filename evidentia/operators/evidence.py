@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia import schema
+from evidentia.operators.iterate import checkpointed
 
 EDGE_KEY = ("src", "dst", "type", "scope")
 
@@ -50,17 +51,22 @@ def provenances(events: DataFrame) -> DataFrame:
     return events.groupBy(*EDGE_KEY, "provenance").agg(F.min(F.struct("seq", "ts", "origin"))["origin"].alias("origin"))
 
 
-def close_aliases(aliases: DataFrame, rounds: int = 32) -> DataFrame:
-    """(type, alias_key, canonical_key) with chains followed to their end by pointer doubling; a cycle ends at its least key."""
-    current = aliases.select("type", "alias_key", "canonical_key")
-    for _ in range(rounds):
-        step = current.select(F.col("type"), F.col("alias_key").alias("canonical_key"), F.col("canonical_key").alias("_next"))
-        moved = current.join(step, ["type", "canonical_key"], "left")
-        moved = moved.select("type", "alias_key", F.coalesce(F.when(F.col("_next") != F.col("alias_key"), F.col("_next")), "canonical_key").alias("canonical_key"), (F.col("_next").isNotNull() & (F.col("_next") != F.col("alias_key")) & (F.col("_next") != F.col("canonical_key"))).alias("_moved"))
-        if moved.filter("_moved").isEmpty():
-            return moved.drop("_moved")
-        current = moved.drop("_moved")
-    return current
+def close_aliases(aliases: DataFrame) -> DataFrame:
+    """(type, alias_key, canonical_key) with chains followed to their end by pointer doubling; a cycle ends at its least key.
+
+    A round doubles the steps taken, so rounds are logarithmic in the longest chain; each is checkpointed.
+    """
+    current = aliases.select("type", "alias_key", "canonical_key", F.col("canonical_key").alias("low"))
+    last = None
+    while True:
+        ahead = current.select("type", F.col("alias_key").alias("canonical_key"), F.col("canonical_key").alias("_next"), F.col("low").alias("_low"))
+        current = checkpointed(current.join(ahead, ["type", "canonical_key"], "left"))
+        # rows that lead on, and the least keys seen: a chain's rows become fewer, only cycles' stay
+        now = current.agg(F.count("_next"), F.sum(F.xxhash64("alias_key", F.least("low", "_low")).cast("decimal(38,0)"))).first()
+        if now[0] == 0 or now == last:
+            return current.select("type", "alias_key", F.coalesce("_low", "canonical_key").alias("canonical_key"))
+        last = now
+        current = current.select("type", "alias_key", F.coalesce("_next", "canonical_key").alias("canonical_key"), F.least("low", "_low").alias("low"))
 
 
 def latest_aliases(log: DataFrame) -> DataFrame:

@@ -149,8 +149,10 @@ def test_merge_outcomes(spark):
 
 
 def test_alias_chains_end_at_their_end(spark):
-    log = spark.createDataFrame([("entity", "a", "b"), ("entity", "b", "c"), ("entity", "c", "d")], "type string, alias_key string, canonical_key string")
-    assert {r.alias_key: r.canonical_key for r in evidence.close_aliases(log).collect()} == {"a": "d", "b": "d", "c": "d"}
+    steps = "ab bc cd tx xy yz zx pq qp mm"
+    log = spark.createDataFrame([("entity", *s) for s in steps.split()], "type string, alias_key string, canonical_key string")
+    assert {r.alias_key: r.canonical_key for r in evidence.close_aliases(log).collect()} == dict(a="d", b="d", c="d", t="x", x="x", y="x", z="x", p="p", q="p", m="m")
+    assert evidence.close_aliases(log.limit(0)).count() == 0
 
 
 def test_contract_names_the_first_violation(spark):
