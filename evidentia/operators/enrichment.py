@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidentia import schema
 from evidentia.config import DEFAULT
 from evidentia.functions import scalars
+from evidentia.operators.iterate import checkpointed
 
 
 def novel(hash_: str, model: str, policy: int) -> Column:
@@ -113,3 +114,18 @@ def record(watermarks: DataFrame, done: DataFrame) -> DataFrame:
     """The latest watermark of each node; ``done`` has the next generation."""
     both = watermarks.unionByName(done, allowMissingColumns=True)
     return both.groupBy("node_id").agg(F.max_by(F.struct(*[c for c in both.columns if c != "node_id"]), "generation").alias("w")).select("node_id", "w.*")
+
+
+def run_pass(content: DataFrame, nodes: DataFrame, watermarks: DataFrame, degree: DataFrame, corroborated: DataFrame, model: Callable[[list[str]], list[str]], name: str, policy: int, generation: int, as_of: Column, limit: int = DEFAULT.per_pass) -> dict[str, DataFrame]:
+    """One pass over a snapshot: its summary, the queue's decisions, the claims found, and the watermarks after it.
+
+    nodes carry ``lease_until``; a queued node that somebody holds is 'locked' and left for a later pass.
+    """
+    found = candidates(content, nodes, watermarks, name, policy)
+    scored = priorities(found, degree, corroborated)
+    chosen = queue(scored, limit)
+    free = leasable(nodes, as_of).select(F.col("id").alias("node_id"), F.lit(True).alias("_free"))
+    decided = checkpointed(chosen.join(free, "node_id", "left").withColumn("decision", F.when(F.col("_free"), "enriched").otherwise("locked")).withColumn("generation", F.lit(generation)).drop("_free"))
+    work = decided.filter("decision = 'enriched'")
+    done = work.select("node_id", F.col("body_hash").alias("content_hash"), F.lit(policy).alias("policy_version"), F.lit(name).alias("model"), F.lit("fresh").alias("state"), "generation")
+    return {"summary": pass_summary(scored), "decisions": decided.drop("body"), "claims": claim_edges(extract(work, model)), "watermarks": record(watermarks, done)}

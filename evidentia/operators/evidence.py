@@ -129,3 +129,13 @@ def ranked(df: DataFrame, order: list[str], name: str, offset: int = 0) -> DataF
     sizes = placed.groupBy("_b").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
     return placed.withColumn("_r", inside).join(F.broadcast(sizes), "_b").withColumn(name, (F.col("_r") + F.col("_before") + offset).cast("long")).drop("_b", "_r", "_before")
+
+
+def latest(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row (by ``seq``) of each key: namespaces, watermarks, aliases and the like."""
+    rest = [c for c in log.columns if c not in keys and c != "seq"]
+    return log.groupBy(*keys).agg(F.max(F.struct("seq", *rest)).alias("_l")).select(*keys, *[F.col(f"_l.{c}").alias(c) for c in rest])
+
+
+def recent(log: DataFrame, n: int) -> DataFrame:
+    return log.orderBy(F.desc("seq")).limit(n)

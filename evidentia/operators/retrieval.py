@@ -118,3 +118,18 @@ def hyperplane_key(vec: Column, planes: list[list[float]]) -> Column:
     """A bucket for approximate search: a bit for each plane's side."""
     bits = [F.when(scalars.dot(vec, scalars.vector(p)) >= 0, 1 << i).otherwise(0) for i, p in enumerate(planes)]
     return sum(bits[1:], bits[0])
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """(token, id, tf): an inverted index, to be written partitioned or bucketed by token."""
+    return chunks.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
+
+
+def lexical_by_postings(index: DataFrame, chunks: DataFrame, query: str, k: int = DEFAULT.candidates) -> DataFrame:
+    """As ``lexical``, from an inverted index: only the query's tokens are read, and only the best chunks' texts."""
+    asked = index.sparkSession.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query)))).alias("token"))
+    words = [r["token"] for r in asked.collect()]
+    found = index.filter(F.col("token").isin(*words)).groupBy("id").agg(F.count("*").alias("_n"), F.sum(F.col("tf") / (F.col("tf") + 1.0)).alias("score"))
+    seen = found.filter(F.col("_n") == len(words)).join(chunks.select("id"), "id", "left_semi")
+    best = top(seen.select("id", "score"), [F.desc("score"), F.asc("id")], k, "rnk")
+    return chunks.join(F.broadcast(best), "id").select("id", "node_id", "ordinal", "text", "rnk", "score")

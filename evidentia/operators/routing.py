@@ -22,6 +22,18 @@ PROTOTYPES = (
     ("recall", "tier_tools", "what changed recently show the project status list recent activity"),
     ("lookup", "tier_tools", "find files related to this show connections between documents and people"),
 )
+LABELLED = (
+    ("hi there", "tier0"),
+    ("hello, good morning", "tier0"),
+    ("thanks, that helps", "tier0"),
+    ("goodbye for now", "tier0"),
+    ("what changed in the project recently", "tier_tools"),
+    ("show me the current status", "tier_tools"),
+    ("list recent activity", "tier_tools"),
+    ("find files related to billing", "tier_tools"),
+    ("explain the philosophical implications of quantum gravity", "escalate"),
+    ("draft a detailed strategy memo on macroeconomic policy", "escalate"),
+)
 CONFIDENCE = {"found": 0.7, "not_found": 0.3, "partial": 0.5, "error": 0.0}
 
 
@@ -49,6 +61,15 @@ def derive_band(scored: DataFrame, precision: float = DEFAULT.precision_floor) -
     return share.agg(F.coalesce(F.min(F.when(F.col("precision") >= precision, F.col("score"))), F.lit(1.0)).alias("handle"))
 
 
+def evaluated(spark: SparkSession, embed: Callable[[list[str]], list[list[float]]], precision: float = DEFAULT.precision_floor) -> tuple[DataFrame, DataFrame]:
+    """The band that the labelled messages give with an embedder, and their (score, correct)."""
+    vectors = lambda texts: [[float(x) for x in v] for v in embed(list(texts))]
+    prototypes = spark.createDataFrame([(p[0], p[1], i, v) for i, (p, v) in enumerate(zip(PROTOTYPES, vectors(p[2] for p in PROTOTYPES), strict=True))], "intent string, tier string, ordinal int, vec array<double>")
+    messages = spark.createDataFrame([(i, m[0], m[1], v) for i, (m, v) in enumerate(zip(LABELLED, vectors(m[0] for m in LABELLED), strict=True))], "id int, text string, expected string, vec array<double>")
+    scored = nearest(messages, prototypes).select("score", (F.col("tier") == F.col("expected")).alias("correct"))
+    return derive_band(scored, precision), scored
+
+
 def telemetry(routes: DataFrame) -> DataFrame:
     """(tier, n, handled): counts, and the share of all that wasn't escalated (1 for none)."""
     counts = routes.groupBy("tier").agg(F.count("*").alias("n"))

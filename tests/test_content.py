@@ -115,3 +115,31 @@ def test_answers_are_typed(spark):
     assert routing.ask(spark, "zebra", nodes, chunks, "tier_tools").status == "not_found"
     failed = routing.ask(spark, "order", nodes, chunks, "escalate", escalate=lambda q, g: (_ for _ in ()).throw(ValueError("x")))
     assert (failed.status, failed.confidence) == ("error", 0.0)
+
+
+def test_postings_agree_with_the_scan(spark):
+    chunks = _chunks(spark, [(i, i, t, None) for i, t in enumerate(["mars is red", "red red mars", "only mars", "red planet mars mars", ""])])
+    index = retrieval.postings(chunks)
+    key = lambda df: sorted((r.rnk, r.id, round(r.score, 9)) for r in df.collect())
+    assert key(retrieval.lexical_by_postings(index, chunks, "red mars", 2)) == key(retrieval.lexical(chunks, "red mars", 2))
+    assert retrieval.lexical_by_postings(index, chunks, "", 2).count() == 0
+
+
+def test_enrichment_pass_reaches_a_fix_point(spark):
+    content_ = spark.createDataFrame([(i, f"body {i}") for i in range(8)], "node_id long, body string")
+    nodes = spark.createDataFrame([(i, "claim" if i == 7 else "observation", None) for i in range(8)], "id long, kind string, lease_until timestamp")
+    marks = spark.createDataFrame([], "node_id long, content_hash string, policy_version int, model string, state string, generation int")
+    none = spark.createDataFrame([], "node long, degree long"), spark.createDataFrame([], "node long, confidence double")
+    answer = lambda texts: ['{"claims": [{"s": "Mars", "p": "is part of", "o": "Space"}]}' for _ in texts]
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    got = enrichment.run_pass(content_, nodes, marks, *none, answer, "m", 1, 1, at)
+    assert (got["summary"].first().candidate_count, got["decisions"].count(), got["claims"].count(), got["watermarks"].count()) == (7, 5, 5, 5)
+    again = enrichment.run_pass(content_, nodes, got["watermarks"], *none, answer, "m", 1, 2, at)
+    assert again["decisions"].count() == 2 and again["watermarks"].count() == 7
+    last = enrichment.run_pass(content_, nodes, again["watermarks"], *none, answer, "m", 1, 3, at)
+    assert last["decisions"].count() == 0
+
+
+def test_band_from_labelled_messages(spark):
+    band, scored = routing.evaluated(spark, lambda texts: [content.hash_embedding(t) for t in texts])
+    assert scored.count() == 10 and 0 < band.first().handle <= 1
