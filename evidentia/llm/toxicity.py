@@ -5,11 +5,11 @@ starts of 4 to 6 letters, which find inflected and compounded insults. From a sa
 ``SAMPLE`` labelled rows a class, Spark counts in how many distinct texts of either class each feature
 stands; the ``FEATURES`` most telling are the vocabulary.
 
-Training minimises the weighted log loss plus ``PENALTY`` times the squared change of the score when each
+Training minimises the log loss plus ``PENALTY`` times the squared change of the score when each
 labelled sentence's identity terms are swapped for others of their group, so that a neutral mention of a
 group is not what makes a text toxic. Labels, lang, source and doc_id are no inputs of a score.
 
-Values: a null text is empty. Without rows of both classes to learn from every score is 0 (nothing is
+Values: a null text is empty. Without rows of both classes, or any telling feature, to learn from every score is 0 (nothing is
 rejected). An empty table gives an empty result.
 """
 
@@ -149,13 +149,14 @@ class _Sparse:
         return np.bincount(self.col, g[self.row], self.width)
 
 
-def train(rows: list[tuple[int, list[int], list[int] | None]], width: int, penalty: float = PENALTY, ridge: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[int, list[int], list[int] | None]], width: int, penalty: float = PENALTY, ridge: float = 1e-5, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the whole sample; rows: (label, features, features after the swap)."""
     y = np.array([r[0] for r in rows], float)
     x = _Sparse([r[1] for r in rows], width)
     at = np.array([i for i, r in enumerate(rows) if r[2] is not None], np.int64)
     other = _Sparse([rows[i][2] for i in at], width)
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    # classes weigh as they are: a text without telling features must count as clean
+    share = np.full(len(y), 1 / max(len(y), 1))
     w, b = np.zeros(width), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -192,6 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     table = _count(sample).filter(F.col("toxic") + F.col("clean") >= least).filter(odds - 2 * error > ODDS)
     told = odds * F.sqrt(F.col("toxic") + F.col("clean"))
     names = [r["feature"] for r in table.orderBy(told.desc(), "feature").limit(FEATURES).collect()]
+    if not names:
+        return None
     vocabulary = {f: i for i, f in enumerate(names)}
     rows = sorted((r["pick"], r["y"], r["ids"], r["other"]) for r in _rows(sample, vocabulary).collect())
     w, b = train([r[1:] for r in rows], len(vocabulary))
