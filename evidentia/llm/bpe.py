@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import release, text_of
 
-MAX_STATES = 120_000
+MAX_STATES = 200_000
 MAX_PAIRS = 500_000
-MAX_WORDS = 150_000
-MAX_PIECES = 50_000
+MAX_WORDS = 350_000
+MAX_PIECES = 100_000
 #: Longer pieces are not kept.
 KEPT_PIECE = 64
 
@@ -224,7 +224,12 @@ class _Words(_Kept):
             return ids
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Unsafe
-        ids = tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + word))))
+        pieces = self.split(" " + word)
+        if len(pieces) == 1:
+            ids = tuple(self.pieces.machine.encode(pieces[0].encode()))
+        else:
+            # a match that begins with the space is a word of its own, and remembered as one
+            ids = tuple(chain.from_iterable([self[p[1:]] if p[0] == " " else self.pieces[p] for p in pieces]))
         if len(word) <= KEPT_PIECE:
             self.keep(word, ids)
         return ids
