@@ -281,38 +281,44 @@ def samples(media: bytes) -> bytes:
     return media[p + 8 : p + 8 + struct.unpack_from("<I", media, p + 4)[0]]
 
 
+Batches = Iterator[pa.RecordBatch]
+_PART = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())])
+
+
+def _inspect(batches: Batches, media: str, declared: str, names: list[str]) -> Batches:
+    for batch in batches:
+        found = [inspect(d.as_py(), t.as_py()) for d, t in zip(batch.column(media), batch.column(declared), strict=True)]
+        embedded = [[{"offset": a, "length": n, "type": k} for a, n, k in f[2]] for f in found]
+        cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array(embedded, pa.list_(_PART))]
+        yield pa.record_batch([*batch.columns, *cols], [*batch.schema.names, *names])
+
+
 def inspected(df: DataFrame, media: str, declared: str, prefix: str = "media_") -> DataFrame:
     """All columns, and ``<prefix>type, <prefix>length, <prefix>embedded``; columns of these names are replaced."""
     names = [f"{prefix}type", f"{prefix}length", f"{prefix}embedded"]
     df = df.drop(*names)
-    schema = df.schema.simpleString()[len("struct<") : -1]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(lambda batches: _inspect(batches, media, declared, names), f"{schema}, `{names[0]}` string, `{names[1]}` long, `{names[2]}` array<struct<offset:long,length:long,type:string>>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())])
-        for batch in batches:
-            found = [inspect(d.as_py(), t.as_py()) for d, t in zip(batch.column(media), batch.column(declared), strict=True)]
-            embedded = [[{"offset": a, "length": n, "type": k} for a, n, k in f[2]] for f in found]
-            cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array(embedded, pa.list_(part))]
-            yield pa.record_batch([*batch.columns, *cols], [*batch.schema.names, *names])
 
-    quoted = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) if schema else ""
-    return df.mapInArrow(run, f"{quoted}, `{names[0]}` string, `{names[1]}` long, `{names[2]}` array<struct<offset:long,length:long,type:string>>")
+def _store(batches: Batches) -> Batches:
+    for batch in batches:
+        media, sizes = [], []
+        for t in batch.column("text"):
+            raw = t.as_py().encode()
+            sizes.append(len(raw))
+            media.append(store(raw + bytes(max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))))
+        declared = pa.array(["application/octet-stream"] * len(sizes), pa.string())
+        yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), declared], ["doc_id", "n_bytes", "media", "declared"])
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, declared): each text's bytes, padded with bytes 0, in a container that is declared as plain bytes."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            media, sizes = [], []
-            for t in batch.column("text"):
-                raw = t.as_py().encode()
-                sizes.append(len(raw))
-                media.append(store(raw + bytes(max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary").withColumn("declared", F.lit("application/octet-stream"))
+def stored(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media, declared): each text's bytes, padded with bytes 0, in a container that is declared as plain bytes."""
+    return _texts(docs).mapInArrow(_store, "doc_id long, n_bytes long, media binary, declared string")
 
 
 def features(payload: bytes, kind: str, embedded: list) -> str:
@@ -328,26 +334,32 @@ def features(payload: bytes, kind: str, embedded: list) -> str:
 RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def _read_back(batches: Batches) -> Batches:
+    for batch in batches:
+        rows = []
+        for d, kind, embedded in zip(batch.column("media"), batch.column("media_type"), batch.column("media_embedded"), strict=True):
+            raw = d.as_py() or b""
+            sha = hashlib.sha256(raw).hexdigest()
+            if kind.as_py() != "audio/wav":
+                rows.append((None, None, None, len(raw), sha, None))
+                continue
+            payload = samples(raw)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), sha, features(payload, kind.as_py(), embedded.as_py())))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], ["doc_id", "n_bytes", *names])
+
+
 def read_back(media: DataFrame) -> DataFrame:
     """Digests and features of what ``inspected`` confirmed as a wave file; anything else has none (null)."""
+    return media.mapInArrow(_read_back, RESULT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for d, kind, embedded in zip(batch.column("media"), batch.column("media_type"), batch.column("media_embedded"), strict=True):
-                raw = d.as_py() or b""
-                sha = hashlib.sha256(raw).hexdigest()
-                if kind.as_py() != "audio/wav":
-                    rows.append((None, None, None, len(raw), sha, None))
-                    continue
-                payload = samples(raw)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), sha, features(payload, kind.as_py(), embedded.as_py())))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-            yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], ["doc_id", "n_bytes", *names])
 
-    return media.mapInArrow(run, RESULT)
+def round_trip(docs: DataFrame) -> DataFrame:
+    """``read_back(inspected(stored(docs)))`` in one Python worker a task, a few rows at a time."""
 
+    def run(batches: Batches) -> Batches:
+        small = (batch.slice(a, 256) for batch in batches for a in range(0, batch.num_rows, 256))
+        return _read_back(_inspect(_store(small), "media", "declared", ["media_type", "media_length", "media_embedded"]))
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    return read_back(inspected(stored(docs), "media", "declared"))
+    return _texts(docs).mapInArrow(run, RESULT)
