@@ -135,8 +135,16 @@ def linked(cell: np.ndarray, code: np.ndarray, bits: int = BITS, check: np.ndarr
             continue
         rows = np.repeat(edge[part], size[part]) + np.arange(size[part].sum()) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
         a, b = _search(cell[rows], code[rows], label[rows], bits)
-        keep = _within(rows[a], rows[b], check)
-        label = _stars(len(cell), rows[a[keep]], rows[b[keep]], label)
+        if check is None:
+            label = _stars(len(cell), rows[a], rows[b], label)
+            continue
+        # rows of one code may differ in their check words: each of a leaf's rows meets each of the other's
+        for a, b in _rows_of(a, b, cell[rows], code[rows]):
+            a, b = rows[a], rows[b]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            keep = _within(a, b, check)
+            label = _stars(len(cell), a[keep], b[keep], label)
     other = np.flatnonzero(label != np.arange(len(cell)))
     return order[other], order[label[other]]
 
@@ -163,6 +171,17 @@ def _search(cell: np.ndarray, code: np.ndarray, label: np.ndarray, bits: int) ->
     return first[left], first[right]
 
 
+def _rows_of(a: np.ndarray, b: np.ndarray, cell: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the leaves that begin at a and b, about ``_PAIRS`` at a time."""
+    begin = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (code[1:] != code[:-1])))
+    count = np.zeros(len(cell), np.int64)
+    count[begin] = np.diff(np.append(begin, len(cell)))
+    budget = np.cumsum(count[a] * count[b]) // _PAIRS
+    for part in np.split(np.arange(len(a)), np.flatnonzero(budget[1:] != budget[:-1]) + 1):
+        pair, i, j = _spread(count[a[part]], count[b[part]])
+        yield a[part][pair] + i, b[part][pair] + j
+
+
 def _tables(bits: int) -> list[tuple[int, ...]]:
     """Each table's leading bytes: codes within ``bits`` agree on the leading 16 bits of one table at least."""
     if bits <= 3:

@@ -111,6 +111,41 @@ def test_representatives_keep_one_of_each_group(spark):
     assert {r.doc_id for r in kept.collect()} == {10, 12, 14} and kept.columns == df.columns
 
 
+def test_representatives_compare_all_texts_of_the_same_words(spark):
+    rnd = random.Random(3)
+    words = [f"word{i}" for i in range(300)]
+    others = [" ".join(rnd.sample(words, 300)) for _ in range(20)]
+    # the same distinct words throughout, so one fingerprint; only the first and the last are near
+    df = docs(spark, [" ".join(words), *others, " ".join([*words, *words[:4]])])
+    assert {r.doc_id for r in simhash.representatives(df).collect()} == set(range(21))
+
+
+def test_links_of_equal_fingerprints_equal_brute_force():
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 2**63, (3, 2), np.uint64)
+    flips = (np.uint64(1) << rnd.integers(0, 64, (240, 2), np.uint64)) | (np.uint64(1) << rnd.integers(0, 64, (240, 2), np.uint64))
+    check = base[rnd.integers(0, 3, 240)] ^ flips ^ np.roll(flips, 1, 1) * rnd.integers(0, 2, (240, 1), np.uint64)
+    check[::3] = rnd.integers(0, 2**63, (80, 2), np.uint64)
+    code = np.array([0, 3, 12, 255], np.uint64)[rnd.integers(0, 4, 240)]
+    want, got = list(range(240)), list(range(240))
+
+    def find(root, x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def join(root, i, j):
+        a, b = find(root, i), find(root, j)
+        root[max(a, b)] = min(a, b)
+
+    for i, j in itertools.combinations(range(240), 2):
+        if int(code[i] ^ code[j]).bit_count() <= 6 and np.bitwise_count(check[i] ^ check[j]).sum() <= simhash.CHECK_BITS:
+            join(want, i, j)
+    for i, j in zip(*simhash.linked(np.zeros(240, np.int64), code, 6, check), strict=True):
+        join(got, int(i), int(j))
+    assert [find(want, x) for x in range(240)] == [find(got, x) for x in range(240)]
+
+
 # mixing
 
 
