@@ -12,9 +12,9 @@ below both is known to be in one component; so whole groups are pruned. A cell g
 never all its pairs. A cell of more than ``CELL`` fingerprints is cut into shares, and each two shares
 meet in a task of their own, so no task holds an unbounded group and no pair is left out.
 
-Near copies (``representatives``): fingerprints of the distinct words find candidates of up to 6 bits
-in the same index, and a pair counts if 128-bit fingerprints of five-word shingles differ in at most
-``CHECK_BITS``, where the Jaccard coefficient is about 0.8.
+Near copies (``representatives``): all pairs whose sets of five-word shingles have a Jaccard coefficient of
+0.8 or more, and no others. Such sets share one of their leading fifths in any common order; texts that do
+are candidates, sizes, places and parities rule out what cannot be near, and the sets themselves decide.
 
 Components: alternating large-star and small-star steps, each cut by a checkpoint, over distinct
 fingerprints only; equal fingerprints are one vertex from the start.
@@ -31,14 +31,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, release, text_of
+from evidentia.llm.common import cut, release, text_of, written
 
 BITS = 3
 #: Of 128; 19 are expected at a Jaccard coefficient of 0.8.
 CHECK_BITS = 22
+#: Bits of a set's parity.
+PARITY = 1024
 #: Fingerprints of a cell that meet in one task.
 CELL = 1024
 #: Rows of a task's index, before the copies that large cells add.
@@ -259,54 +261,179 @@ def classes(docs: DataFrame, shingle: int = 3, bits: int = BITS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _bits(digests: bytes, size: int) -> np.ndarray:
-    """How many of the digests have each bit."""
-    return np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, size), axis=1).sum(0, dtype=np.int64)
-
-
-def signature(text: str) -> tuple[int, int, int]:
-    """The fingerprint of the distinct words, and the two halves of the 128-bit one of the five-word shingles; as signed longs."""
+def shingles(text: str) -> np.ndarray:
+    """The distinct XXH64 of the five-word shingles, sorted; a shorter text is one shingle, no words are none."""
     import xxhash
 
     words = text.encode().lower().split()
-    if not words:
-        return 0, 0, 0
+    n = len(words)
+    if not n:
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    if n <= 5:
+        return np.array([digest(line, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
-    if len(words) > 5:
-        spans = list(zip(starts[:-4].tolist(), ends[4:].tolist(), strict=True))
-    else:
-        spans = [(0, len(line))]
-    single = xxhash.xxh64_digest
-    vocabulary = sorted(set(words))
-    counts = np.zeros(64, np.int64)
-    for a in range(0, len(vocabulary), _CHUNK):
-        counts += _bits(b"".join([single(w, 42) for w in vocabulary[a : a + _CHUNK]]), 8)
-    double = xxhash.xxh128_digest
-    wide = np.zeros(128, np.int64)
-    for a in range(0, len(spans), _CHUNK):
-        wide += _bits(b"".join([double(line[x:y], 42) for x, y in spans[a : a + _CHUNK]]), 16)
-    raw = np.packbits(counts * 2 > len(vocabulary)).tobytes() + np.packbits(wide * 2 > len(spans)).tobytes()
-    return tuple(int.from_bytes(raw[i : i + 8], "big", signed=True) for i in (0, 8, 16))
+    first, last = starts[:-4].tolist(), ends[4:].tolist()
+    found = [np.unique(np.array([digest(line[a:b], 42) for a, b in zip(first[at : at + _CHUNK], last[at : at + _CHUNK], strict=True)], np.uint64)) for at in range(0, len(first), _CHUNK)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, but for those near to one of a smaller doc_id (rows without doc_id stay)."""
+def _parity(found: np.ndarray) -> bytes:
+    """A bit for each residue: whether an odd number of the shingles has it. Two texts differ in no more bits than shingles."""
+    return np.packbits(np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """Shingles that many texts have, by a sample of the texts; only the order of the shingles rests on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.record_batch([pa.array(shingles(text.as_py()).view(np.int64))], ["key"])
+
+    some = rows.filter(F.pmod("digest", F.lit(64)) == 0).dropDuplicates(["digest"])
+    counted = some.select("text").mapInArrow(run, "key long").groupBy("key").count().filter("count >= 8")
+    return np.sort(np.array([r.key for r in counted.orderBy(F.desc("count"), "key").limit(1 << 16).collect()], np.int64).view(np.uint64))
+
+
+def _prints(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, digest, k1, k2, n, parity, lead): the digest of the set of shingles, their number and parity, and the fifth of them that comes first.
+
+    The order is by value, the frequent ones last. Two sets of a Jaccard coefficient of 4/5 or more share one of these leading n // 5 + 1.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         release()
+        last = held.value
+        for batch in batches:
+            keys, sizes, parity, lead = [], [], [], []
+            for text in batch.column("text"):
+                found = shingles(text.as_py())
+                keys.append(xxhash.xxh128_digest(found.tobytes()))
+                sizes.append(len(found))
+                parity.append(_parity(found))
+                late = np.isin(found, last) if len(last) else np.zeros(len(found), bool)
+                lead.append(np.concatenate([found[~late], found[late]])[: len(found) // 5 + 1].tobytes())
+            key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            columns = [pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(lead, pa.binary())]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), *columns], ["doc_id", "digest", "k1", "k2", "n", "parity", "lead"])
+
+    return rows.mapInArrow(run, "doc_id long, digest long, k1 long, k2 long, n int, parity binary, lead binary")
+
+
+def _leading(classes: DataFrame) -> DataFrame:
+    """(key, node, n, at): each class' leading shingles with their places, of those shingles that other classes of a fitting size lead with, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(t.as_py()) for t in batch.column("text")]
-            cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
-            yield pa.record_batch([batch.column("doc_id"), *cols], ["doc_id", "fp", "c1", "c2"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                lead = [np.frombuffer(x.as_py(), np.int64) for x in part.column("lead")]
+                size = np.array([len(x) for x in lead])
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                of = [np.repeat(part.column(c).to_numpy(), size) for c in ("node", "n")]
+                yield pa.record_batch([pa.array(np.concatenate(lead)), pa.array(of[0], pa.int64()), pa.array(of[1], pa.int32()), pa.array(at, pa.int32())], ["key", "node", "n", "at"])
+
+    rows = classes.select("node", "n", "lead").mapInArrow(run, "key long, node long, n int, at int")
+    by_size = Window.partitionBy("key").orderBy("n")
+    rows = rows.withColumns({"_less": F.lag("n").over(by_size), "_more": F.lead("n").over(by_size)})
+    return rows.filter("5 * _less >= 4 * n or 5 * n >= 4 * _more").drop("_less", "_more")
+
+
+def _fit(a: str, b: str) -> str:
+    """SQL: whether rows of one key may have a Jaccard coefficient of 4/5 by their sizes and the key's places."""
+    most = f"least({a}.at, {b}.at) + least({a}.n - {a}.at, {b}.n - {b}.at)"
+    return f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) and 9 * ({most}) >= 4 * ({a}.n + {b}.n)"
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _to_leaders(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): of each key's rows with two of them, but for pairs known to be in one component."""
+    pick = [F.min_by(F.struct("node", "n", "at", "label"), F.xxhash64("node", F.lit(2 * turn + i))) for i in range(2)]
+    leaders = rows.groupBy("key").agg(F.array_distinct(F.array(*pick)).alias("l")).select("key", F.explode("l").alias("l"))
+    found = rows.alias("r").join(leaders, "key").filter("r.label <> l.label").filter(_fit("r", "l"))
+    return _ordered(found.select(F.col("r.node").alias("a"), F.col("l.node").alias("b")))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a key's rows, but for those known to be in one component."""
+    others = rows.select("key", F.col("label").alias("other")).distinct()
+    left = rows.join(others, "key").filter("label < other").alias("r")
+    right = rows.select(F.col("key").alias("_key"), F.col("label").alias("_label"), "node", "n", "at").alias("l")
+    found = left.join(right, (F.col("r.key") == F.col("l._key")) & (F.col("r.other") == F.col("l._label"))).filter(_fit("r", "l"))
+    return _ordered(found.select(F.col("r.node").alias("a"), F.col("l.node").alias("b")))
+
 
+def _near(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(u, v): those of the pairs whose sets of shingles have a Jaccard coefficient of 4/5 or more, by the sets themselves."""
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                col = {c: batch.column(c).to_numpy() for c in ("a", "b", "an", "bn")}
+                sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("ap", "bp")]
+                keep = 9 * np.bitwise_count(sides[0] ^ sides[1]).sum(1, dtype=np.int64) <= col["an"].astype(np.int64) + col["bn"]
+                yield pa.record_batch([pa.array(col["a"][keep]), pa.array(col["b"][keep])], ["a", "b"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("node"), pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], ["node", "s"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("s"), batch.column("t"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("u"), batch.column("v"))], ["u", "v"])
+
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("parity").alias(f"{c}p"))
+    maybe = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(fits, "a long, b long"))
+    needed = maybe.select(F.col("a").alias("node")).unionByName(maybe.select(F.col("b").alias("node"))).distinct()
+    texts = needed.join(classes.select("node", "first.doc_id", "first.digest"), "node").join(rows, ["doc_id", "digest"]).select("node", "text")
+    found = cut(texts.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]))
+    both = maybe.join(found.select(F.col("node").alias("a"), "s"), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+    return cut(both.select(F.col("a").alias("u"), F.col("b").alias("v"), "s", "t").mapInArrow(decide, "u long, v long"))
+
+
+def near_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root): the components of all pairs of classes with a Jaccard coefficient of 4/5 or more."""
+    leading = written(_leading(classes), "near-copies")
+    size, turn, edges, roots, linked_before = leading.count(), 0, None, None, -1
+    while True:
+        labelled = leading.withColumn("label", F.col("node")) if roots is None else leading.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        counts = labelled.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").cast("double").alias("m"), F.sum(F.col("count").cast("double") * F.col("count")).alias("s"))
+        across = counts.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
+        links_now = edges.count() if edges is not None else 0
+        # large groups first shrink to components by way of their leaders, so that few pairs are left
+        last = across <= 4 * size or links_now == linked_before
+        linked_before = links_now
+        found = _near(_across(labelled) if last else _to_leaders(labelled, turn), classes, rows)
+        edges = found if edges is None else edges.unionByName(found)
+        roots = components(edges)
+        turn += 1
+        if last:
+            return roots
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, but for those near to one of a smaller doc_id (rows without doc_id stay)."""
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    prints = cut(rows.mapInArrow(run, "doc_id long, fp long, c1 long, c2 long"))
-    classes = cut(prints.groupBy("fp", "c1", "c2").agg(F.min("doc_id").alias("node")))
-    # a doc_id of several rows with different texts may stand for several classes
-    nodes = classes.dropDuplicates(["node"])
-    roots = components(links(nodes, 6, ("c1", "c2"))).filter("node <> root").select("node")
-    copies = prints.join(classes, ["fp", "c1", "c2"]).filter("doc_id <> node").select("doc_id")
-    gone = copies.unionByName(roots.select(F.col("node").alias("doc_id"))).distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs.doc_id == F.col("_gone"), "left_anti")
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    prints = written(_prints(rows, _frequent(rows)), "shingles")
+    classes = prints.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("lead").alias("lead"))
+    classes = written(classes.withColumnRenamed("k1", "node"), "classes")
+    roots = near_links(classes, rows)
+    named = classes.select("node", "k2", "first.doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
+    named = named.select(F.col("node").alias("k1"), "k2", "root").join(least, "root")
+    gone = prints.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).filter("doc_id <> least").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")

@@ -120,6 +120,34 @@ def test_representatives_compare_all_texts_of_the_same_words(spark):
     assert {r.doc_id for r in simhash.representatives(df).collect()} == set(range(21))
 
 
+def test_representatives_equal_brute_force(spark):
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rnd.randint(0, 5000)}" for _ in range(rnd.choice([4, 30, 90, 200]))]
+        texts.append(" ".join(words))
+        for _ in range(8):
+            other = list(words)
+            for _ in range(rnd.randint(0, max(1, len(words) // 45))):
+                other[rnd.randrange(len(other))] = f"v{rnd.randint(0, 5000)}"
+            texts.append(" ".join(other))
+    rnd.shuffle(texts)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    kept = {r.doc_id for r in simhash.representatives(docs(spark, texts)).collect()}
+    assert kept == {i for i in range(len(texts)) if find(i) == i}
+
+
 def test_links_of_equal_fingerprints_equal_brute_force():
     rnd = np.random.default_rng(8)
     base = rnd.integers(0, 2**63, (3, 2), np.uint64)
