@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import cut, release, text_of, written
+from evidentia.operators.iterate import components
 
 BITS = 3
 #: Of 128; 19 are expected at a Jaccard coefficient of 0.8.
@@ -232,24 +233,6 @@ def links(prints: DataFrame, bits: int = BITS, check: tuple[str, ...] = ()) -> D
     return rows.groupBy("shard").applyInArrow(run, "u long, v long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): of every vertex that has an edge, the least vertex of its component."""
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = now
-
-
 def classes(docs: DataFrame, shingle: int = 3, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id that links of up to ``bits`` reach."""
     prints = cut(fingerprints(docs, shingle))

@@ -57,23 +57,16 @@ def corroboration_of(node: int, table: DataFrame) -> float:
     return row[0] if row else 0.0
 
 
-def independence_groups(paths: DataFrame, rounds: int = 64) -> DataFrame:
-    """(path, group): paths that share an interior node, directly or through others, form a group.
+def independence_groups(paths: DataFrame) -> DataFrame:
+    """(path, group): paths that share an interior node, directly or through others, form a group named by its least path.
 
-    paths: (path, node). Alternates the least label over a node's paths and over a path's nodes until
-    nothing changes; each round is checkpointed.
+    paths: (path, node). Each path is joined with the least path of each of its nodes; the components of these
+    edges are found until nothing changes, however long a chain of paths is.
     """
-    from evidentia.operators.iterate import checkpointed
-
-    labels = checkpointed(paths.select("path", "node").distinct().withColumn("label", F.col("path")))
-    last = None
-    for _ in range(rounds):
-        by_node = labels.groupBy("node").agg(F.min("label").alias("low"))
-        by_path = labels.drop("label").join(by_node, "node")
-        low = by_path.groupBy("path").agg(F.min("low").alias("label"))
-        labels = checkpointed(labels.select("path", "node").join(low, "path"))
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == last:
-            break
-        last = now
-    return labels.select("path", F.col("label").alias("group")).distinct()
+    from evidentia.operators.iterate import checkpointed, components
+
+    paths = checkpointed(paths.select("path", "node").filter("path is not null").distinct())
+    least = paths.filter("node is not null").groupBy("node").agg(F.min("path").alias("least"))
+    roots = components(paths.join(least, "node").select(F.col("path").alias("u"), F.col("least").alias("v")))
+    named = paths.select("path").distinct().join(roots, F.col("path") == F.col("node"), "left")
+    return named.select("path", F.coalesce("root", "path").alias("group"))

@@ -186,3 +186,39 @@ def test_outbox_numbers_have_no_gaps(spark):
     changes = spark.createDataFrame([(f"c{i % 3}", f"k{i}", "{}", f"id{i % 50}", i) for i in range(80)], "change string, target_key string, payload string, idem_key string, order long")
     rows = sorted((r.seq, r.idem_key) for r in evidence.outbox(changes, offset=7).collect())
     assert [s for s, _ in rows] == list(range(8, 58)) and len({k for _, k in rows}) == 50
+
+
+def grouped(pairs):
+    root = {("path", p): ("path", p) for p, _ in pairs} | {("node", n): ("node", n) for _, n in pairs}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for p, n in pairs:
+        root[find(("path", p))] = find(("node", n))
+    least = {}
+    for p in {p for p, _ in pairs}:
+        least.setdefault(find(("path", p)), []).append(p)
+    return {p: min(group) for group in least.values() for p in group}
+
+
+def test_independence_groups_follow_long_chains(spark):
+    chain = list(range(150))
+    rnd = random.Random(9)
+    mixed = rnd.sample(range(1000, 1150), 150)
+    pairs = [(p, n) for at, p in enumerate(chain) for n in (at, at + 1)] + [(p, 5000 + n) for at, p in enumerate(mixed) for n in (at, at + 1)]
+    pairs += [(2000 + rnd.randint(0, 60), 9000 + rnd.randint(0, 60)) for _ in range(70)]
+    got = confidence.independence_groups(spark.createDataFrame(pairs, "path long, node long")).collect()
+    assert {r.path: r.group for r in got} == grouped(pairs) and len(got) == len({p for p, _ in pairs})
+
+
+def test_independence_groups_of_all_paths(spark):
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.001"
+    pairs = [tuple(r) for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect()]
+    got = entry.queries()["independence_groups_all"](spark, data).collect()
+    assert {r.path: r.group for r in got} == grouped(pairs) and len(got) == len({p for p, _ in pairs})
