@@ -466,6 +466,14 @@ def hit_union(t: Tables) -> DataFrame:
     return retrieval.merge_hits(a, nodes.filter("id % 41 = 0").select("id", "type", "key", F.lit(1.0).alias("score")), 20)
 
 
+@query(f"WITH {nodes_sql('part', 'orders')}, a AS (SELECT id, type, key, reliability AS score FROM node WHERE id % 97 = 0), b AS (SELECT id, type, key, CAST(1 AS DOUBLE) AS score FROM node WHERE id % 41 = 0) SELECT * FROM (SELECT *, 0 AS arm FROM a UNION ALL SELECT *, 1 FROM b WHERE id NOT IN (SELECT id FROM a)) ORDER BY arm, score DESC, key, id LIMIT 20")
+def hit_union_all(t: Tables) -> DataFrame:
+    """Of all parts and orders."""
+    nodes = t.nodes("part", "orders")
+    a = nodes.filter("id % 97 = 0").select("id", "type", "key", F.col("reliability").alias("score"))
+    return retrieval.merge_hits(a, nodes.filter("id % 41 = 0").select("id", "type", "key", F.lit(1.0).alias("score")), 20)
+
+
 # content
 
 

@@ -30,3 +30,13 @@ def test_query_equals_its_sql(spark, name):
         return sorted(tuple("" if x is None or x != x else f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in df[columns].itertuples(index=False))
 
     assert rows(got) == rows(want)
+
+
+def test_hits_of_all_parts_and_orders(spark):
+    from evidentia.plans.registry import Tables
+
+    t = Tables(spark, DATA)
+    ids = [r.id for r in t.nodes("part", "orders").select("id").collect()]
+    assert max(ids) >= 6_000_000_000
+    got = {r.id for r in entry.queries()["hit_union_all"](spark, DATA).collect()}
+    assert len(got) == 20 and any(i >= 6_000_000_000 for i in got)
