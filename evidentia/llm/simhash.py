@@ -418,5 +418,6 @@ def representatives(docs: DataFrame) -> DataFrame:
     named = classes.select("node", "k2", "first.doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
     named = named.select(F.col("node").alias("k1"), "k2", "root").join(least, "root")
-    gone = prints.select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).filter("doc_id <> least").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    # by the text, too: rows of one doc_id may differ in it
+    gone = prints.select("doc_id", "digest", "k1", "k2").join(named, ["k1", "k2"]).filter("doc_id <> least").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct()
+    return docs.join(gone, (docs.doc_id == F.col("_gone")) & (F.xxhash64(text_of()) == F.col("_digest")), "left_anti")

@@ -148,6 +148,12 @@ def test_representatives_equal_brute_force(spark):
     assert kept == {i for i in range(len(texts)) if find(i) == i}
 
 
+def test_representatives_of_repeated_doc_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    df = docs(spark, [a, a, b, c, c + " more"], [1, 2, 2, 2, 3])
+    assert sorted((r.doc_id, r.text) for r in simhash.representatives(df).collect()) == [(1, a), (2, b), (2, c)]
+
+
 def test_links_of_equal_fingerprints_equal_brute_force():
     rnd = np.random.default_rng(8)
     base = rnd.integers(0, 2**63, (3, 2), np.uint64)
