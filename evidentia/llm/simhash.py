@@ -40,6 +40,8 @@ from evidentia.operators.iterate import components
 BITS = 3
 #: Of 128; 19 are expected at a Jaccard coefficient of 0.8.
 CHECK_BITS = 22
+#: Pairs for each row of the prefix join up to which all are compared at once, without rounds of leaders first.
+FEW = 32
 #: Bits of a set's parity.
 PARITY = 1024
 #: Fingerprints of a cell that meet in one task.
@@ -277,7 +279,7 @@ def _frequent(rows: DataFrame) -> np.ndarray:
                 yield pa.record_batch([pa.array(shingles(text.as_py()).view(np.int64))], ["key"])
 
     some = rows.filter(F.pmod("digest", F.lit(64)) == 0).dropDuplicates(["digest"])
-    counted = some.select("text").mapInArrow(run, "key long").groupBy("key").count().filter("count >= 8")
+    counted = some.select("text").mapInArrow(run, "key long").groupBy("key").count().filter("count >= 4")
     return np.sort(np.array([r.key for r in counted.orderBy(F.desc("count"), "key").limit(1 << 16).collect()], np.int64).view(np.uint64))
 
 
@@ -300,7 +302,7 @@ def _prints(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                 keys.append(xxhash.xxh128_digest(found.tobytes()))
                 sizes.append(len(found))
                 parity.append(_parity(found))
-                late = np.isin(found, last) if len(last) else np.zeros(len(found), bool)
+                late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found if len(last) else np.zeros(len(found), bool)
                 lead.append(np.concatenate([found[~late], found[late]])[: len(found) // 5 + 1].tobytes())
             key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             columns = [pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(lead, pa.binary())]
@@ -390,14 +392,14 @@ def _near(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
 def near_links(classes: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root): the components of all pairs of classes with a Jaccard coefficient of 4/5 or more."""
     leading = written(_leading(classes), "near-copies")
-    size, turn, edges, roots, linked_before = leading.count(), 0, None, None, -1
+    turn, edges, roots, linked_before = 0, None, None, -1
     while True:
         labelled = leading.withColumn("label", F.col("node")) if roots is None else leading.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
         counts = labelled.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").cast("double").alias("m"), F.sum(F.col("count").cast("double") * F.col("count")).alias("s"))
-        across = counts.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
+        size, across = counts.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.lit(0.0))).first()
         links_now = edges.count() if edges is not None else 0
         # large groups first shrink to components by way of their leaders, so that few pairs are left
-        last = across <= 4 * size or links_now == linked_before
+        last = across <= FEW * size or links_now == linked_before
         linked_before = links_now
         found = _near(_across(labelled) if last else _to_leaders(labelled, turn), classes, rows)
         edges = found if edges is None else edges.unionByName(found)

@@ -120,7 +120,9 @@ def test_representatives_compare_all_texts_of_the_same_words(spark):
     assert {r.doc_id for r in simhash.representatives(df).collect()} == set(range(21))
 
 
-def test_representatives_equal_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 32])
+def test_representatives_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
     rnd = random.Random(6)
     texts = []
     for _ in range(30):
