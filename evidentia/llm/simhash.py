@@ -194,8 +194,8 @@ def linked(cell: np.ndarray, code: np.ndarray, label: np.ndarray, bits: int = BI
     return order[other], order[joined[other]]
 
 
-def crossing(cell: np.ndarray, code: np.ndarray, label: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows within ``bits`` in a cell whose labels differ."""
+def crossing(cell: np.ndarray, code: np.ndarray, label: np.ndarray, bits: int, maybe: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within ``bits`` in a cell whose labels differ and that ``maybe`` does not rule out."""
     order = _ordered(cell, code)
     cell, code, label = cell[order], code[order], label[order]
     label = np.unique(label, return_inverse=True)[1]
@@ -211,7 +211,9 @@ def crossing(cell: np.ndarray, code: np.ndarray, label: np.ndarray, bits: int) -
             pair, i, j = _spread(count[a[part]], count[b[part]])
             x, y = a[part][pair] + i, b[part][pair] + j
             keep = (label[rows[x]] != label[rows[y]]) & ((a[part][pair] != b[part][pair]) | (i < j))
-            yield order[rows[x[keep]]], order[rows[y[keep]]]
+            x, y = order[rows[x[keep]]], order[rows[y[keep]]]
+            keep = slice(None) if maybe is None else maybe(x, y)
+            yield x[keep], y[keep]
 
 
 def _search(cell: np.ndarray, code: np.ndarray, label: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,10 +273,16 @@ def _words(prints: DataFrame) -> list[str]:
     return [c for c in prints.columns if c.startswith("w")]
 
 
+def _possible(n: np.ndarray, parity: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes and parities can have a Jaccard coefficient of 4/5: they differ in a ninth of their sizes' sum at most."""
+    small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    return (5 * small >= 4 * large) & (9 * _apart(parity, a, b) <= small + large)
+
+
 def _celled(prints: DataFrame, tables: np.ndarray) -> DataFrame:
-    """(cell, at, node, label, copies, w0, ...): a row for each table."""
+    """(cell, at, node, label, copies, w0, ...) and, if there are, n and p0, ...: a row for each table."""
     words = _words(prints)
-    names = ["cell", "at", "node", "label", "copies", *words]
+    names = ["cell", "at", *prints.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,8 +298,7 @@ def _celled(prints: DataFrame, tables: np.ndarray) -> DataFrame:
                         cell ^= cell >> np.uint64(29)
                     yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(np.full(n, at, np.int32)), *[part.column(c) for c in names[2:]]], names)
 
-    kinds = "cell long, at int, node long, label long, copies long, " + ", ".join(f"{w} long" for w in words)
-    return prints.select(*names[2:]).mapInArrow(run, kinds)
+    return prints.mapInArrow(run, "cell long, at int, " + ", ".join(f"{c} long" for c in names[2:]))
 
 
 def _differ(words: list[str], a: str, b: str) -> Column:
@@ -334,6 +341,7 @@ def _meeting(rows: DataFrame, heavy: DataFrame) -> DataFrame:
 def _pairs(rows: DataFrame, words: list[str], bits: int, total: int, forest: bool) -> DataFrame:
     """(u, v): the pairs that the cells' indexes find; a forest of them where a pair within ``bits`` is a link."""
     shards = max(1, -(-total // SHARD))
+    parity = [c for c in rows.columns if c.startswith("p")]
 
     def run(t: pa.Table) -> pa.Table:
         col = {c: t.column(c).to_numpy() for c in ("node", "cell", "label", "i", "j")}
@@ -342,16 +350,23 @@ def _pairs(rows: DataFrame, words: list[str], bits: int, total: int, forest: boo
         new = np.append(False, np.any([np.diff(col[c][order]) != 0 for c in ("cell", "i", "j")], axis=0))
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new)
-        found = [linked(group, code, col["label"], bits)] if forest else list(crossing(group, code, col["label"], bits))
+        maybe = None
+        if parity:
+            n, p = t.column("n").to_numpy(), np.column_stack([t.column(c).to_numpy().view(np.uint64) for c in parity])
+            maybe = lambda a, b: _possible(n, p, a, b)
+        found = [linked(group, code, col["label"], bits)] if forest else list(crossing(group, code, col["label"], bits, maybe))
         a, b = (np.concatenate([np.empty(0, np.int64), *[col["node"][f[s]] for f in found]]) for s in (0, 1))
         return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(shards)))
-    return rows.select("shard", "node", "cell", "label", "i", "j", *words).groupBy("shard").applyInArrow(run, "u long, v long").distinct()
+    return rows.drop("at", "copies").groupBy("shard").applyInArrow(run, "u long, v long").distinct()
 
 
 def link_components(prints: DataFrame, bits: int, tables: np.ndarray, decide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, root) of the rows (node, copies, w0, ...) that have a link: a pair within ``bits`` that meets in a table and that ``decide`` (all, where there is none) keeps."""
+    """(node, root) of the rows (node, copies, w0, ...) that have a link: a pair within ``bits`` that meets in a table and that ``decide`` (all, where there is none) keeps.
+
+    With n and p0, ... (a set's size and parity) pairs that these rule out are not asked for.
+    """
     words, total = _words(prints), prints.count()
     plain = prints.withColumn("label", F.col("node"))
     rows = _celled(plain, tables)
@@ -386,7 +401,8 @@ def _parity(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
 
 
-_SET = "doc_id long, digest long, k1 long, k2 long, n int, parity binary, w0 long, w1 long"
+_FOLDED = ("p0", "p1", "p2", "p3")
+_SET = "doc_id long, digest long, k1 long, k2 long, n long, parity binary, w0 long, w1 long, p0 long, p1 long, p2 long, p3 long"
 
 
 def _set_prints(rows: DataFrame) -> DataFrame:
@@ -406,8 +422,10 @@ def _set_prints(rows: DataFrame) -> DataFrame:
                 wide.append(wide_fingerprint(found))
             key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             code = np.array(wide, np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(sizes, pa.int32()), pa.array(parity, pa.binary()), pa.array(code[:, 0]), pa.array(code[:, 1])]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), *columns], ["doc_id", "digest", "k1", "k2", "n", "parity", "w0", "w1"])
+            # the parity of the residues of a quarter as many: what the index carries
+            folded = np.bitwise_xor.reduce(np.frombuffer(b"".join(parity), np.int64).reshape(-1, PARITY // 256, 4), axis=1)
+            columns = [*key.T, sizes, pa.array(parity, pa.binary()), *code.T, *folded.T]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), *[c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]], ["doc_id", "digest", "k1", "k2", "n", "parity", "w0", "w1", *_FOLDED])
 
     return rows.mapInArrow(run, _SET)
 
@@ -452,9 +470,9 @@ def representatives(docs: DataFrame) -> DataFrame:
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.withColumn("digest", F.xxhash64("text"))
     prints = written(_set_prints(rows), "shingles")
-    firsts = [F.first(c).alias(c) for c in ("n", "parity", "w0", "w1")]
+    firsts = [F.first(c).alias(c) for c in ("n", "parity", "w0", "w1", *_FOLDED)]
     found = written(prints.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("copies"), *firsts).withColumnRenamed("k1", "node"), "classes")
-    roots = link_components(found.select("node", "copies", "w0", "w1"), REACH, likely_tables(found.count()), lambda pairs: _near(pairs, found, rows))
+    roots = link_components(found.select("node", "copies", "w0", "w1", "n", *_FOLDED), REACH, likely_tables(found.count()), lambda pairs: _near(pairs, found, rows))
     named = found.select("node", "k2", "first.doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
     named = named.select(F.col("node").alias("k1"), "k2", "root").join(least, "root")
