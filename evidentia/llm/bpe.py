@@ -4,25 +4,30 @@ Encoding: a token sequence is the BPE encoding of its bytes exactly if each adja
 the encoding of its own bytes. So a non-deterministic transducer reads bytes, guesses where tokens end,
 and only lets a token follow one it may stand beside. Its threads are (last token, place in the token
 trie). The subset construction runs on demand: a state is the set of live threads, and a transition,
-computed when a text first needs it, tells for each thread which one it continues and the token it ends.
+computed when a text first needs it and kept while the table has room, tells for each thread which one it continues and the token it ends.
 Tokens leave as soon as one thread is left, after a lookahead that the longest token bounds. Each prefix has one encoding, so
 exactly one thread stands at a token's end after each byte; at the end of the input it gives the rest.
 
 Decoding: ids become bytes as they come, and an incremental UTF-8 state machine keeps the bytes of an
-unfinished code point until the next chunk.
+unfinished code point until the next chunk; the digest of what is decoded is taken from its text.
+
+Memory: each Python worker has tables of its own. The trie is one dictionary of edges and two flat arrays; ids
+are remembered packed, four bytes each; states, pairs and words are kept up to fixed numbers and computed
+again beyond, so a worker's tables stay under about 150 MB whatever the texts.
 
 Values: a null text is empty (no ids, the digests of nothing). Any length of text or piece is encoded in
-time proportional to it; states and pieces are kept up to fixed numbers and computed again beyond.
+time proportional to it. Null and repeated doc_ids are handed on, a row for each document; other columns are
+not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
-import codecs
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +35,13 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import release, text_of
 
-MAX_STATES = 200_000
-MAX_PAIRS = 500_000
-MAX_WORDS = 350_000
-MAX_PIECES = 100_000
+MAX_STATES = 80_000
+MAX_PAIRS = 300_000
+MAX_EDGES = 40_000
+#: Bytes read outside the full table until it is begun anew, for texts of another kind.
+REFRESH = 4_000_000
+MAX_WORDS = 250_000
+MAX_PIECES = 30_000
 #: Longer pieces are not kept.
 KEPT_PIECE = 64
 
@@ -49,15 +57,18 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.token: list[int] = [-1]
+        #: node << 8 | byte to the node below; each node's token or -1; whether it has nodes below
+        self.below: dict[int, int] = {}
+        self.token = array("i", [-1])
+        self.inner = bytearray(1)
         for t, r in ranks.items():
             node = 0
             for b in t:
-                nxt = self.children[node].get(b)
+                nxt = self.below.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.children[node][b] = len(self.children)
-                    self.children.append({})
+                    nxt = self.below[node << 8 | b] = len(self.token)
+                    self.inner[node] = 1
+                    self.inner.append(0)
                     self.token.append(-1)
                 node = nxt
             self.token[node] = r
@@ -74,13 +85,17 @@ class Transducer:
         self.number = {start: 0}
         #: state << 8 | byte to the next state and, for each of its threads, the one it continues << 24 | (ended token + 1)
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.backs: dict[tuple[int, ...], tuple[int, ...]] = {}
+        #: bytes read outside the table
+        self.missed = 0
 
-    def _state(self, threads: tuple[int, ...]) -> int:
+    def _state(self, threads: tuple[int, ...]) -> int | None:
+        """The threads' state; None if it is a new one and the table is full."""
         number = self.number.get(threads)
-        if number is None:
+        if number is None and len(self.states) < MAX_STATES:
             number = self.number[threads] = len(self.states)
             self.states.append(threads)
-            self.done.append(next(i for i, t in enumerate(threads) if not t & 0xFFFFFFFF))
+            self.done.append(_done(threads))
         return number
 
     def _parts(self, token: int) -> tuple[bytes, bytes] | None:
@@ -101,6 +116,9 @@ class Transducer:
         """The parts that stand at the token's edge while it is being merged, each with the rank that ends it."""
         edges = self.edges[side]
         if (known := edges.get(token)) is None:
+            if len(edges) >= MAX_EDGES:
+                edges.clear()
+                self.splits.clear()
             known = [(self.bytes_of[token], 1 << 60)]
             at = token
             while True:
@@ -137,25 +155,33 @@ class Transducer:
             self.pairs[key] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state, and for each of its threads the thread it comes from and the token it ended, if any."""
+    def _step(self, threads: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The next threads, and for each of them the one it comes from and the token it ended, if any."""
+        # a next thread << 32 | the one it comes from << 24 | the token it ended + 1: in the threads' order
         found = []
-        children, token_at = self.children, self.token
-        for i, thread in enumerate(self.states[state]):
-            nxt = children[thread & 0xFFFFFFFF].get(byte)
-            if nxt is None:
-                continue
-            last = thread >> 32
-            if children[nxt]:
-                found.append((last << 32 | nxt, i << 24))
-            token = token_at[nxt]
-            if token >= 0 and self.adjacent(last - 1, token):
-                found.append(((token + 1) << 32, i << 24 | token + 1))
-        found.sort()
-        return self._state(tuple([t for t, _ in found])), tuple([back for _, back in found])
-
-    def _output(self, state: int, trail: list) -> list[int]:
-        out, i = [], self.done[state]
+        below, inner, token_at, pairs = self.below, self.inner, self.token, self.pairs
+        come = 0
+        for thread in threads:
+            nxt = below.get((thread & 0xFFFFFFFF) << 8 | byte)
+            if nxt is not None:
+                last = thread >> 32
+                if inner[nxt]:
+                    found.append((last << 32 | nxt) << 32 | come)
+                token = token_at[nxt]
+                if token >= 0:
+                    fits = pairs.get((last - 1) << 32 | token)
+                    if fits is None:
+                        fits = self.adjacent(last - 1, token)
+                    if fits:
+                        found.append((token + 1) << 64 | come | token + 1)
+            come += 1 << 24
+        if len(found) > 1:
+            found.sort()
+        return tuple([t >> 32 for t in found]), tuple([t & 0xFFFFFFFF for t in found])
+
+    def _output(self, i: int, trail: list) -> list[int]:
+        """The tokens that the trail of the i-th thread ended."""
+        out = []
         for back in reversed(trail):
             step = back[i]
             i = step >> 24
@@ -166,27 +192,49 @@ class Transducer:
         return out
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
+        if self.missed > REFRESH:
             self._reset()
         state, moves, trail, out = 0, self.moves, [], []
+        #: the live threads while they are no state of the full table
+        loose: tuple[int, ...] | None = None
         for byte in piece:
-            key = state << 8 | byte
-            move = moves.get(key)
-            if move is None:
-                move = moves[key] = self._move(state, byte)
-                if len(self.states) > 2 * MAX_STATES:
-                    # one endless piece: go on from this state in an empty table
-                    threads = self.states[move[0]]
-                    self._reset()
-                    moves = self.moves
-                    move = (self._state(threads), move[1])
-            state = move[0]
-            trail.append(move[1])
-            if len(move[1]) == 1:
-                # one thread is left: all before is decided
-                out += self._output(state, trail)
+            if loose is None:
+                key = state << 8 | byte
+                move = moves.get(key)
+                if move is None:
+                    threads, back = self._step(self.states[state], byte)
+                    number = self._state(threads)
+                    if number is None:
+                        loose = threads
+                    else:
+                        back = self.backs.setdefault(back, back)
+                        moves[key] = number, back
+                        state = number
+                else:
+                    state, back = move
+            else:
+                loose, back = self._step(loose, byte)
+                self.missed += 1
+                state = self.number.get(loose, -1)
+                if state >= 0:
+                    loose = None
+            if len(back) > 1:
+                trail.append(back)
+            elif trail:
+                # one thread is left, at a token's end: all before is decided
+                trail.append(back)
+                out += self._output(0, trail)
                 trail.clear()
-        return out + self._output(state, trail) if trail else out
+            elif token := back[0] & 0xFFFFFF:
+                out.append(token - 1)
+        if not trail:
+            return out
+        return out + self._output(self.done[state] if loose is None else _done(loose), trail)
+
+
+def _done(threads: tuple[int, ...]) -> int:
+    """The thread that stands at a token's end."""
+    return next(i for i, t in enumerate(threads) if not t & 0xFFFFFFFF)
 
 
 class _Unsafe(Exception):
@@ -194,12 +242,12 @@ class _Unsafe(Exception):
 
 
 class _Kept(dict):
-    """Remembers up to twice ``most`` entries: a full generation becomes the old one."""
+    """Remembers the packed ids of up to twice ``most`` entries: a full generation becomes the old one."""
 
     old: dict = {}
     most = MAX_PIECES
 
-    def keep(self, key: str, ids: tuple[int, ...]) -> None:
+    def keep(self, key: str, ids: bytes) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -218,7 +266,7 @@ class _Words(_Kept):
     def __init__(self, pieces: _Pieces, split) -> None:
         self.pieces, self.split = pieces, split
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         if (ids := self.old.get(word)) is not None:
             self.keep(word, ids)
             return ids
@@ -226,24 +274,35 @@ class _Words(_Kept):
             raise _Unsafe
         pieces = self.split(" " + word)
         if len(pieces) == 1:
-            ids = tuple(self.pieces.machine.encode(pieces[0].encode()))
+            ids = array("i", self.pieces.machine.encode(pieces[0].encode())).tobytes()
         else:
             # a match that begins with the space is a word of its own, and remembered as one
-            ids = tuple(chain.from_iterable([self[p[1:]] if p[0] == " " else self.pieces[p] for p in pieces]))
+            ids = b"".join([self._match(p) if p[0] == " " else self.pieces[p] for p in pieces])
         if len(word) <= KEPT_PIECE:
             self.keep(word, ids)
         return ids
 
 
+    def _match(self, piece: str) -> bytes:
+        """The ids of a match that begins with a space: those of a word, by its own."""
+        word = piece[1:]
+        ids = self.get(word) or self.old.get(word)
+        if ids is None:
+            ids = array("i", self.pieces.machine.encode(piece.encode())).tobytes()
+            if len(word) <= KEPT_PIECE:
+                self.keep(word, ids)
+        return ids
+
+
 class _Pieces(_Kept):
     """A match of the pattern to its ids."""
 
     def __init__(self, machine: Transducer) -> None:
         self.machine = machine
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if (ids := self.old.get(piece)) is None:
-            ids = tuple(self.machine.encode(piece.encode()))
+            ids = array("i", self.machine.encode(piece.encode())).tobytes()
         if len(piece) <= KEPT_PIECE:
             self.keep(piece, ids)
         return ids
@@ -261,15 +320,44 @@ class Encoder:
         #: Only this pattern is known to begin a match at single spaces.
         self.words = _Words(self.pieces, self.split) if pattern.startswith("'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+") else None
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The text's ids, four bytes each."""
         if self.words is not None:
             first, *rest = text.split(" ")
             if first and not first[-1].isspace():
                 try:
-                    return list(chain.from_iterable([*map(self.pieces.__getitem__, self.split(first)), *map(self.words.__getitem__, rest)]))
+                    return b"".join([*map(self.pieces.__getitem__, self.split(first)), *map(self.words.__getitem__, rest)])
                 except _Unsafe:
                     pass
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return memoryview(self.packed(text)).cast("i").tolist()
+
+
+class Utf8:
+    """Bytes to text as they come: those of an unfinished code point wait for the next ones."""
+
+    def __init__(self) -> None:
+        self.waiting = b""
+
+    def feed(self, raw: bytes) -> str:
+        data = self.waiting + raw
+        whole = len(data)
+        for back in range(1, min(3, whole) + 1):
+            lead = data[-back]
+            if lead & 0xC0 == 0x80:
+                continue
+            # 2, 3 or 4 bytes by the lead byte's ones
+            if (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0) >= back:
+                whole -= back
+            break
+        self.waiting = data[whole:]
+        return data[:whole].decode()
+
+    def end(self) -> None:
+        if self.waiting:
+            raise UnicodeDecodeError("utf-8", self.waiting, 0, len(self.waiting), "unexpected end of data")
 
 
 class Decoder:
@@ -279,11 +367,12 @@ class Decoder:
         self.bytes_of = bytes_of
 
     def stream(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[tuple[bytes, str]]:
-        machine = codecs.getincrementaldecoder("utf-8")("strict")
-        ids = list(ids)
-        for at in range(0, len(ids), chunk):
-            raw = b"".join(map(self.bytes_of.__getitem__, ids[at : at + chunk]))
-            yield raw, machine.decode(raw, at + chunk >= len(ids))
+        """Chunk by chunk the ids' bytes and the text that they complete; ids are read as they are needed."""
+        machine, ids = Utf8(), iter(ids)
+        while some := list(islice(ids, chunk)):
+            raw = b"".join(map(self.bytes_of.__getitem__, some))
+            yield raw, machine.feed(raw)
+        machine.end()
 
 
 @lru_cache(maxsize=2)
@@ -319,12 +408,12 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         for batch in batches:
             counts, ids_sha, raw_sha = [], [], []
             for text in batch.column("text"):
-                ids = enc.encode(text.as_py())
+                ids = memoryview(enc.packed(text.as_py())).cast("i")
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 sha = hashlib.sha256()
-                for raw, _ in dec.stream(ids):
-                    sha.update(raw)
+                for _, whole in dec.stream(ids):
+                    sha.update(whole.encode())
                 raw_sha.append(sha.hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

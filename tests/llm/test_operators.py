@@ -45,17 +45,47 @@ def test_encoding_survives_full_tables(monkeypatch):
     path, pattern = bpe.default_vocabulary()
     whole = bpe.encoder(path, pattern)
     monkeypatch.setattr(bpe, "MAX_STATES", 50)
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 20)
+    monkeypatch.setattr(bpe, "MAX_EDGES", 5)
+    monkeypatch.setattr(bpe, "REFRESH", 100)
     small = bpe.Encoder(path, pattern)
     small.words.most = small.pieces.most = 5
     text = "Ordinary sentences, again and again: ordinary sentences. " * 20 + "x" * 400 + "abcabcab" * 50
     assert small.encode(text) == whole.encode(text)
 
 
-def test_round_trip_digests(spark):
-    texts = ["one two", None, "", "é漢"]
-    for r in bpe.round_trip(docs(spark, texts)).collect():
-        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
-        assert (r.n_tokens == 0) == (not texts[r.doc_id])
+def test_round_trip_is_the_library_s(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path, _ = bpe.default_vocabulary()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id"), (-1, None), (-2, ""), (-3, "é漢 " * 50_000), (-4, "twice"), (-4, "twice")], "doc_id long, text string"))
+    df = df.withColumn("n_tokens", F.lit("mine"))
+    texts = {(r.doc_id, r.text or "") for r in df.collect()}
+    want = Counter()
+    for i, t in texts:
+        ids = other.encode_ordinary(t)
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1 + (i == -4)
+    assert Counter(tuple(r) for r in bpe.round_trip(df).collect()) == want
+    assert bpe.round_trip(df.limit(0)).count() == 0
+
+
+def test_decoding_is_incremental():
+    mine = bpe.encoder(*bpe.default_vocabulary())
+    dec = bpe.Decoder(mine.machine.bytes_of)
+    read = []
+    ids = mine.encode("é漢😀 and so on " * 20)
+    stream = dec.stream((read.append(i) or i for i in ids), 5)
+    next(stream)
+    assert len(read) == 5
+    one = {b: i for i, b in mine.machine.bytes_of.items() if len(b) == 1}
+    raw = "a😀é".encode()
+    assert "".join(t for _, t in dec.stream([one[bytes([b])] for b in raw], 1)) == "a😀é"
+    for broken in (raw[:3], raw[2:], b"\xff"):
+        with pytest.raises(UnicodeDecodeError):
+            list(dec.stream([one[bytes([b])] for b in broken], 1))
 
 
 # near copies
