@@ -1,4 +1,10 @@
-"""A corpus pipeline of the llm operators: each stage takes all that the one before kept."""
+"""A corpus pipeline of the llm operators: each stage takes all that the one before kept.
+
+Values, in every stage: null texts count as empty and are kept as such (a null source counts as '' in the
+mixture); rows without doc_id are never near copies and come before all others where order counts; several rows
+of one doc_id each count with their own text, rows alike in doc_id and text go down to one; empty tables give
+empty results; columns besides those of documents are handed on, whatever their names, up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm import bpe, byte_repeats, mixing, simhash, toxicity
-from evidentia.llm.common import table, written
+from evidentia.llm.common import drop_written, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of about 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, a Jaccard coefficient of 0.8 or more) the smallest doc_id stays."""
     return simhash.representatives(docs)
 
 
@@ -48,7 +54,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
