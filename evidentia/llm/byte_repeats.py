@@ -12,17 +12,20 @@ strings of at most ``k + 26`` bytes, which bounds the number of rounds by a cons
 documents' length. A first exchange of 4-byte minimiser keys finds the ones that occur in two or more
 documents (a false agreement of keys only costs work); only strings of these are sent to be indexed,
 each once for each block of documents. The text itself crosses the network once: all three uses of it
-read the same exchange. A minimiser with many occurrences arrives once for each block, with the
-smallest doc_id there.
+read the same exchange. A string with many occurrences arrives once for each block, with the
+smallest doc_id there. A minimiser with ``HOT`` different strings or more is not indexed as one: each of its
+windows is dealt by a hash of its whole content instead, so that no task holds a frequent phrase's contexts.
 
 Values: a null text is empty, a null doc_id comes before all others (and stays null), rows with equal doc_id never
 remove from each other, documents shorter than ``k`` bytes are kept whole, an empty table gives an
-empty result. Other columns are not touched.
+empty result. Other columns are handed on by ``cleaned``, whatever their names (but for n_chars, which is counted
+again), and not read by ``remove_repeats``. Passages of 24 to 200 bytes can be asked for.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +41,12 @@ BLOCK_BYTES = 6 << 20
 
 #: Strings that are indexed together, unless one key has more.
 COLLECTION = 1200
+#: More than the windows of a string.
+_STARTS = 32
+#: Different strings of a key in all blocks from which on its windows are dealt by their whole content.
+HOT = 20_000
+#: Strings of a key in a block from which on they are counted.
+_COUNTED = 16
 #: Windows hashed at a time, so that the arrays stay in the processor's cache.
 _CHUNK = 1 << 15
 
@@ -76,29 +85,25 @@ def _window_least(h: np.ndarray, span: int) -> np.ndarray:
 
 def _runs(raw: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's bytes, cut at the documents' ends: each run's minimiser, first window and number of windows."""
-    if len(raw) < k:
+    n = len(raw) - k + 1
+    if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = np.empty(len(raw) - k + 1, np.uint64)
-    for at in range(0, len(least), _CHUNK):
-        least[at : at + _CHUNK] = _window_least(_mers(raw[at : at + _CHUNK + k - 1]), k - MER + 1)
-    span = k - MER + 1
-    n = len(least)
-    valid = np.ones(n, bool)
-    change = np.ones(n, bool)
-    change[1:] = least[1:] != least[:-1]
     starts = np.concatenate([[0], ends[:-1]])
-    change[starts[starts < n]] = True
-    for back in range(1, k):
-        over = ends - back
-        valid[over[(over >= 0) & (over < n) & (over >= starts)]] = False
-    first = np.flatnonzero(change)
-    length = np.diff(np.append(first, n))
-    kept = valid[first]
-    # the windows at a document's end that leave it are a suffix of its last run
-    bad = np.concatenate([[0], np.cumsum(~valid)])
-    length = length - (bad[first + length] - bad[first])
-    first, length = first[kept & (length > 0)], length[kept & (length > 0)]
-    value = least[first]
+    found, values, before = [], [], np.uint64(0)
+    for at in range(0, n, _CHUNK):
+        least = _window_least(_mers(raw[at : at + _CHUNK + k - 1]), k - MER + 1)
+        change = np.append(not at or least[0] != before, least[1:] != least[:-1])
+        own = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + len(least))]
+        change[own - at] = True
+        before = least[-1]
+        new = np.flatnonzero(change)
+        found.append(new + at)
+        values.append(least[new])
+    first, value = np.concatenate(found), np.concatenate(values)
+    # windows that leave their document are the last ones of its last run
+    length = np.minimum(np.append(first[1:], n), ends[np.searchsorted(ends, first, side="right")] - k + 1) - first
+    value, first, length = value[length > 0], first[length > 0], length[length > 0]
+    span = min(k - MER + 1, _STARTS - 1)
     if len(length) and length.max() > span:
         pieces = -(-length // span)
         at = np.repeat(np.arange(len(first)), pieces)
@@ -119,12 +124,62 @@ class _Block:
         self.ends = np.cumsum([len(x) for x in self.texts], dtype=np.int64)
         self.value, self.first, self.length = _runs(np.frombuffer(self.buffer, np.uint8), self.ends, k)
         self.doc = np.searchsorted(self.ends, self.first, side="right")
-        self.part = (self.value % np.uint64(parts)).astype(np.int64)
+        self.k, self.parts = k, parts
+        self._place()
+
+    def _split(self, rows: np.ndarray, flag: np.ndarray) -> np.ndarray:
+        """These runs become windows of their own, each with a hash of its whole content for a minimiser, so equal ones still meet; the runs' flags after that."""
+        import xxhash
+
+        if not len(rows):
+            return flag
+        hot = np.zeros(len(self.value), bool)
+        hot[rows] = True
+        size = np.where(hot, self.length, 1)
+        at = np.repeat(np.arange(len(size)), size)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        hot = hot[at]
+        self.first, self.length = self.first[at] + step, np.where(hot, 1, self.length[at])
+        self.doc, self.value = self.doc[at], self.value[at]
+        self.value[hot] = np.array([xxhash.xxh64_intdigest(self.buffer[f : f + self.k]) for f in self.first[hot].tolist()], np.uint64)
+        self._place()
+        return flag[at]
+
+    def _place(self) -> None:
+        self.part = (self.value % np.uint64(self.parts)).astype(np.int64)
         self.key = (self.value >> np.uint64(32)).astype(np.uint32)
-        self.k = k
+
+    def _keyed(self, bits: dict[int, bytes]) -> np.ndarray:
+        """The runs of the keys that the parts' bits (in the order of ``keys``) name."""
+        wanted = np.zeros(len(self.value), bool)
+        order = np.argsort(self.part, kind="stable")
+        sorted_part = self.part[order]
+        for p, (keys, _) in self.keys().items():
+            if (own := bits.get(p)) is None:
+                continue
+            hit = keys[np.unpackbits(np.frombuffer(own, np.uint8), count=len(keys)).astype(bool)]
+            if len(hit):
+                rows = order[np.searchsorted(sorted_part, p, "left") : np.searchsorted(sorted_part, p, "right")]
+                wanted[rows] = np.isin(self.key[rows], hit)
+        return np.flatnonzero(wanted)
+
+    def many(self) -> dict[int, dict[int, int]]:
+        """Each part's keys (by their place among its keys) that several runs have, with the number of their different strings."""
+        out: dict[int, dict[int, int]] = {}
+        joint = self.part.astype(np.uint64) << np.uint64(32) | self.key
+        order = np.argsort(joint, kind="stable")
+        edge = np.flatnonzero(np.append(True, joint[order][1:] != joint[order][:-1])) if len(order) else np.zeros(0, np.int64)
+        size = np.diff(np.append(edge, len(order)))
+        found = self.keys()
+        for a, n in zip(edge[size >= _COUNTED].tolist(), size[size >= _COUNTED].tolist(), strict=True):
+            rows = order[a : a + n]
+            p = int(self.part[rows[0]])
+            strings = {self.buffer[f : f + m + self.k - 1] for f, m in zip(self.first[rows].tolist(), self.length[rows].tolist(), strict=True)}
+            out.setdefault(p, {})[int(np.searchsorted(found[p][0], self.key[rows[0]]))] = len(strings)
+        return out
 
     def keys(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Each part's distinct keys, and whether two documents of this block have them."""
+        """Each part's distinct keys, ascending, and whether two documents of this block have them."""
         out = {}
         order = np.lexsort((self.key, self.part))
         part, key, ids = self.part[order], self.key[order], self.ids[self.doc[order]]
@@ -141,21 +196,15 @@ class _Block:
         return out
 
     def strings(self, repeated: dict[int, bytes]) -> dict[int, tuple[dict[bytes, int], list, list, list]]:
-        """Of the repeated keys, each part's distinct strings in order of appearance; the runs' places; the strings' least doc_id and key."""
-        wanted = np.zeros(len(self.value), bool)
-        order = np.argsort(self.part, kind="stable")
-        sorted_part = self.part[order]
-        for p, (keys, _) in self.keys().items():
-            if (bits := repeated.get(p)) is None:
-                continue
-            hit = keys[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(keys)).astype(bool)]
-            if len(hit):
-                a, b = np.searchsorted(sorted_part, p, "left"), np.searchsorted(sorted_part, p, "right")
-                rows = order[a:b]
-                wanted[rows] = np.isin(self.key[rows], hit)
+        """Of the repeated keys, each part's distinct strings in order of appearance; the runs' places; the strings' least doc_id and key.
+
+        Runs of hot keys are split for good, so that places are those of the runs after it.
+        """
+        flag = np.zeros(len(self.value), bool)
+        flag[self._keyed({p: x[: len(x) // 2] for p, x in repeated.items()})] = True
+        rows = np.flatnonzero(self._split(self._keyed({p: x[len(x) // 2 :] for p, x in repeated.items()}), flag))
         out: dict[int, tuple[dict[bytes, int], list, list, list]] = {}
         k, buffer = self.k, self.buffer
-        rows = np.flatnonzero(wanted)
         for p, first, n, i, d in zip(self.part[rows].tolist(), self.first[rows].tolist(), self.length[rows].tolist(), rows.tolist(), self.ids[self.doc[rows]].tolist(), strict=True):
             if (x := out.get(p)) is None:
                 x = out[p] = ({}, [], [], [])
@@ -170,10 +219,6 @@ class _Block:
         return out
 
 
-#: More than the windows of a string.
-_STARTS = 32
-
-
 def collection_bwt(strings: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(owner, common) of the collection's suffixes of at least ``k`` bytes and all others, in lexical order.
 
@@ -282,22 +327,33 @@ def _find_keys(k: int, parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         release()
         block = t.column("_block")[0].as_py()
-        rows = [(block, p, keys.tobytes() + np.packbits(twice).tobytes()) for p, (keys, twice) in _Block(t, k, parts).keys().items()]
+        b = _Block(t, k, parts)
+        many, rows = b.many(), []
+        for p, (keys, twice) in b.keys().items():
+            several = many.get(p, {})
+            head = np.array([len(keys), len(several)], np.int64).tobytes()
+            counts = np.array(list(several), np.uint32).tobytes() + np.array(list(several.values()), np.uint32).tobytes()
+            rows.append((block, p, head + counts + keys.tobytes() + np.packbits(twice).tobytes()))
+        del b
+        release()
         return pa.Table.from_batches([_blobs(rows)])
 
     return run
 
 
 def _repeated_keys(t: pa.Table) -> pa.Table:
-    """A part's rows of all blocks: a bit for each key, set if two documents anywhere have it."""
-    found, sizes = [], []
+    """A part's rows of all blocks: two bits for each key, one set if two documents anywhere have it, one if it is hot."""
+    found, sizes, total = [], [], Counter()
     for blob in t.column("blob"):
         raw = blob.as_py()
-        n = (len(raw) * 8) // 33  # 4 bytes and a bit for each key
-        while 4 * n + -(-n // 8) < len(raw):
-            n += 1
-        found.append((np.frombuffer(raw, np.uint32, n), np.unpackbits(np.frombuffer(raw, np.uint8, offset=4 * n), count=n).astype(bool)))
+        n, m = np.frombuffer(raw, np.int64, 2).tolist()
+        at = 16 + 8 * m
+        own = np.frombuffer(raw, np.uint32, n, at)
+        for place, count in zip(np.frombuffer(raw, np.uint32, m, 16).tolist(), np.frombuffer(raw, np.uint32, m, 16 + 4 * m).tolist(), strict=True):
+            total[int(own[place])] += count
+        found.append((own, np.unpackbits(np.frombuffer(raw, np.uint8, offset=at + 4 * n), count=n).astype(bool)))
         sizes.append(n)
+    hot = np.isin(np.concatenate([x[0] for x in found]), np.array([key for key, n in total.items() if n >= HOT], np.uint32))
     keys, twice = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
     order = np.argsort(keys, kind="stable")
     same = np.zeros(len(keys), bool)
@@ -308,7 +364,7 @@ def _repeated_keys(t: pa.Table) -> pa.Table:
     twice[order] |= same
     rows, at = [], 0
     for block, n in zip(t.column("block").to_pylist(), sizes, strict=True):
-        rows.append((block, t.column("part")[0].as_py(), np.packbits(twice[at : at + n]).tobytes()))
+        rows.append((block, t.column("part")[0].as_py(), np.packbits(twice[at : at + n]).tobytes() + np.packbits((hot & twice)[at : at + n]).tobytes()))
         at += n
     return pa.Table.from_batches([_blobs(rows)])
 
@@ -322,6 +378,8 @@ def _send_strings(k: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table
             for p, (strings, _, least, at) in b.strings(dict(zip(bits.column("part").to_pylist(), bits.column("blob").to_pylist(), strict=True))).items():
                 head = np.array([len(strings)], np.int64).tobytes() + np.array(least, np.int64).tobytes() + b.key[at].tobytes() + np.array([len(s) for s in strings], np.uint8).tobytes()
                 rows.append((block, p, head + b"".join(strings)))
+            del b
+        release()
         return pa.Table.from_batches([_blobs(rows)])
 
     return run
@@ -354,6 +412,8 @@ def _index_strings(k: int) -> Callable[[pa.Table], pa.Table]:
         weight = np.int64(1) << np.arange(least.shape[1], dtype=np.int64)
         part = t.column("part")[0].as_py()
         rows = [(block, part, ((least[ref] < own[:, None]) @ weight).astype(np.int32).tobytes()) for block, (ref, own) in zip(t.column("block").to_pylist(), refs, strict=True)]
+        del whole, docs, keys, refs, least
+        release()
         return pa.Table.from_batches([_blobs(rows)])
 
     return run
@@ -410,12 +470,12 @@ def _clean(k: int, parts: int, columns: list[str]) -> Callable[[pa.Table, pa.Tab
         for i, raw, spans in _cuts(docs, sent, k, parts):
             order.append(i)
             texts.append(cut_text(raw, spans))
-        out = docs.select(columns).take(pa.array(order, pa.int64()))
-        out = out.set_column(columns.index("text"), "text", pa.array(texts, pa.string()))
+        rest = docs.column("row").combine_chunks().take(pa.array(order, pa.int64()))
+        others = [c for c in columns if c != "text"]
+        out = {c: pa.array(texts, pa.string()) if c == "text" else rest.field(others.index(c)) for c in columns}
         if "n_chars" in columns:
-            at = columns.index("n_chars")
-            out = out.set_column(at, "n_chars", pa.array([len(t) for t in texts], out.schema.field(at).type))
-        return out
+            out["n_chars"] = pa.array([len(t) for t in texts], out["n_chars"].type)
+        return pa.table(out)
 
     return run
 
@@ -451,10 +511,16 @@ def cut_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
 
 
 def _plan(docs: DataFrame, k: int, block_bytes: int, clean: bool) -> DataFrame:
+    if not MER <= k <= 200:
+        raise ValueError(f"passages of {MER} to 200 bytes are found")
     total = docs.agg(F.sum(F.octet_length(text_of())).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    blocked = docs.withColumn("text", text_of()).withColumn("_id", own).withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
+    # the other columns as one value: no name of theirs can clash with one of these
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]) if clean else F.col("doc_id")
+    blocked = docs.select(rest.alias("row" if clean else "doc_id"), own.alias("_id"), text_of().alias("text"))
+    # by the text, too: many rows may have no doc_id
+    blocked = blocked.withColumn("_block", F.pmod(F.xxhash64("_id", "text"), F.lit(blocks)))
     by_block = blocked.groupBy("_block")
     keys = by_block.applyInArrow(_find_keys(k, blocks), _BLOB)
     bits = keys.groupBy("part").applyInArrow(_repeated_keys, _BLOB)

@@ -374,7 +374,8 @@ def link_components(prints: DataFrame, bits: int, tables: np.ndarray, decide: Ca
     edges, labelled = None, plain
     if decide is not None or not heavy.isEmpty():
         # where pairs are links by themselves, only the rows of heavy cells need hubs
-        hubs = _to_hubs(rows if decide is not None else rows.join(heavy, "cell", "left_semi"), words, bits)
+        narrow = rows.select("cell", "at", "node", "copies", *words)
+        hubs = _to_hubs(narrow if decide is not None else narrow.join(heavy, "cell", "left_semi"), words, bits)
         edges = decide(hubs) if decide is not None else cut(hubs)
         roots = components(edges)
         labelled = plain.join(roots, "node", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
@@ -482,7 +483,9 @@ def representatives(docs: DataFrame) -> DataFrame:
     drop_written(prints, found)
     # the documents as one value: no name of theirs can clash with one of these
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("digest")]
-    kept = docs.select(F.struct("*").alias("row"), *key).join(gone, ["doc_id", "digest"], "left_anti")
+    # two longs a row: with so few of them the documents stay where they are
+    few = F.broadcast(gone) if gone.count() <= SMALL else gone
+    kept = docs.select(F.struct("*").alias("row"), *key).join(few, ["doc_id", "digest"], "left_anti")
     if not twice.isEmpty():
         alike = kept.join(twice, ["doc_id", "digest"], "left_semi").groupBy("doc_id", "digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
         kept = kept.join(twice, ["doc_id", "digest"], "left_anti").select("row").unionByName(alike.select("row"))
