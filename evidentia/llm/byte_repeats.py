@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import NO_ID, release, text_of
+from evidentia.llm.common import NO_ID, release, small_batches, text_of
 
 MER = 24
 #: Text of a block, and what one index holds before it, in bytes.
@@ -513,6 +513,7 @@ def cut_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
 def _plan(docs: DataFrame, k: int, block_bytes: int, clean: bool) -> DataFrame:
     if not MER <= k <= 200:
         raise ValueError(f"passages of {MER} to 200 bytes are found")
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_of())).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))

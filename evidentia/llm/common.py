@@ -5,10 +5,14 @@ from __future__ import annotations
 import contextlib
 import sys
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows without a doc_id take this one, so that they have a defined place: before all others.
 NO_ID = -(1 << 63)
 
@@ -79,6 +83,25 @@ def release(keep: str = "") -> None:
     trim()
 
 
+def frugal(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[Iterator], Iterator]:
+    """The function of a task's batches, with ``release`` before it and ``trim`` after it: workers wait for their next task with little memory."""
+
+    def run_and_trim(batches: Iterator) -> Iterator:
+        release(keep)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return run_and_trim
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python some megabytes at a time, whatever their length, unless the session says otherwise."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def trim() -> None:
     """Hands memory that is free within this process back to the machine, where the C library can."""
     import ctypes
