@@ -1,15 +1,18 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
-Two dictionaries are built from labelled texts of either class. A text is compressed whole with each and
-with none. The normalised difference (bad - good) / larger tells which class' phrases it repeats; with
-the sizes in proportion to the text and to plain compression, a logistic calibration turns it into the
-probability of label 1. The dictionaries and the calibration are fitted on disjoint parts of a sample of
-at most ``SAMPLE`` labelled rows a class, the ones with the least hash, of texts of at most
-``SAMPLE_CHARS`` code points; scoring sees whole texts of any length. Labels, lang, source and doc_id
-are no inputs of a score.
-
-Values: a null text is empty, and has a score like any other. Without rows of both classes to learn from
-every score is 0.5. An empty table gives an empty result.
+Two dictionaries are built from labelled texts of either class, cut into pieces of ``PIECE`` bytes. A text is
+compressed whole, piece by piece, with each of them; the normalised difference (bad - good) / larger of the two
+total sizes tells which class' phrases it repeats, alike for short and long texts. A logistic calibration of the
+difference alone gives the probability of label 1; nothing else of a text enters its score.
+
+The dictionaries and the calibration are fitted on disjoint parts of a sample: at most ``SAMPLE`` labelled rows a
+class, the ones with the least hash, of texts of at most ``SAMPLE_CHARS`` code points, and of these the first
+``SAMPLE_BYTES`` bytes a class. All of the sample is used. Scoring sees whole texts of any length. Labels, lang,
+source and doc_id are no inputs of a score.
+
+Values: a null text is empty, and has a score like any other. Rows of one doc_id are scored each by its text, null
+doc_ids are handed on and not held out; of rows alike in text and label the sample has one. Without rows of both
+classes to learn from every score is 0.5. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,22 +22,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import held_out, release, text_of
+from evidentia.llm.common import frugal, held_out, small_batches, text_of
 
 SAMPLE = 2500
 SAMPLE_CHARS = 40_000
+SAMPLE_BYTES = 6 << 20
 DICTIONARY = 65_536
+PIECE = 1024
 LEVEL = 3
 THRESHOLD = 0.3
-#: Bytes of a class that its dictionary is built from.
-DICTIONARY_INPUT = 4 << 20
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int) -> DataFrame:
-    """(text, y, pick): at most so many rows a class, none held out; pick is a hash in whose order they were chosen."""
+    """(doc_id, text, y, pick): at most so many labelled rows a class, none held out; pick is a hash in whose order they were chosen."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out())
     rows = rows.withColumn("pick", F.xxhash64("doc_id", "y"))
     chosen = [rows.filter(F.col("y") == y).orderBy("pick", "doc_id").limit(per_class) for y in (0, 1)]
@@ -54,15 +57,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
     return w
 
 
+def pieces(text: bytes) -> list[bytes]:
+    return [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
+
+
 @dataclass
 class Model:
+    """``bias`` and ``slope`` turn the difference into the log odds of label 1."""
+
     good: bytes
     bad: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    bias: float = 0.0
+    slope: float = 1.0
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
+    def differences(self, texts: list[bytes]) -> np.ndarray:
+        """The normalised compressed-size difference of each text: above 0 where the good dictionary fits better."""
         import zstandard
 
         if not hasattr(self, "_by"):
@@ -70,26 +79,26 @@ class Model:
             for raw in (self.good, self.bad):
                 d = zstandard.ZstdCompressionDict(raw)
                 d.precompute_compress(level=LEVEL)
-                self._by.append(zstandard.ZstdCompressor(dict_data=d))
-            self._by.append(zstandard.ZstdCompressor(level=LEVEL))
-        sizes = np.array([[len(c.compress(t)) for c in self._by] + [len(t)] for t in texts], float).reshape(-1, 4)
-        g, b, plain, n = sizes.T
-        difference, ratio = (b - g) / np.maximum(g, b), b / np.maximum(n, 1)
-        return np.column_stack([np.ones(len(texts)), difference, ratio, (plain - g) / plain, (plain - b) / plain, np.log(np.maximum(n, 1)), difference**2, difference * ratio, ratio**2])
+                self._by.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False))
+        good, bad = (np.array([sum(len(c.compress(p)) for p in pieces(t)) for t in texts], float) for c in self._by)
+        return (bad - good) / np.maximum(np.maximum(good, bad), 1)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        z = ((self.features(texts) - self.mean) / self.scale) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * self.differences(texts), -30, 30)))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_by"}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model | None:
     """None without enough rows of both classes."""
+    small_batches(docs.sparkSession)
     import zstandard
 
-    rows = sorted({(r.pick, r.text, r.y) for r in labelled_sample(docs, labels, label, per_class, SAMPLE_CHARS).collect()})
+    # within the sample's rows, so many as the parameters allow
+    order = Window.partitionBy("y").orderBy("pick", "text").rowsBetween(Window.unboundedPreceding, 0)
+    sample = labelled_sample(docs, labels, label, per_class, SAMPLE_CHARS).withColumn("total", F.sum(F.octet_length("text")).over(order))
+    rows = sorted({(r.pick, r.text, r.y) for r in sample.filter(F.col("total") <= most_bytes).select("pick", "text", "y").collect()})
     by: dict[int, list[bytes]] = {0: [], 1: []}
     calibrate: list[tuple[bytes, int]] = []
     for i, (_, text, y) in enumerate(rows):
@@ -101,22 +110,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         return None
     dictionaries = []
     for y in (1, 0):
-        kept, n = [], 0
-        for t in dict.fromkeys(by[y]):
-            if n < DICTIONARY_INPUT:
-                kept.append(t)
-                n += len(t)
+        kept = [p for t in dict.fromkeys(by[y]) for p in pieces(t)]
         try:
-            dictionaries.append(zstandard.train_dictionary(min(DICTIONARY, max(1024, n // 8)), kept).as_bytes())
+            dictionaries.append(zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, kept)) // 8)), kept).as_bytes())
         except zstandard.ZstdError:
             # too little text to choose from: the text itself, in order, is the dictionary
             dictionaries.append(b"".join(kept)[-DICTIONARY:])
-    width = 9
-    model = Model(dictionaries[0], dictionaries[1], np.zeros(width), np.ones(width), np.zeros(width))
-    x, y = model.features([t for t, _ in calibrate]), np.array([y for _, y in calibrate], float)
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    model.mean[0], model.scale[0] = 0, 1
-    model.weights = logistic((x - model.mean) / model.scale, y)
+    model = Model(*dictionaries)
+    d, y = model.differences([t for t, _ in calibrate]), np.array([y for _, y in calibrate], float)
+    unit = d.std() + 1e-9
+    bias, slope = logistic(np.column_stack([np.ones(len(d)), d / unit]), y)
+    model.bias, model.slope = float(bias), float(slope / unit)
     return model
 
 
@@ -124,7 +128,6 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, held_out, score) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             texts = batch.column("text")
             out = np.concatenate([model.score([t.as_py().encode() for t in texts[a : a + 256]]) for a in range(0, len(texts), 256)] or [np.zeros(0)])
@@ -133,4 +136,4 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(0.5).alias("score"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return rows.mapInArrow(frugal(run), "doc_id long, held_out boolean, score double")
