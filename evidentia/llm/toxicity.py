@@ -1,16 +1,20 @@
 """Toxicity: a logistic classifier that identity terms must not move.
 
-Features are the presence of words, lower-cased and without punctuation at their ends, and of word
-starts of 4 to 6 letters, which find inflected and compounded insults. From a sample of at most
-``SAMPLE`` labelled rows a class, Spark counts in how many distinct texts of either class each feature
-stands; the ``FEATURES`` most telling are the vocabulary.
+Features are the presence of words (lower-cased runs of letters, digits and signs inside them) and of word
+starts of 4 to 8 letters, which find inflected and compounded insults. From a sample of at most
+``SAMPLE`` labelled rows a class, of at most ``SAMPLE_CHARS`` code points each, Spark counts in how many distinct
+texts of either class each feature stands; the ``FEATURES`` most telling are the vocabulary, and so is every
+identity term that the sample or its swapped texts hold, telling or not.
 
 Training minimises the log loss plus ``PENALTY`` times the squared change of the score when each
-labelled sentence's identity terms are swapped for others of their group, so that a neutral mention of a
-group is not what makes a text toxic. Labels, lang, source and doc_id are no inputs of a score.
-
-Values: a null text is empty. Without rows of both classes, or any telling feature, to learn from every score is 0 (nothing is
-rejected). An empty table gives an empty result.
+labelled text's identity terms are swapped for others of their group, so that a neutral mention of a
+group is not what makes a text toxic. The terms are a parameter; ``IDENTITY_TERMS`` are of four languages.
+Labels, lang, source and doc_id are no inputs of a score.
+
+Values: a null text is empty. Rows of one doc_id are scored each by its text; null doc_ids are handed on, not held
+out, and have no label. A text that is labelled both ways is not learnt from. Without rows of both classes, or any
+telling feature, to learn from every score is 0 (nothing is rejected). An empty table gives an empty result. Other
+columns are not read, and handed on by ``keep_clean`` whatever their names.
 """
 
 from __future__ import annotations
@@ -25,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, held_out, release, text_of
+from evidentia.llm.common import cut, frugal, held_out, small_batches, text_of
 from evidentia.llm.quality import labelled_sample
 
 SAMPLE = 8000
 SAMPLE_CHARS = 200_000
 FEATURES = 4000
 #: A feature counts from so many distinct texts on.
-LEAST_TEXTS = 6
-#: The log odds, less two standard errors, from which a feature tells a text toxic.
+LEAST_TEXTS = 5
+#: The log odds, less a standard error, from which a feature tells a text toxic.
 ODDS = 2.0
+#: Features that a task counts before it hands them on.
+COUNTED = 400_000
 PENALTY = 4.0
 THRESHOLD = 0.5
 
@@ -57,26 +63,31 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"),
     ("musulmanes", "cristianos", "judíos"),
 )
-_SWAP = {t: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, t in enumerate(line)}
-_ENDS = re.compile(r"^\W+|\W+$")
+_WORD = re.compile(r"\w+(?:['’-]\w+)*")
+
 
+def swaps(lines: tuple[tuple[str, ...], ...]) -> dict[str, str]:
+    return {t: line[(i + 1) % len(line)] for line in lines for i, t in enumerate(line)}
 
-def word_features(word: str) -> tuple[str, ...]:
-    word = _ENDS.sub("", word)
-    if not word or len(word) > 40:
-        return ()
-    return (word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n))
+
+def word_features(token: str) -> tuple[str, ...]:
+    """Of a run between white space: its words and their starts."""
+    out: list[str] = []
+    for word in _WORD.findall(token):
+        out.append(word)
+        out += [f"{word[:n]}-" for n in (4, 5, 6, 7, 8) if len(word) > n]
+    return tuple(out)
 
 
 def text_features(text: str) -> set[str]:
     return {f for w in set(text.lower().split()) for f in word_features(w)}
 
 
-def swapped(text: str) -> str | None:
-    """The text with its identity terms swapped; None if it has none."""
-    words = text.lower().split()
-    out = [_SWAP.get(_ENDS.sub("", w), w) for w in words]
-    return " ".join(out) if out != words else None
+def swapped(text: str, swap: dict[str, str]) -> str | None:
+    """The text in lower case with its identity terms swapped; None if it has none."""
+    low = text.lower()
+    out = _WORD.sub(lambda m: swap.get(m.group(), m.group()), low)
+    return out if out != low else None
 
 
 @dataclass
@@ -104,21 +115,28 @@ class Model:
 
 
 def _count(sample: DataFrame) -> DataFrame:
-    """(feature, toxic, clean): in how many texts, summed for each batch before the exchange."""
+    """(feature, toxic, clean): in how many texts, summed in each task before the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        by = (Counter(), Counter())
+
+        def counted() -> pa.RecordBatch:
+            names = list(by[0].keys() | by[1].keys())
+            return pa.record_batch([pa.array(names, pa.string()), pa.array([by[1][f] for f in names], pa.int64()), pa.array([by[0][f] for f in names], pa.int64())], ["feature", "toxic", "clean"])
+
         for batch in batches:
-            by = (Counter(), Counter())
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 by[y].update(text_features(text))
-            names = list(by[0].keys() | by[1].keys())
-            yield pa.record_batch([pa.array(names, pa.string()), pa.array([by[1][f] for f in names], pa.int64()), pa.array([by[0][f] for f in names], pa.int64())], ["feature", "toxic", "clean"])
+            if len(by[0]) + len(by[1]) > COUNTED:
+                yield counted()
+                by[0].clear()
+                by[1].clear()
+        yield counted()
 
-    return sample.mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.mapInArrow(frugal(run), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _rows(sample: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+def _rows(sample: DataFrame, vocabulary: dict[str, int], swap: dict[str, str]) -> DataFrame:
     """(pick, y, ids, other): the vocabulary's features of each text, and of the text with identity terms swapped (null if it has none)."""
 
     def ids(text: str) -> list[int]:
@@ -127,11 +145,11 @@ def _rows(sample: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            other = [swapped(t) for t in texts]
+            other = [swapped(t, swap) for t in texts]
             kind = pa.list_(pa.int32())
             yield pa.record_batch([batch.column("pick"), batch.column("y"), pa.array([ids(t) for t in texts], kind), pa.array([None if o is None else ids(o) for o in other], kind)], ["pick", "y", "ids", "other"])
 
-    return sample.mapInArrow(run, "pick long, y int, ids array<int>, other array<int>")
+    return sample.mapInArrow(frugal(run), "pick long, y int, ids array<int>, other array<int>")
 
 
 class _Sparse:
@@ -181,8 +199,12 @@ def train(rows: list[tuple[int, list[int], list[int] | None]], width: int, penal
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE) -> Model | None:
-    sample = cut(labelled_sample(docs, labels, label, per_class, SAMPLE_CHARS).dropDuplicates(["text"]))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = PENALTY) -> Model | None:
+    """None without rows of both classes or a telling feature; terms: lines of identity terms, each swapped for the next of its line."""
+    small_batches(docs.sparkSession)
+    swap = swaps(terms)
+    sample = labelled_sample(docs, labels, label, per_class, SAMPLE_CHARS)
+    sample = cut(sample.groupBy("text").agg(F.min("pick").alias("pick"), F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").select("text", "pick", "y"))
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return None
@@ -190,22 +212,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     odds = F.log(toxic / clean)
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     least = min(LEAST_TEXTS, max(2, sizes[1] // 4))
-    table = _count(sample).filter(F.col("toxic") + F.col("clean") >= least).filter(odds - 2 * error > ODDS)
+    counted = cut(_count(sample))
+    table = counted.filter(F.col("toxic") + F.col("clean") >= least).filter(odds - error > ODDS)
     told = odds * F.sqrt(F.col("toxic") + F.col("clean"))
     names = [r["feature"] for r in table.orderBy(told.desc(), "feature").limit(FEATURES).collect()]
     if not names:
         return None
+    # a handful of terms, and what they are swapped for
+    there = [r["feature"] for r in counted.filter(F.col("feature").isin(*swap)).select("feature").collect()] if swap else []
+    names += sorted({f for t in there for f in (t, swap[t])} - {*names})
     vocabulary = {f: i for i, f in enumerate(names)}
-    rows = sorted((r["pick"], r["y"], r["ids"], r["other"]) for r in _rows(sample, vocabulary).collect())
-    w, b = train([r[1:] for r in rows], len(vocabulary))
+    found = [(r["pick"], r["y"], r["ids"], r["other"]) for r in _rows(sample, vocabulary, swap).collect()]
+    rows = sorted(found, key=lambda r: (r[0], r[1], r[2], r[3] or []))
+    w, b = train([r[1:] for r in rows], len(vocabulary), penalty)
     return Model({f: float(w[i]) for f, i in vocabulary.items() if w[i]}, float(b))
 
 
 def scores(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, held_out, score) of every whole text."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             out = [model.score(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"])
@@ -213,18 +240,18 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return rows.mapInArrow(frugal(run), "doc_id long, held_out boolean, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, whose score is below the threshold."""
+    small_batches(docs.sparkSession)
     if model is None:
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             keep = pa.array([model.score(t.as_py() or "") < threshold for t in batch.column("text")], pa.bool_())
             yield batch.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
