@@ -59,4 +59,4 @@ def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix, op2_main_text, op3_cross_entropy_difference, op4_quality, op5_bpe_round_trip, op6_toxicity, op7_simhash_classes, op8_sketches, op9_media, op10_byte_repeats)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {"op1_mix": mixing.SQL}
+ORACLE: dict[str, str] = {"op1_mix": mixing.SQL, "op8_sketches": sketches.SQL}
