@@ -10,7 +10,10 @@ Payloads are stored losslessly as 8-bit PCM in a RIFF/WAVE container: one byte,
 
 Values: a null or empty value has no type, no length and no embedded media; a value whose start no
 validator confirms keeps its declared type, unconfirmed. Tie of formats at one place: the first of
-``FORMATS``. A value of any length is read whole, once by the automaton and once by each hit's validator.
+``FORMATS``. A value of any length is read whole, once by the automaton; validators share what they learn of a
+value, so that text full of magic bytes is no dearer (but for data made of valid chunks inside each other).
+``round_trip`` hands on null and repeated doc_ids, a row for each document, and reads no other columns; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,101 +30,152 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import text_of
+from evidentia.llm.common import frugal, small_batches, text_of
 
 RATE = 8000
 UNIT = 64
 
 
-def _riff(data: bytes, at: int, form: bytes, first: bytes | None) -> int | None:
+class Value:
+    """A value's bytes, and what validators have learnt of them: each place is looked at once, however many hits lead to it."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self._marks: dict[bytes, list[int]] = {}
+        self._memos: dict[str, dict] = {}
+        self._jpeg: np.ndarray | None = None
+
+    def marks(self, mark: bytes) -> list[int]:
+        """All places of a mark, ascending."""
+        if mark not in self._marks:
+            found, at = [], self.data.find(mark)
+            while at >= 0:
+                found.append(at)
+                at = self.data.find(mark, at + 1)
+            self._marks[mark] = found
+        return self._marks[mark]
+
+    def jpeg_markers(self) -> np.ndarray:
+        """Places of 0xff that are neither stuffed nor restarts."""
+        if self._jpeg is None:
+            x = np.frombuffer(self.data, np.uint8)
+            nxt = x[1:]
+            self._jpeg = np.flatnonzero((x[:-1] == 0xFF) & (nxt != 0) & ((nxt < 0xD0) | (nxt > 0xD7)))
+        return self._jpeg
+
+    def memo(self, name: str) -> dict:
+        return self._memos.setdefault(name, {})
+
+    def follow(self, name: str, p: int, step: Callable[[int], tuple[int | None, int | None]]) -> int | None:
+        """Where a chain that begins at p ends; step: the next place (always further on), or None and the end (None: broken)."""
+        memo, path = self.memo(name), []
+        while p not in memo:
+            path.append(p)
+            nxt, end = step(p)
+            if nxt is None:
+                break
+            p = nxt
+        else:
+            end = memo[p]
+        memo.update(dict.fromkeys(path, end))
+        return end
+
+
+def _riff(v: Value, at: int, form: bytes, first: bytes | None) -> int | None:
+    data = v.data
     if len(data) < at + 12 or data[at + 8 : at + 12] != form:
         return None
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
     if end > len(data) or end < at + 12:
         return None
-    p, seen = at + 12, []
+    p, seen = at + 12, set()
     while p + 8 <= end:
         size = struct.unpack_from("<I", data, p + 4)[0]
         if p + 8 + size > end:
             return None
-        seen.append(data[p : p + 4])
+        seen.add(data[p : p + 4])
         p += 8 + size + size % 2
     return end - at if seen and (first is None or first in seen) else None
 
 
-def _wav(data: bytes, at: int) -> int | None:
-    return _riff(data, at, b"WAVE", b"data")
+def _wav(v: Value, at: int) -> int | None:
+    return _riff(v, at, b"WAVE", b"data")
 
 
-def _webp(data: bytes, at: int) -> int | None:
-    return _riff(data, at, b"WEBP", None)
+def _webp(v: Value, at: int) -> int | None:
+    return _riff(v, at, b"WEBP", None)
 
 
-def _avi(data: bytes, at: int) -> int | None:
-    return _riff(data, at, b"AVI ", None)
+def _avi(v: Value, at: int) -> int | None:
+    return _riff(v, at, b"AVI ", None)
 
 
-def _png(data: bytes, at: int) -> int | None:
-    p, first = at + 8, True
-    while p + 12 <= len(data):
-        size = struct.unpack_from(">I", data, p)[0]
-        if p + 12 + size > len(data) or first and (data[p + 4 : p + 8] != b"IHDR" or size != 13):
-            return None
-        if zlib.crc32(data[p + 4 : p + 8 + size]) != struct.unpack_from(">I", data, p + 8 + size)[0]:
-            return None
-        first, p = False, p + 12 + size
-        if data[p - 8 - size : p - 4 - size] == b"IEND":
-            return p - at
-    return None
+def _png(v: Value, at: int) -> int | None:
+    data = v.data
+
+    def chunk(p: int) -> tuple[int | None, int | None]:
+        if p + 12 > len(data):
+            return None, None
+        size, kind = struct.unpack_from(">I4s", data, p)
+        end = p + 12 + size
+        if end > len(data) or not kind.isalpha() or zlib.crc32(data[p + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
+            return None, None
+        return (None, end) if kind == b"IEND" else (end, None)
+
+    if data[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        return None
+    end = v.follow("png", at + 8, chunk)
+    return end - at if end else None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(v: Value, at: int) -> int | None:
+    data = v.data
     if len(data) < at + 13:
         return None
-    flags, p = data[at + 10], at + 13
-    p += 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-
-    def blocks(p: int) -> int:
-        while p < len(data) and data[p]:
-            p += 1 + data[p]
-        return p + 1
-
-    while p < len(data):
-        if data[p] == 0x3B:
-            return p + 1 - at
-        if data[p] == 0x21:
-            p = blocks(p + 2)
-        elif data[p] == 0x2C and p + 10 <= len(data):
-            flags = data[p + 9]
-            p = blocks(p + 10 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0) + 1)
-        else:
-            return None
-    return None
+
+    def sub(p: int) -> tuple[int | None, int | None]:
+        return (p + 1 + data[p], None) if p < len(data) and data[p] else (None, p + 1)
+
+    def block(p: int) -> tuple[int | None, int | None]:
+        if p < len(data) and data[p] == 0x3B:
+            return None, p + 1
+        if p < len(data) and data[p] == 0x21:
+            return v.follow("gif-sub", p + 2, sub), None
+        if p + 10 <= len(data) and data[p] == 0x2C:
+            own = data[p + 9]
+            return v.follow("gif-sub", p + 11 + (3 << ((own & 7) + 1) if own & 0x80 else 0), sub), None
+        return None, None
+
+    flags = data[at + 10]
+    end = v.follow("gif", at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0), block)
+    return end - at if end else None
 
 
-def _jpeg(data: bytes, at: int) -> int | None:
-    p = at + 2
-    while p + 4 <= len(data) and data[p] == 0xFF:
-        kind = data[p + 1]
-        if kind == 0xD9:
-            return p + 2 - at
+def _jpeg(v: Value, at: int) -> int | None:
+    data = v.data
+
+    def segment(p: int) -> tuple[int | None, int | None]:
+        if data[p : p + 2] == b"\xff\xd9":
+            return None, p + 2
+        if p + 4 > len(data) or data[p] != 0xFF:
+            return None, None
         size = struct.unpack_from(">H", data, p + 2)[0]
         if size < 2 or p + 2 + size > len(data):
-            return None
-        p += 2 + size
-        if kind == 0xDA:
-            while True:
-                p = data.find(b"\xff", p)
-                if p < 0 or p + 1 >= len(data):
-                    return None
-                if data[p + 1] == 0 or 0xD0 <= data[p + 1] <= 0xD7:
-                    p += 2
-                else:
-                    break
-    return p + 2 - at if data[p : p + 2] == b"\xff\xd9" else None
-
-
-def _bmp(data: bytes, at: int) -> int | None:
+            return None, None
+        nxt = p + 2 + size
+        if data[p + 1] == 0xDA:
+            # the scan's own bytes end at the next marker
+            markers = v.jpeg_markers()
+            i = int(np.searchsorted(markers, nxt))
+            return (int(markers[i]), None) if i < len(markers) else (None, None)
+        return nxt, None
+
+    end = v.follow("jpeg", at + 2, segment)
+    return end - at if end else None
+
+
+def _bmp(v: Value, at: int) -> int | None:
+    data = v.data
     if len(data) < at + 30:
         return None
     size, reserved, offset, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", data, at + 2)
@@ -128,7 +183,8 @@ def _bmp(data: bytes, at: int) -> int | None:
     return size if good and 26 <= offset <= size <= len(data) - at else None
 
 
-def _au(data: bytes, at: int) -> int | None:
+def _au(v: Value, at: int) -> int | None:
+    data = v.data
     if len(data) < at + 24:
         return None
     offset, size, encoding, rate, channels = struct.unpack_from(">IIIII", data, at + 4)
@@ -136,38 +192,48 @@ def _au(data: bytes, at: int) -> int | None:
     return offset + size if good and offset + size <= len(data) - at else None
 
 
-def _aiff(data: bytes, at: int) -> int | None:
+def _aiff(v: Value, at: int) -> int | None:
+    data = v.data
     if data[at + 8 : at + 12] not in (b"AIFF", b"AIFC"):
         return None
     end = at + 8 + struct.unpack_from(">I", data, at + 4)[0]
+    if end > len(data):
+        return None
     p, seen = at + 12, set()
-    while p + 8 <= min(end, len(data)):
+    while p + 8 <= end:
         size = struct.unpack_from(">I", data, p + 4)[0]
         seen.add(data[p : p + 4])
         p += 8 + size + size % 2
-    return end - at if b"COMM" in seen and end <= len(data) and p >= end else None
+    return end - at if b"COMM" in seen and p >= end else None
+
 
+def _ogg(v: Value, at: int) -> int | None:
+    data = v.data
 
-def _ogg(data: bytes, at: int) -> int | None:
-    p = at
-    while data[p : p + 4] == b"OggS" and p + 27 <= len(data):
+    def page(p: int) -> tuple[int | None, int | None]:
+        if data[p : p + 4] != b"OggS" or p + 27 > len(data) or data[p + 4]:
+            return None, None
         n = data[p + 26]
-        size = 27 + n + sum(data[p + 27 : p + 27 + n])
-        if data[p + 4] or p + size > len(data):
-            return None
-        p += size
-        if data[p - size + 5] & 4:
-            return p - at
-    return None
+        end = p + 27 + n + sum(data[p + 27 : p + 27 + n])
+        if end > len(data):
+            return None, None
+        return (None, end) if data[p + 5] & 4 else (end, None)
 
+    # a stream begins with a page that says so; its other pages are no media of their own
+    end = v.follow("ogg", at, page) if len(data) > at + 5 and data[at + 5] & 2 else None
+    return end - at if end else None
 
-def _pdf(data: bytes, at: int) -> int | None:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and data.find(b"startxref", at, end) >= 0 and data[at + 5 : at + 6].isdigit() else None
+
+def _pdf(v: Value, at: int) -> int | None:
+    ends, starts = v.marks(b"%%EOF"), v.marks(b"startxref")
+    i, j = bisect_left(ends, at), bisect_left(starts, at)
+    if i == len(ends) or j == len(starts) or starts[j] + 9 > ends[i] or not v.data[at + 5 : at + 6].isdigit():
+        return None
+    return ends[i] + 5 - at
 
 
-def _gzip(data: bytes, at: int) -> int | None:
-    z = zlib.decompressobj(31)
+def _gzip(v: Value, at: int) -> int | None:
+    data, z = v.data, zlib.decompressobj(31)
     try:
         p = at
         while p < len(data) and not z.eof:
@@ -180,29 +246,41 @@ def _gzip(data: bytes, at: int) -> int | None:
     return min(p, len(data)) - len(z.unused_data) - at if z.eof else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    end = data.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(data) - 22:
-        size, offset, note = struct.unpack_from("<IIH", data, end + 12)
-        if at + offset + size == end and data[at + offset : at + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(data):
-            return end + 22 + note - at
-        end = data.find(b"PK\x05\x06", end + 4)
-    return None
-
-
-def _mp4(data: bytes, at: int) -> int | None:
-    p, seen = at, set()
-    while p + 8 <= len(data):
+def _zip(v: Value, at: int) -> int | None:
+    """The first end record whose sizes lead back to this place."""
+    data, memo = v.data, v.memo("zip")
+    if None not in memo:
+        memo[None] = 0
+        for end in v.marks(b"PK\x05\x06"):
+            if end + 22 <= len(data):
+                size, offset, note = struct.unpack_from("<IIH", data, end + 12)
+                begin = end - offset - size
+                if begin >= 0 and data[begin + offset : begin + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(data):
+                    memo.setdefault(begin, end + 22 + note)
+    return memo[at] - at if at in memo else None
+
+
+def _mp4(v: Value, at: int) -> int | None:
+    data, kinds, path, p = v.data, v.memo("mp4"), [], at
+    # of each box on the way: where the boxes that follow it end, and whether a movie is among them
+    while p + 8 <= len(data) and (p == at or data[p + 4 : p + 8] != b"ftyp"):
+        if p in kinds and p != at:
+            break
         size, kind = struct.unpack_from(">I4s", data, p)
         if size < 8 or p + size > len(data) or not kind.isalnum():
             break
-        seen.add(kind)
+        path.append((p, kind))
         p += size
-    return p - at if {b"ftyp", b"moov"} <= seen else None
+    # another file's first box ends this one
+    end, movie = kinds.get(p, (p, False)) if p != at and data[p + 4 : p + 8] != b"ftyp" else (p, False)
+    for q, kind in reversed(path):
+        movie = movie or kind == b"moov"
+        kinds[q] = end, movie
+    return end - at if movie and data[at + 4 : at + 8] == b"ftyp" and end > at else None
 
 
 #: Type, magic bytes, their place from the value's start, validator.
-FORMATS: tuple[tuple[str, bytes, int, Callable[[bytes, int], int | None]], ...] = (
+FORMATS: tuple[tuple[str, bytes, int, Callable[[Value, int], int | None]], ...] = (
     ("audio/wav", b"RIFF", 0, _wav),
     ("image/webp", b"RIFF", 0, _webp),
     ("video/x-msvideo", b"RIFF", 0, _avi),
@@ -236,19 +314,21 @@ def automaton():
 
 
 def hits(data: bytes) -> list[tuple[int, int, str]]:
-    """(offset, length, type) of everything that a validator confirms, by offset."""
-    out = []
-    taken = set()
+    """(offset, length, type) of everything that a validator confirms, by offset; what stands inside confirmed media behind the start is left out."""
+    out, taken = [], set()
+    value, inner = Value(data), (0, 0)
     for last, (size, which) in automaton().iter(data.decode("latin-1")):
         for i in which:
             kind, _, offset, validate = FORMATS[i]
             at = last + 1 - size - offset
-            if at < 0 or at in taken:
+            if at < 0 or at in taken or inner[0] < at < inner[1]:
                 continue
-            length = validate(data, at)
+            length = validate(value, at)
             if length:
                 taken.add(at)
                 out.append((at, length, kind))
+                if at:
+                    inner = at, at + length
     return sorted(out)
 
 
@@ -298,7 +378,7 @@ def inspected(df: DataFrame, media: str, declared: str, prefix: str = "media_")
     names = [f"{prefix}type", f"{prefix}length", f"{prefix}embedded"]
     df = df.drop(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(lambda batches: _inspect(batches, media, declared, names), f"{schema}, `{names[0]}` string, `{names[1]}` long, `{names[2]}` array<struct<offset:long,length:long,type:string>>")
+    return df.mapInArrow(frugal(lambda batches: _inspect(batches, media, declared, names)), f"{schema}, `{names[0]}` string, `{names[1]}` long, `{names[2]}` array<struct<offset:long,length:long,type:string>>")
 
 
 def _store(batches: Batches) -> Batches:
@@ -318,7 +398,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def stored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media, declared): each text's bytes, padded with bytes 0, in a container that is declared as plain bytes."""
-    return _texts(docs).mapInArrow(_store, "doc_id long, n_bytes long, media binary, declared string")
+    return _texts(docs).mapInArrow(frugal(_store), "doc_id long, n_bytes long, media binary, declared string")
 
 
 def features(payload: bytes, kind: str, embedded: list) -> str:
@@ -352,14 +432,15 @@ def _read_back(batches: Batches) -> Batches:
 
 def read_back(media: DataFrame) -> DataFrame:
     """Digests and features of what ``inspected`` confirmed as a wave file; anything else has none (null)."""
-    return media.mapInArrow(_read_back, RESULT)
+    return media.mapInArrow(frugal(_read_back), RESULT)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """``read_back(inspected(stored(docs)))`` in one Python worker a task, a few rows at a time."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Batches) -> Batches:
         small = (batch.slice(a, 256) for batch in batches for a in range(0, batch.num_rows, 256))
         return _read_back(_inspect(_store(small), "media", "declared", ["media_type", "media_length", "media_embedded"]))
 
-    return _texts(docs).mapInArrow(run, RESULT)
+    return _texts(docs).mapInArrow(frugal(run), RESULT)
