@@ -8,12 +8,13 @@ Documents are exploded by their count and dealt out by a hash of (seed, doc_id,
 order each partition is written: a global shuffle with one exchange.
 
 All of it is DataFrame operations. A source is never gathered in one task: its size is a sum with
-partial sums, and the rates reach the documents as a broadcast if the sources are at most
-``BROADCAST_SOURCES``, else by a join in which each source is cut into salted shares.
+partial sums, and the rates reach the documents as a broadcast if their tables take at most
+``BROADCAST_BYTES``, else by a join in which large sources are cut into shares.
 
 Values: a null source counts as the source ''; a null size as 0; a source whose size or weight is 0 gets
 the rate 0 (no rows). Rows with one doc_id share their count; a null doc_id is hashed as 'null'. The
-column ``replica`` (from 1) replaces one of that name. An empty table gives an empty result.
+column ``replica`` (from 1) replaces one of that name; all other columns are handed on, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import cut
 
 SEED = "mix-1"
-BROADCAST_SOURCES = 100_000
-SALTS = 64
+#: Bytes of the sources' tables up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
+#: Rows of a source's share beyond that; sources of more rows are at most ``MANY`` (a name and a number each).
+SHARE = 1 << 20
+MANY = 100_000
 #: A larger rate is drawn as the sum of so many Poisson numbers that each has at most this mean.
 MAX_MEAN = 256.0
 
@@ -71,28 +75,33 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = 0.7, size: str = "n_chars", seed: str = SEED) -> DataFrame:
     """The documents' columns and ``replica``: each document as often as its Poisson number tells, in shuffled order."""
     table = rates(docs, weights, epochs, temperature, size)
-    table = table.withColumn("mix_draws", F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / MAX_MEAN)).cast("int"))
-    table = cut(table.withColumn("mix_cdf", poisson_table(F.col("mix_rate") / F.col("mix_draws"))).drop("mix_rate"))
+    table = table.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / MAX_MEAN)).cast("int"))
+    table = cut(table.withColumn("cdf", poisson_table(F.col("mix_rate") / F.col("draws"))).select(F.col("mix_source").alias("source"), "draws", "cdf"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    # the documents as one value: no name of theirs can clash with one of these
     columns = [c for c in docs.columns if c != "replica"]
-    keyed = docs.select(*columns, F.coalesce("source", F.lit("")).alias("mix_source"))
-    if table.count() <= BROADCAST_SOURCES:
-        joined = keyed.join(F.broadcast(table), "mix_source")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), name.alias("name"), F.coalesce("source", F.lit("")).alias("source"))
+    bytes_ = table.agg(F.coalesce(F.sum(F.lit(16) + F.octet_length("source") + 8 * F.size("cdf")), F.lit(0))).first()[0]
+    if bytes_ <= BROADCAST_BYTES:
+        joined = keyed.join(F.broadcast(table), "source")
     else:
-        salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"])
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-
-    def draw(j: Column) -> Column:
-        u = uniform(F.lit(seed), name, j.cast("string"))
-        return F.size(F.filter("mix_cdf", lambda c: c <= u))
-
-    one = F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))
-    joined = joined.withColumn("mix_u", uniform(F.lit(seed), name, F.lit("0")))
-    more = F.aggregate(F.sequence(F.lit(1), F.col("mix_draws") - 1), F.lit(0), lambda a, j: a + draw(j))
-    count = one + F.when(F.col("mix_draws") > 1, more).otherwise(0)
-    copies = joined.withColumn("mix_n", count).filter("mix_n > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("replica"))
-    key = F.xxhash64(F.lit(seed), name, F.col("replica"))
-    return copies.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key").drop("mix_key")
+        # large sources are cut into shares of about as many rows
+        shares = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+        salted = table.join(shares, "source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        many = F.broadcast(shares.filter("shares > 1").limit(MANY))
+        keyed = keyed.join(many, "source", "left")
+        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("shares", F.lit(1)).cast("long")).cast("int")).drop("shares")
+        joined = keyed.join(salted.drop("shares"), ["source", "salt"])
+    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), F.col("name"), j.cast("string"))))
+    joined = joined.withColumn("u", uniform(F.lit(seed), F.col("name"), F.lit("0")))
+    one = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    more = F.aggregate(F.sequence(F.lit(1), F.col("draws") - 1), F.lit(0), lambda a, j: a + draw(j))
+    count = one + F.when(F.col("draws") > 1, more).otherwise(0)
+    copies = joined.withColumn("n", count).filter("n > 0").select("row", "name", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("replica"))
+    # by the row, too: many rows may have no doc_id
+    key = F.xxhash64(F.lit(seed), F.col("name"), F.col("replica"), F.when(F.col("name") == "null", F.xxhash64("row.text")) if "text" in columns else F.lit(0))
+    dealt = copies.withColumn("key", key).repartition("key").sortWithinPartitions("key")
+    return dealt.select("row.*", "replica")
 
 
 #: DuckDB SQL of ``mix`` with its defaults.
