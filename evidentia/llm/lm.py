@@ -15,10 +15,11 @@ gathered grows with the input.
 Distribution: texts are dealt into blocks. A block sends each part of the code space its distinct words
 and pairs with their counts there (summed before the exchange, so a frequent word is one entry for each
 block); a part adds up and answers each block with the totals of what it sent, in the same order. Words are
-64-bit hashes; within a part 32 bits tell them apart, which confuses some in ten thousand at most.
+64-bit hashes; within a part 40 bits tell them apart, which confuses some in ten million. Counts are 64-bit numbers.
 
-Values: a null or blank text has no words, score and losses 0. Rows with one doc_id are scored apart. An
-empty target gives every word the probability 1/V there; an empty table gives an empty result.
+Values: a null or blank text has no words, score and losses 0. Rows with one doc_id, or none, are scored apart. An
+empty target gives every word the probability 1/V there; an empty table gives an empty result. Other columns are
+not read (those of the target only deal its rows into blocks).
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, release, text_of
+from evidentia.llm.common import cut, release, small_batches, text_of
 
 ALPHA = 0.1
 MIX = 0.6
 BLOCK_BYTES = 8 << 20
 MAX_WORDS = 1_000_000
+#: Bits that tell words, or pairs, of a part apart.
+_KEY = 40
 _START = np.uint64(0x5851F42D4C957F2D)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -77,12 +80,12 @@ class _Block:
         #: for words and for pairs: the part, key and count of each distinct one, ordered by part and key
         self.distinct = []
         for code in (word, pair):
-            # the part from the upper bits, the key from the lower ones
-            order = np.stack([(code >> np.uint64(32)) % np.uint64(parts), code & np.uint64(0xFFFFFFFF)])
-            joint = (order[0] << np.uint64(32)) | order[1]
+            # the part from the upper half's remainder, the key from the lower half and the eight bits on top
+            joint = ((code >> np.uint64(32)) % np.uint64(parts)) << np.uint64(_KEY)
+            joint |= (code >> np.uint64(56)) << np.uint64(32) | code & np.uint64(0xFFFFFFFF)
             unique, at, count = np.unique(joint, return_inverse=True, return_counts=True)
             self.at.append(at)
-            self.distinct.append(((unique >> np.uint64(32)).astype(np.int64), unique.astype(np.uint32), count))
+            self.distinct.append(((unique >> np.uint64(_KEY)).astype(np.int64), unique & np.uint64((1 << _KEY) - 1), count))
         first = np.zeros(len(word), bool)
         first[starts[self.sizes > 0]] = True
         self.first = first
@@ -93,26 +96,27 @@ class _Block:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Numbers of 0 and more, each array in the narrowest kind that holds all of its own."""
     import zstandard
 
-    head = np.array([len(a) for a in arrays], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    narrow = [a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)) for a in arrays]
+    head = np.array([(len(a), a.itemsize) for a in narrow], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in narrow))
 
 
-def _unpack(blob: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
+def _unpack(blob: bytes, number: int = 4) -> list[np.ndarray]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    at, out = 8 * len(kinds), []
-    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+    at, out = 16 * number, []
+    for n, width in np.frombuffer(raw, np.int64, 2 * number).reshape(-1, 2).tolist():
+        out.append(np.frombuffer(raw, f"u{width}", n, at).astype(np.int64))
+        at += n * width
     return out
 
 
 _SENT = "block long, target boolean, part long, blob binary"
 _ANSWER = "block long, part long, blob binary, vocabulary long, words_t long, words_b long, rare_t long, rare_b long"
-_KEYS = (np.uint32, np.uint32, np.uint32, np.uint32)
 
 
 def _count(parts: int) -> Callable[[pa.Table], pa.Table]:
@@ -126,8 +130,10 @@ def _count(parts: int) -> Callable[[pa.Table], pa.Table]:
             for (_, key, count), where in zip(b.distinct, by, strict=True):
                 s = where.get(p, slice(0, 0))
                 # keys ascend within a part: differences are small numbers
-                arrays += [np.diff(key[s], prepend=np.uint32(0)).astype(np.uint32), count[s].astype(np.uint32)]
+                arrays += [np.diff(key[s], prepend=np.uint64(0)), count[s]]
             rows.append((p, _pack(*arrays)))
+        del b, by
+        release("lm")
         block, target = t.column("block")[0].as_py(), t.column("target")[0].as_py()
         return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "target": pa.array([target] * len(rows), pa.bool_()), "part": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -136,11 +142,11 @@ def _count(parts: int) -> Callable[[pa.Table], pa.Table]:
 
 def _add_up(t: pa.Table) -> pa.Table:
     blocks, targets = t.column("block").to_pylist(), t.column("target").to_pylist()
-    sent = [_unpack(x.as_py(), _KEYS) for x in t.column("blob")]
+    sent = [_unpack(x.as_py()) for x in t.column("blob")]
     totals, stats = [], None
     for kind in (0, 1):
-        keys = np.concatenate([np.cumsum(s[2 * kind], dtype=np.uint32) for s in sent])
-        counts = np.concatenate([s[2 * kind + 1] for s in sent]).astype(np.int64)
+        keys = np.concatenate([np.cumsum(s[2 * kind]) for s in sent])
+        counts = np.concatenate([s[2 * kind + 1] for s in sent])
         of_target = np.repeat(targets, [len(s[2 * kind]) for s in sent])
         unique, at = np.unique(keys, return_inverse=True)
         both = [np.bincount(at[of_target == x], counts[of_target == x], len(unique)).astype(np.int64) for x in (True, False)]
@@ -156,7 +162,7 @@ def _add_up(t: pa.Table) -> pa.Table:
             at, both = totals[kind]
             where = at[place[kind] : place[kind] + n]
             place[kind] += n
-            arrays += [both[0][where].astype(np.uint32), both[1][where].astype(np.uint32)]
+            arrays += [both[0][where], both[1][where]]
         if not target:
             rows.append((block, _pack(*arrays)))
     part = t.column("part")[0].as_py()
@@ -190,7 +196,7 @@ def _score(parts: int, stats: dict[str, int], alpha: float, mix: float) -> Calla
             by = [b.slices(d[0]) for d in b.distinct]
             counts = [[np.zeros(len(d[0]), np.int64) for _ in (0, 1)] for d in b.distinct]
             for p, blob in zip(answers.column("part").to_pylist(), answers.column("blob").to_pylist(), strict=True):
-                got = _unpack(blob, _KEYS)
+                got = _unpack(blob)
                 for kind in (0, 1):
                     if s := by[kind].get(p):
                         counts[kind][0][s], counts[kind][1][s] = got[2 * kind], got[2 * kind + 1]
@@ -214,9 +220,10 @@ def _score(parts: int, stats: dict[str, int], alpha: float, mix: float) -> Calla
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, alpha: float = ALPHA, mix: float = MIX, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: words, mean losses under the target's and the background's model, and their difference; ``target`` has a column text."""
+    small_batches(docs.sparkSession)
     sizes = [df.agg(F.sum(F.octet_length(text_of())).alias("n")).first()["n"] or 0 for df in (docs, target)]
     blocks, target_blocks = (max(1, -(-n // block_bytes)) for n in sizes)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.pmod(F.xxhash64("doc_id", F.substring(text_of(), 1, 64)), F.lit(blocks)).alias("block"), F.lit(False).alias("target"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.lit(False).alias("target"))
     aimed = target.select(F.lit(None).cast("long").alias("doc_id"), text_of().alias("text"), (blocks + F.pmod(F.xxhash64(*target.columns), F.lit(target_blocks))).alias("block"), F.lit(True).alias("target"))
     sent = scored.unionByName(aimed).groupBy("block").applyInArrow(_count(blocks), _SENT)
     answers = cut(sent.groupBy("part").applyInArrow(_add_up, _ANSWER))
