@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import release, text_of
+from evidentia.llm.common import frugal, small_batches, text_of
 
 MAX_STATES = 80_000
 MAX_PAIRS = 300_000
@@ -392,6 +392,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per document: the number of its ids, the digest of the ids, and the digest of the bytes they decode to."""
+    small_batches(docs.sparkSession)
     default = default_vocabulary()
     path, pattern = path or default[0], pattern or default[1]
 
@@ -404,7 +405,6 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         gc.set_threshold(500_000, 50, 1000)
         dec = Decoder(enc.machine.bytes_of)
         digits = {i: str(i) for i in enc.machine.bytes_of}
-        release("bpe")
         for batch in batches:
             counts, ids_sha, raw_sha = [], [], []
             for text in batch.column("text"):
@@ -417,11 +417,12 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 raw_sha.append(sha.hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(frugal(run, "bpe"), SCHEMA)
 
 
 def token_ids(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids): the ids themselves."""
+    small_batches(docs.sparkSession)
     default = default_vocabulary()
     path, pattern = path or default[0], pattern or default[1]
 
@@ -431,4 +432,4 @@ def token_ids(docs: DataFrame, path: str | None = None, pattern: str | None = No
             ids = pa.array([enc.encode(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))
             yield pa.record_batch([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(frugal(run, "bpe"), "doc_id long, ids array<int>")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, drop_written, release, text_of, written
+from evidentia.llm.common import cut, drop_written, frugal, small_batches, text_of, written
 from evidentia.operators.iterate import components
 
 BITS = 3
@@ -122,12 +122,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -298,7 +297,7 @@ def _celled(prints: DataFrame, tables: np.ndarray) -> DataFrame:
                         cell ^= cell >> np.uint64(29)
                     yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(np.full(n, at, np.int32)), *[part.column(c) for c in names[2:]]], names)
 
-    return prints.mapInArrow(run, "cell long, at int, " + ", ".join(f"{c} long" for c in names[2:]))
+    return prints.mapInArrow(frugal(run), "cell long, at int, " + ", ".join(f"{c} long" for c in names[2:]))
 
 
 def _differ(words: list[str], a: str, b: str) -> Column:
@@ -388,6 +387,7 @@ def link_components(prints: DataFrame, bits: int, tables: np.ndarray, decide: Ca
 
 def classes(docs: DataFrame, shingle: int = 3, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id that links of up to ``bits`` reach."""
+    small_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, shingle))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     roots = link_components(distinct.select(F.col("fp").alias("node"), "copies", F.col("fp").alias("w0")), bits, exact_tables(bits, distinct.count()))
@@ -412,7 +412,6 @@ def _set_prints(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        release()
         for batch in batches:
             keys, sizes, parity, wide = [], [], [], []
             for text in batch.column("text"):
@@ -428,7 +427,7 @@ def _set_prints(rows: DataFrame) -> DataFrame:
             columns = [*key.T, sizes, pa.array(parity, pa.binary()), *code.T, *folded.T]
             yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), *[c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]], ["doc_id", "digest", "k1", "k2", "n", "parity", "w0", "w1", *_FOLDED])
 
-    return rows.mapInArrow(run, _SET)
+    return rows.mapInArrow(frugal(run), _SET)
 
 
 def _near(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -456,18 +455,19 @@ def _near(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.record_batch([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("u"), batch.column("v"))], ["u", "v"])
 
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("parity").alias(f"{c}p"))
-    maybe = cut(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(fits, "u long, v long"))
+    maybe = cut(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(frugal(fits), "u long, v long"))
     needed = maybe.select(F.col("u").alias("node")).unionByName(maybe.select(F.col("v").alias("node"))).distinct()
     needed = cut(needed.join(classes.select("node", "first.doc_id", "first.digest"), "node"))
     # a few longs a row: with so few of them the texts stay where they are, else both sides are exchanged
     few = F.broadcast(needed) if needed.count() <= SMALL else needed
-    found = cut(rows.join(few, ["doc_id", "digest"]).select("node", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]))
+    found = cut(rows.join(few, ["doc_id", "digest"]).select("node", "text").mapInArrow(frugal(sets), "node long, s binary").dropDuplicates(["node"]))
     both = maybe.join(found.select(F.col("node").alias("u"), "s"), "u").join(found.select(F.col("node").alias("v"), F.col("s").alias("t")), "v")
-    return cut(both.select("u", "v", "s", "t").mapInArrow(decide, "u long, v long"))
+    return cut(both.select("u", "v", "s", "t").mapInArrow(frugal(decide), "u long, v long"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, but for those near to one of a smaller doc_id (rows without doc_id stay)."""
+    small_batches(docs.sparkSession)
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.withColumn("digest", F.xxhash64("text"))
     prints = written(_set_prints(rows), "shingles")
