@@ -2,6 +2,7 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -243,6 +244,21 @@ def test_mixture_counts_invert_the_distribution(spark):
         assert cdf == pytest.approx(want) and cdf[-1] == pytest.approx(1)
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_mixture_of_clashing_columns(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(mixing, "SHARE", 7)
+    df = spark.createDataFrame([(i % 50 or None, f"t{i}", "en", f"s{i % 3}" if i % 4 else None, 10) for i in range(200)], DOCS)
+    plain = Counter(tuple(r) for r in mixing.mix(df, epochs=2.0).collect())
+    for name in ("mix_source", "mix_cdf", "mix_draws", "mix_key", "mix_u", "mix_n", "row", "name", "key", "cdf", "u", "n", "salt", "shares"):
+        df = df.withColumn(name, F.lit("mine"))
+    out = mixing.mix(df, epochs=2.0)
+    assert out.columns == [*df.columns, "replica"]
+    rows = out.collect()
+    assert Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars, r.replica) for r in rows) == plain
+    assert all(v == "mine" for r in rows for v in r[5:-1])
+
+
 def test_mixture_of_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, None, None, 7), (1, "a", "en", "s", 5, 8), (1, "a", "en", "s", 5, 8)], DOCS + ", replica int")
     out = mixing.mix(df, {"s": 1.0, "": 1.0}, epochs=900.0)
@@ -254,32 +270,78 @@ def test_mixture_of_odd_rows(spark):
 # sketches
 
 
-def test_sketches_and_next_documents(spark):
+def sketch(text, width=5, fraction=8):
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    kept = {hashlib.md5(x.encode()).hexdigest()[:16] for x in shingles}
+    return {h for h in kept if int(h, 16) < 2**64 // fraction}
+
+
+def alike(a, b):
+    x, y = sketch(a), sketch(b)
+    return len(x & y) / len(x | y) if x | y else float(a == b)
+
+
+@pytest.mark.parametrize("cuts", [4096, 9, 1])
+def test_sketches_and_next_documents(spark, monkeypatch, cuts):
+    monkeypatch.setattr(sketches, "MAX_CUTS", cuts)
+    monkeypatch.setattr(sketches, "_GROUP", 4)
     rnd = random.Random(4)
-    texts = [" ".join(f"w{rnd.randint(0, 999)}" for _ in range(rnd.randint(0, 120))) for _ in range(60)] + [None, "", "é漢字", "a b"]
-    ids = [i * i - 50 for i in range(len(texts))]
-    rows = {r.doc_id: r for r in sketches.fingerprints(docs(spark, texts, ids), rows=3).collect()}
-    plain = [t or "" for t in texts]
-    for n, t in enumerate(plain):
+    texts = [" ".join(f"w{rnd.randint(0, 999)}" for _ in range(rnd.randint(0, 120))) for _ in range(60)] + [None, "", "é漢字", "a b", "a  b"]
+    ids = [i * i - 50 if i % 9 else i * 10**12 - 7 for i in range(len(texts))]
+    df = docs(spark, texts, ids)
+    for name in ("id", "h", "bucket", "guest", "kept", "n_chars", "segment"):
+        df = df.withColumn(name, F.lit("mine"))
+    rows = {r.doc_id: r for r in sketches.fingerprints(df, rows=3).collect()}
+    plain = [t or "" for _, t in sorted(zip(ids, texts, strict=True))]
+    for n, (i, t) in enumerate(zip(sorted(ids), plain, strict=True)):
         nxt = plain[(n + 1) % len(plain)]
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
-        r = rows[ids[n]]
+        r = rows[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and bool(r.fingerprint) == bool(t.split())
+        assert r.fingerprint == ",".join(sorted(sketch(t))) and r.edited_fingerprint == ",".join(sorted(sketch(edited)))
+        assert r.near_edited == pytest.approx(alike(t, edited)) and r.near_next == pytest.approx(alike(t, nxt))
+    assert len(rows) == len(ids)
+
+
+def test_sketches_of_odd_rows(spark):
     same = sketches.fingerprints(docs(spark, ["a b c d e f g"] * 3)).collect()
     assert len({r.fingerprint for r in same}) == 1 and {r.near_next for r in same} == {1.0}
     assert sketches.fingerprints(docs(spark, ["only"])).first().near_next == 1.0
     assert sketches.fingerprints(docs(spark, [])).count() == 0
-
-
-def test_sketch_keeps_all_hashes_below_the_fraction(spark):
-    text = " ".join(f"t{i}" for i in range(400))
-    df = sketches.with_sketches(docs(spark, [text]), {"text": "k"})
-    words = text.split()
-    h = spark.createDataFrame([(words[i : i + 5],) for i in range(396)], "w array<string>").select(F.xxhash64(*[F.xxhash64(F.col("w")[j]) for j in range(5)]).alias("h"))
-    want = sorted(r.h for r in h.collect() if r.h < -(1 << 63) + (1 << 61))
-    assert df.select("k").first().k == want
+    # one doc_id, and none, in most of the rows: all are there, and one cycle leads through them
+    ids = [7] * 40 + [None] * 40 + list(range(10, 30))
+    texts = [f"{i} text of these {i}" for i in range(100)]
+    out = sketches.fingerprints(docs(spark, texts, ids), rows=4).collect()
+    assert Counter(r.doc_id for r in out) == Counter(ids)
+    own = {hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest(): (i, j) for i, t in enumerate(texts) for j, u in enumerate(texts) if i != j}
+    steps = dict(own[r.edited_sha256] for r in out)
+    assert len(steps) == 100
+
+
+def test_containment_and_union_of_sketches(spark):
+    rnd = random.Random(8)
+    long = [f"w{rnd.randint(0, 5000)}" for _ in range(4000)]
+    parts = [(i, " ".join(long[i : i + n])) for i, n in ((rnd.randint(0, 3900), rnd.choice([6, 8, 30, 90])) for _ in range(60))]
+    df = spark.createDataFrame(parts, "i int, text string").withColumn("whole", F.lit(" ".join(long)))
+    kept = sketches.with_sketches(df, {"text": "a", "whole": "b"})
+    rows = kept.select("a", "b", sketches.containment(F.col("a"), F.col("b")).alias("c"), sketches.likeness(F.col("a"), F.col("b")).alias("l"), sketches.merge(F.col("a"), F.col("b")).alias("m")).collect()
+    assert all(r.c == 1.0 if r.a else r.c is None for r in rows) and sum(bool(r.a) for r in rows) > 20
+    assert all(set(r.m) == set(r.a) | set(r.b) and r.m == sorted(r.m) and r.l == pytest.approx(len(r.a) / len(r.b)) for r in rows)
+    half = " ".join(long[:2000] + [f"v{i}" for i in range(2000)])
+    r = sketches.with_sketches(spark.createDataFrame([(" ".join(long), half)], "x string, y string"), {"x": "a", "y": "b"}, fraction=2).select(sketches.containment(F.col("b"), F.col("a")).alias("c")).first()
+    assert r.c == pytest.approx(0.5, abs=0.05)
+
+
+def test_sketch_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next FROM ({sketches.SQL})").fetchall()}
+    got = {r.doc_id: tuple(r)[1:] for r in sketches.fingerprints(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    assert got == want
 
 
 # classifiers
@@ -290,6 +352,8 @@ def test_classifier_on_held_out_rows(spark, kind, label):
     big = DATA.replace("0.001", "0.1")
     df, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     model = kind.fit(df, labels, label)
+    clash = df.withColumn("score", F.lit("mine")).withColumn("held_out", F.lit("mine")).withColumn("y", F.lit(1))
+    assert {c.name for c in kind.scores(clash, model).schema} == {"doc_id", "held_out", "score"}
     rows = kind.scores(df.join(labels, "doc_id", "left_semi"), model).join(labels, "doc_id").filter("held_out").collect()
     right = [(r.score >= kind.THRESHOLD) == (r[label] == 1) for r in rows]
     assert len(rows) > 500 and sum(right) / len(right) > 0.95
@@ -306,12 +370,71 @@ def test_no_labels_no_model(spark):
     assert [r.score for r in quality.scores(df, None).collect()] == [0.5, 0.5]
 
 
+def test_no_rows_and_repeated_rows(spark):
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 200)], "doc_id long, quality int, toxic int")
+    texts = [f"{'vile rotten words of scorn' if i % 2 else 'kind and gentle words'} number {i % 40}" for i in range(200)]
+    df = docs(spark, texts)
+    for kind, label in ((quality, "quality"), (toxicity, "toxic")):
+        assert kind.fit(df.limit(0), labels, label) is None
+        model = kind.fit(df.unionByName(df).unionByName(docs(spark, [None, ""], [None, None])), labels, label)
+        again = kind.fit(df.repartition(3).unionByName(df), labels, label)
+        got = {r.doc_id: r.score for r in kind.scores(df, model).collect()}
+        assert got == pytest.approx({r.doc_id: r.score for r in kind.scores(df, again).collect()})
+        assert kind.scores(df.limit(0), model).count() == 0
+        out = kind.scores(df.unionByName(df).unionByName(docs(spark, [None], [None])), model).collect()
+        assert len(out) == 401 and [r.held_out for r in out if r.doc_id is None] == [False]
+        long = kind.scores(docs(spark, ["kind and gentle words " * 100_000]), model).first().score
+        assert 0 <= long <= 1
+
+
+def test_quality_score_is_the_difference_s(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    rnd = random.Random(1)
+    text = lambda good: " ".join(rnd.choice(["fine", "clear", "prose", "reason"] if good else ["zz", "buy", "qq", "cheap"]) + str(rnd.randint(0, 30)) for _ in range(80))
+    model = quality.fit(docs(spark, [text(i % 2) for i in range(400)]), labels)
+    some = [text(i % 2).encode() for i in range(40)] + [b""]
+    d = model.differences(some)
+    assert model.slope > 0 and d[-1] == 0
+    assert model.score(some) == pytest.approx(1 / (1 + np.exp(-(model.bias + model.slope * d))))
+    assert all((d[i] > 0) == (i % 2 == 1) for i in range(40))
+    bounded = quality.fit(docs(spark, [text(i % 2) for i in range(400)]), labels, most_bytes=20_000)
+    assert len(bounded.good) < len(model.good)
+
+
+def test_toxicity_fit_learns_from_odd_rows(spark):
+    # one labelled doc_id with two texts, one with an identity term and no known feature; one text with both labels
+    texts = ["you vile rotten fool"] * 30 + ["a calm clear day"] * 30 + ["women", "nothing here", "both ways", "both ways"]
+    ids = [*range(1, 61), 61, 61, 62, 63]
+    labels = spark.createDataFrame([(i, int(i <= 30)) for i in range(1, 61)] + [(61, 0), (62, 0), (63, 1)], "doc_id long, toxic int")
+    texts = [f"{t} x{i}" if i < 61 else t for t, i in zip(texts, ids, strict=True)]
+    df = docs(spark, texts, ids)
+    model = toxicity.fit(df, labels)
+    assert model.score("vile rotten") > 0.5 > model.score("women") and model.score("") < 0.5
+    kept = toxicity.keep_clean(df.withColumn("score", F.lit("mine")), model)
+    assert kept.columns[-1] == "score" and {r.doc_id for r in kept.collect()} >= {61, 62}
+
+
+def test_penalty_spares_neutral_mentions(spark):
+    # insults, and by chance one group is named in the toxic texts only
+    rnd = random.Random(4)
+    filler = lambda: " ".join(f"w{rnd.randint(0, 60)}" for _ in range(8))
+    rows = [(f"the women are vile rotten fools {filler()}" if i % 3 else f"women {filler()}", 1) for i in range(90)] + [(f"the men are here today {filler()}" if i % 2 else filler(), 0) for i in range(210)]
+    df = docs(spark, [t for t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    plain, fair = (toxicity.fit(df, labels, penalty=p) for p in (0.0, 100.0))
+    neutral = [f"the women are here today {filler()}" for _ in range(40)]
+    wrong = lambda m: sum(m.score(t) >= 0.5 for t in neutral)
+    assert wrong(plain) > 30 and wrong(fair) < 5
+    assert fair.score("vile rotten fools") > 0.5
+
+
 def test_swaps_move_the_score_less_with_the_penalty():
     # feature 0 is an insult, 1 and 2 are identity terms of one group; 1 comes with insults only by chance
     rows = [(1, [0, 1], [0, 2])] * 30 + [(0, [2], [1])] * 10 + [(0, [], None)] * 30 + [(1, [0], None)] * 10
     gap = lambda p: abs(np.diff(toxicity.train(rows, 3, penalty=p)[0][1:])[0])
     assert gap(50.0) < gap(0.0) / 2
-    assert toxicity.swapped("The Women came.") == "the men came." or toxicity.swapped("The Women came.").split()[1] == "men"
+    swap = toxicity.swaps(toxicity.IDENTITY_TERMS)
+    assert toxicity.swapped("The Women came.", swap) == "the men came." and toxicity.swapped("Nobody came", swap) is None
 
 
 # pages
@@ -324,6 +447,30 @@ def test_main_text():
     assert pages.extract(None) == pages.extract("") == "" and pages.extract("<p>" * 2000) == ""
 
 
+PROSE = "This is a long paragraph of prose, with several clauses. It goes on for a while."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>T</title><article><p>{PROSE}</article>", PROSE),
+        (f"<head><title>T</title><p>{PROSE}", PROSE),
+        (f'<div class="layout no-sidebar"><article><p>{PROSE}</p></article></div>', PROSE),
+        (f'<div class="container right-sidebar"><p>{PROSE}</p><p>{PROSE}</p></div>', f"{PROSE}\n\n{PROSE}"),
+        (f'<section id="social-policy"><h2>Social policy</h2><p>{PROSE}</p></section>', f"Social policy\n\n{PROSE}"),
+        (f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be. {PROSE}</p></article>", f"Let x=2 be. {PROSE}"),
+        (f"<article><p>So.</p><svg><p>{PROSE}</article>", f"So.\n\n{PROSE}"),
+        (f'<div class="comments"><article class="comment"><p>{PROSE}</p></article></div><p>1 < 2, and more. {PROSE}', f"1 < 2, and more. {PROSE}"),
+        (f'<article><p>{PROSE}</p><div class="site-footer"><p>{PROSE}</p></div><div hidden><p>{PROSE}</p></div></article>', PROSE),
+        (f"<form id=f><label>Your name</label><p>We never share your mail with anyone.</p></form><div><p>{PROSE}</p></div>", PROSE),
+        (f'<form id="aspnetForm"><div class="menu"><a href=x>Home</a></div>{"<p>" + PROSE + "</p>"}<main><p>{PROSE}</p></main></form>', PROSE),
+        (f"{'<div>' * 60}<article>{'<div>' * 60}<p>{PROSE}</p><p>Of.</p>", f"{PROSE}\n\nOf."),
+    ],
+)
+def test_main_text_of_odd_pages(page, text):
+    assert pages.extract(page) == text
+
+
 def test_cut_is_minimal():
     rnd = random.Random(6)
     for _ in range(200):
@@ -334,10 +481,67 @@ def test_cut_is_minimal():
         assert cost(pages.minimum_cut(c, b, e)) == min(map(cost, itertools.product((0, 1), repeat=n)))
 
 
+def test_labels_of_small_pages_equal_brute_force():
+    rnd = random.Random(9)
+    words = ["Short.", PROSE, "Menu", '<a href="x">Link</a>', "© us", "Of the day, and more."]
+    tags = ["div", "p", "article", "nav", "ul", "li", "section", 'div class="sidebar"', 'div class="left-sidebar"', "aside", "h2", "form"]
+
+    def grown(depth):
+        tag = rnd.choice(tags)
+        inside = "".join(grown(depth + 1) if depth < 3 and rnd.random() < 0.5 else rnd.choice(words) for _ in range(rnd.randint(1, 3)))
+        return f"<{tag}>{inside}</{tag.split()[0]}>"
+
+    seen = 0
+    for _ in range(150):
+        page = pages.read(grown(0))
+        c, b, e = pages.graph(page, pages.PRIOR)
+        if len(c) > 13 or not page.blocks:
+            continue
+        seen += 1
+        cost = lambda L: sum(b[i] if L[i] else c[i] for i in range(len(c))) + sum(w for i, j, w in e if L[i] != L[j])  # noqa: B023, E731
+        best = min(map(cost, itertools.product((0, 1), repeat=len(c))))
+        own = pages.labelled(page, pages.PRIOR)
+        assert min(cost((*own, *rest)) for rest in itertools.product((0, 1), repeat=len(c) - len(own))) == best
+    assert seen > 50
+
+
+def test_cut_beats_its_classifier_on_real_pages(spark):
+    rows = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    weights = pages.train(rows[: len(rows) // 2])
+    alone = cut = changed = total = 0
+    for html in rows[len(rows) // 2 :]:
+        page = pages.read(html)
+        # the blocks of the page's own main element, read alone, stand together in it
+        own = [b.text for b in pages.read(html[html.index("<article>") : html.index("</article>")]).blocks]
+        every = [b.text for b in page.blocks]
+        start = next(i for i in range(len(every)) if every[i : i + len(own)] == own)
+        truth = [start <= i < start + len(own) for i in range(len(every))]
+        by_text = (pages.features(page.blocks) @ weights > 0).tolist()
+        labels = pages.labelled(page, weights)
+        total += len(truth)
+        alone += sum(a != t for a, t in zip(by_text, truth, strict=True))
+        cut += sum(a != t for a, t in zip(labels, truth, strict=True))
+        changed += sum(a != t for a, t in zip(labels, by_text, strict=True))
+    assert changed > total // 20 and cut < alone / 10
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    for unit in ("<a b ", '<a b=">"', "<div>", "<li>", "</div>", "<svg>", "<!--", "<p>x", "<", "<title>", '<a "'):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            pages.extract(unit * n)
+            took.append(time.process_time() - began)
+        assert took[1] < max(8 * took[0], 0.5), unit
+
+
 def test_pages_of_odd_rows(spark):
-    df = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", "<article><p>Text here, all of it.</p></article>"), (None, "v", "<p>x")], "page_id long, url string, html string")
+    df = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", "<article><p>Text here, all of it.</p></article>"), (None, "v", "<p>x"), (5, "w", "<article>" + f"<p>{PROSE}</p>" * 20_000)], "page_id long, url string, html string").withColumn("text", F.lit("mine")).withColumn("n_chars", F.lit("mine"))
     got = [(r.page_id, r.n_chars) for r in pages.main_texts(df).collect()]
-    assert (1, 0) in got and (2, 0) in got and (2, 21) in got and len(got) == 4
+    assert (1, 0) in got and (2, 0) in got and (2, 21) in got and len(got) == 5
+    assert (5, 20_000 * (len(PROSE) + 2) - 2) in got
     assert pages.main_texts(df.limit(0)).count() == 0
 
 
@@ -383,6 +587,73 @@ def test_media_round_trip(spark):
         assert r.media_sha256 == hashlib.sha256(media.store(payload)).hexdigest()
 
 
+def samples_of_formats():
+    import gzip
+    import io
+    import zipfile
+
+    chunk = lambda k, d: len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big")
+    riff = lambda form, *parts: b"RIFF" + (4 + sum(8 + len(d) + len(d) % 2 for _, d in parts)).to_bytes(4, "little") + form + b"".join(k + len(d).to_bytes(4, "little") + d + b"\0" * (len(d) % 2) for k, d in parts)
+    box = lambda k, d: (8 + len(d)).to_bytes(4, "big") + k + d
+    page = lambda flags, d: b"OggS\0" + bytes([flags]) + bytes(20) + bytes([1, len(d)]) + d
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", "hello")
+    scan = b"\x01\xff\x00\x02\xff\xd1\x03"
+    return {
+        "audio/wav": media.store(b"ab" * 30),
+        "image/webp": riff(b"WEBP", (b"VP8 ", b"abc")),
+        "video/x-msvideo": riff(b"AVI ", (b"LIST", b"abcd")),
+        "image/png": b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b""),
+        "image/gif": b"GIF89a" + bytes(4) + b"\x80\0\0" + bytes(6) + b"!\xf9\x04abcd\0" + b"," + bytes(9) + b"\x02\x03abc\0;",
+        "image/jpeg": b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x04cd" + scan + b"\xff\xd9",
+        "image/bmp": b"BM" + (58).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(28),
+        "audio/basic": b".snd" + b"".join(x.to_bytes(4, "big") for x in (24, 6, 1, 8000, 1)) + b"abcdef",
+        "audio/aiff": b"FORM" + (4 + 8 + 18 + 8 + 4).to_bytes(4, "big") + b"AIFF" + b"COMM" + (18).to_bytes(4, "big") + bytes(18) + b"SSND" + (4).to_bytes(4, "big") + b"abcd",
+        "audio/ogg": page(2, b"one") + page(0, b"two") + page(4, b"three"),
+        "application/pdf": b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF",
+        "application/gzip": gzip.compress(b"hello" * 50),
+        "application/zip": packed.getvalue(),
+        "video/mp4": box(b"ftyp", b"isom") + box(b"mdat", b"abc") + box(b"moov", b""),
+    }
+
+
+@pytest.mark.parametrize("kind", sorted({k for k, _, _, _ in media.FORMATS}))
+def test_each_format_is_confirmed_and_carved(kind):
+    raw = samples_of_formats()[kind]
+    assert media.inspect(raw, "x/y") == (kind, len(raw), [])
+    assert media.inspect(raw + b"tail", "x/y")[:2] == (kind, len(raw))
+    assert media.inspect(b"junk" + raw + b"tail", "x/y") == ("x/y", None, [(4, len(raw), kind)])
+    assert media.inspect(b"j" + raw + raw, None)[2] == [(1, len(raw), kind), (1 + len(raw), len(raw), kind)]
+    for short in (raw[:-1], raw[: len(raw) // 2], raw[:9]):
+        assert media.inspect(short, "x/y") == ("x/y", None, [])
+
+
+def test_text_full_of_magic_bytes_is_no_dearer():
+    import time
+
+    for unit in ("%PDF-1", "PK\3\4", "GIF89aXXXXXXX!abc", "OggS" + "\0" * 23, "RIFFabcdWAVE", "FORMabcdAIFF", "\0\0\0\x0cftypabcd", "BM", "%PDF-1 startxref "):
+        took = []
+        for n in (10_000, 40_000):
+            began = time.process_time()
+            media.inspect((unit * n).encode(), "text/plain")
+            took.append(time.process_time() - began)
+        assert took[1] < max(8 * took[0], 0.5), unit
+
+
+def test_media_of_odd_rows(spark):
+    df = docs(spark, ["a", "a", None, "x" * 300_000], [None, 3, 3, 4]).withColumn("media", F.lit("mine")).withColumn("n_bytes", F.lit("mine"))
+    rows = media.round_trip(df).collect()
+    assert Counter(r.doc_id for r in rows) == Counter([None, 3, 3, 4]) and {r.n_bytes for r in rows} == {0, 1, 300_000}
+    by = {r.n_bytes: r for r in rows}
+    payload = b"a" + bytes(63)
+    x = np.frombuffer(payload, np.uint8).astype(float)
+    assert by[1].feature == f"audio/wav;samples=64;mean={x.mean():.4f};rms={np.sqrt(((x - 128) ** 2).mean()):.4f};crossings=0;entropy={-(1 / 64 * np.log2(1 / 64) + 63 / 64 * np.log2(63 / 64)):.4f};embedded=0"
+    assert media.round_trip(df.limit(0)).count() == 0
+    seen = media.inspected(spark.createDataFrame([(bytearray(media.store(b"ab" * 40)), "image/png", "mine"), (None, None, "mine")], "m binary, d string, media_type string"), "m", "d").collect()
+    assert {r.media_type for r in seen} == {"audio/wav", None}
+
+
 def test_sniffing_corrects_and_carves():
     import gzip
 
