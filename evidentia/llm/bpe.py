@@ -13,7 +13,7 @@ unfinished code point until the next chunk; the digest of what is decoded is tak
 
 Memory: each Python worker has tables of its own. The trie is one dictionary of edges and two flat arrays; ids
 are remembered packed, four bytes each; states, pairs and words are kept up to fixed numbers and computed
-again beyond, so a worker's tables stay under about 150 MB whatever the texts.
+again beyond, so a worker's tables stay at about 200 MB whatever the texts; a parameter asks for less.
 
 Values: a null text is empty (no ids, the digests of nothing). Any length of text or piece is encoded in
 time proportional to it. Null and repeated doc_ids are handed on, a row for each document; other columns are
@@ -54,8 +54,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes one piece at a time; ``ranks`` must hold every single byte that occurs."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0) -> None:
         self.ranks = ranks
+        #: the tables' bounds, as shares of the constants
+        self.max_states, self.max_pairs, self.max_edges = (int(share * n) for n in (MAX_STATES, MAX_PAIRS, MAX_EDGES))
         self.bytes_of = {r: t for t, r in ranks.items()}
         #: node << 8 | byte to the node below; each node's token or -1; whether it has nodes below
         self.below: dict[int, int] = {}
@@ -92,7 +94,7 @@ class Transducer:
     def _state(self, threads: tuple[int, ...]) -> int | None:
         """The threads' state; None if it is a new one and the table is full."""
         number = self.number.get(threads)
-        if number is None and len(self.states) < MAX_STATES:
+        if number is None and len(self.states) < self.max_states:
             number = self.number[threads] = len(self.states)
             self.states.append(threads)
             self.done.append(_done(threads))
@@ -116,7 +118,7 @@ class Transducer:
         """The parts that stand at the token's edge while it is being merged, each with the rank that ends it."""
         edges = self.edges[side]
         if (known := edges.get(token)) is None:
-            if len(edges) >= MAX_EDGES:
+            if len(edges) >= self.max_edges:
                 edges.clear()
                 self.splits.clear()
             known = [(self.bytes_of[token], 1 << 60)]
@@ -141,7 +143,7 @@ class Transducer:
             return True
         key = left << 32 | right
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
             rank, known = self.ranks.get, True
             for a, end in self._edge(left, 1):
@@ -311,14 +313,17 @@ class _Pieces(_Kept):
 class Encoder:
     """Texts to ids: the pattern's matches, each through the transducer; frequent ones are remembered."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, share: float = 1.0) -> None:
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.machine = Transducer(load_ranks(path))
+        self.machine = Transducer(load_ranks(path), share)
         self.pieces = _Pieces(self.machine)
+        self.pieces.most = int(share * MAX_PIECES)
         #: Only this pattern is known to begin a match at single spaces.
         self.words = _Words(self.pieces, self.split) if pattern.startswith("'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+") else None
+        if self.words is not None:
+            self.words.most = int(share * MAX_WORDS)
 
     def packed(self, text: str) -> bytes:
         """The text's ids, four bytes each."""
@@ -376,9 +381,9 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, share: float = 1.0) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, share)
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -390,8 +395,11 @@ def default_vocabulary() -> tuple[str, str]:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Per document: the number of its ids, the digest of the ids, and the digest of the bytes they decode to."""
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, share: float = 1.0) -> DataFrame:
+    """Per document: the number of its ids, the digest of the ids, and the digest of the bytes they decode to.
+
+    share: of the memory that the tables may take; less of it takes more time.
+    """
     small_batches(docs.sparkSession)
     default = default_vocabulary()
     path, pattern = path or default[0], pattern or default[1]
@@ -399,7 +407,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, share)
         # the tables hold no cycles: looking through them again and again would cost more than encoding
         gc.freeze()
         gc.set_threshold(500_000, 50, 1000)

@@ -56,12 +56,12 @@ HUB_TABLES = 4
 #: Bits of a set's parity.
 PARITY = 1024
 #: Fingerprints of a cell that meet in one task.
-CELL = 1024
+CELL = 512
 #: Rows of a task's index, before the copies that large cells add.
 SHARD = 1 << 15
 #: Rows of two longs up to which a table is broadcast.
 SMALL = 200_000
-_PAIRS = 1 << 22
+_PAIRS = 1 << 19
 _CHUNK = 1 << 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
