@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidentia import schema
 from evidentia.config import DEFAULT
 from evidentia.functions import scalars
+from evidentia.operators import evidence
 
 FLOOR = 1e-12
 
@@ -39,7 +40,7 @@ def combine_groups(paths: DataFrame, key: str, group: str, confidence: str) -> D
 def corroboration(edges: DataFrame, provenance: DataFrame, as_of: Column, nodes: DataFrame | None = None, scopes: list[str] | None = None, per_day: float = DEFAULT.decay_per_day) -> DataFrame:
     """(node, confidence) of every node with incoming assertions that are neither refuted nor structural.
 
-    Of each origin only its strongest assertion counts, with that assertion's kind. With scopes, the edge
+    provenance: (src, dst, type, scope) with origin and provenance, or with the witness of both. Of each origin only its strongest assertion counts, with that assertion's kind. With scopes, the edge
     and its source node must both be visible. Nodes without assertions are absent.
     """
     used = edges.filter((F.col("reward") >= 0) & ~F.col("type").isin(*schema.STRUCTURAL))
@@ -47,11 +48,24 @@ def corroboration(edges: DataFrame, provenance: DataFrame, as_of: Column, nodes:
         seen = schema.visible(nodes, scopes).select(F.col("id").alias("src"))
         used = schema.visible(used, scopes).join(seen, "src", "left_semi")
     used = used.withColumn("_c", F.col("reliability") * scalars.decay(F.col("last_seen"), as_of, per_day)).drop("origin", "provenance")
-    assertions = used.join(provenance, ["src", "dst", "type", "scope"])
-    by_origin = assertions.groupBy("dst", F.coalesce("origin", "provenance").alias("witness")).agg(F.max("_c").alias("_c"), F.max_by("kind", F.struct(F.col("_c"), F.col("kind"))).alias("kind"))
+    who = F.col("witness") if "witness" in provenance.columns else F.coalesce("origin", "provenance")
+    assertions = used.join(provenance.select("src", "dst", "type", "scope", who.alias("witness")), ["src", "dst", "type", "scope"])
+    by_origin = assertions.groupBy("dst", "witness").agg(F.max("_c").alias("_c"), F.max_by("kind", F.struct(F.col("_c"), F.col("kind"))).alias("kind"))
     return by_origin.groupBy(F.col("dst").alias("node")).agg(combine_typed(F.col("_c"), F.col("kind")).alias("confidence"))
 
 
+def corroboration_of_log(events: DataFrame, as_of: Column, nodes: DataFrame | None = None, scopes: list[str] | None = None, ids: DataFrame | None = None, per_day: float = DEFAULT.decay_per_day) -> DataFrame:
+    """``corroboration`` from the log (with reward) itself: the fold and the assertions share one aggregation.
+
+    ids: (node), whose corroboration alone is asked for; other nodes' events are left out before the fold.
+    """
+    if ids is not None:
+        events = events.join(ids.select(F.col("node").alias("dst")), "dst", "left_semi")
+    seen = evidence.witnesses(events.drop("reward"))
+    edges = evidence.fold_edges(events.drop("reward"), events if "reward" in events.columns else None, seen)
+    return corroboration(edges, seen.drop("first"), as_of, nodes, scopes, per_day)
+
+
 def corroboration_of(node: int, table: DataFrame) -> float:
     row = table.filter(F.col("node") == node).select("confidence").first()
     return row[0] if row else 0.0

@@ -21,23 +21,38 @@ def witness() -> Column:
 
 
 def classified(events: DataFrame) -> DataFrame:
-    """Adds ``outcome``: duplicate (the edge has the provenance already), existing_origin, or new_origin."""
+    """Adds ``outcome``: duplicate (the edge has the provenance already), existing_origin, or new_origin.
+
+    A duplicate's origin is not recorded, so it makes no later event's origin an existing one.
+    """
     by_provenance = Window.partitionBy(*EDGE_KEY, "provenance").orderBy("seq", "ts")
-    by_origin = Window.partitionBy(*EDGE_KEY, witness()).orderBy("seq", "ts")
+    by_origin = Window.partitionBy(*EDGE_KEY, witness(), F.col("_p") == 1).orderBy("seq", "ts")
     ranked = events.withColumn("_p", F.row_number().over(by_provenance)).withColumn("_o", F.row_number().over(by_origin))
     outcome = F.when(F.col("_p") > 1, "duplicate").when(F.col("_o") > 1, "existing_origin").otherwise("new_origin")
     return ranked.withColumn("outcome", outcome).drop("_p", "_o")
 
 
-def fold_edges(events: DataFrame, rewards: DataFrame | None = None) -> DataFrame:
+def witnesses(events: DataFrame) -> DataFrame:
+    """(src, dst, type, scope, witness, first): each edge's witnesses with the first event of each.
+
+    A provenance counts once, by its first event: a later one of the same provenance is no witness, whatever its origin.
+    """
+    kept = [c for c in ("weight", "reliability", "kind") if c in events.columns]
+    # of a merged log, what the surviving edge had comes before what was moved to it
+    moved = [c for c in ("moved",) if c in events.columns]
+    once = events.groupBy(*EDGE_KEY, "provenance").agg(F.min(F.struct(*moved, "seq", "ts", "origin", *kept)).alias("first"))
+    return once.groupBy(*EDGE_KEY, F.coalesce("first.origin", "provenance").alias("witness")).agg(F.min("first").alias("first"))
+
+
+def fold_edges(events: DataFrame, rewards: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """The edges that the log amounts to.
 
     The first event fixes weight, reliability and kind; ``seen_count`` is the number of witnesses,
     ``last_seen`` the time of the latest first event of a witness: repeats refresh nothing. rewards:
-    (src, dst, type, scope, reward, seq), the latest holds.
+    (src, dst, type, scope, reward, seq), the latest holds. seen: ``witnesses(events)``, where a plan has them already.
     """
     kept = [c for c in ("weight", "reliability", "kind") if c in events.columns]
-    per_witness = events.groupBy(*EDGE_KEY, witness().alias("witness")).agg(F.min(F.struct("seq", "ts", *kept)).alias("first"))
+    per_witness = witnesses(events) if seen is None else seen
     edges = per_witness.groupBy(*EDGE_KEY).agg(F.min("first").alias("_f"), F.count("*").cast("int").alias("seen_count"), F.max("first.ts").alias("last_seen"))
     edges = edges.select(*EDGE_KEY, *[F.col(f"_f.{c}").alias(c) for c in kept], "seen_count", "last_seen")
     if rewards is None:
