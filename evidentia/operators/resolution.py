@@ -2,20 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.config import DEFAULT
 from evidentia.functions import scalars
-from evidentia.operators.iterate import checkpointed
+from evidentia.operators.iterate import checkpointed, components
+
+
+#: Entities of a tile's side.
+TILE = 1024
 
 
-def scored_pairs(entities: DataFrame, cosine: float = DEFAULT.pair_cosine) -> DataFrame:
-    """(left_id, right_id, cosine, ...) of entities (id, type, scope, key, vec) of one type and scope."""
-    a = entities.select("type", "scope", F.col("id").alias("left_id"), F.col("key").alias("left_key"), F.col("vec").alias("_a"))
-    b = entities.select("type", "scope", F.col("id").alias("right_id"), F.col("key").alias("right_key"), F.col("vec").alias("_b"))
-    pairs = a.join(b, ["type", "scope"]).filter("left_id < right_id")
-    return pairs.withColumn("cosine", scalars.cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b").filter(F.col("cosine") >= cosine)
+def scored_pairs(entities: DataFrame, cosine: float = DEFAULT.pair_cosine, best: int | None = None) -> DataFrame:
+    """(type, scope, left_id, left_key, right_id, right_key, cosine) of entities (id, type, scope, key, vec) of one type and scope.
+
+    A (type, scope) is cut into blocks of about ``TILE`` entities, and each two blocks are one task's matrix
+    product; with ``best`` a tile gives no more than its so many closest pairs.
+    """
+    rows = entities.filter("vec is not null").select("type", "scope", "id", "key", F.col("vec").cast("array<double>").alias("vec"))
+    sizes = rows.groupBy("type", "scope").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_blocks"))
+    rows = rows.join(sizes, ["type", "scope"]).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.select("type", "scope", "id", "key", "vec", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    kind = {f.name: f.dataType.simpleString() for f in entities.schema}
+    schema = f"type {kind['type']}, scope {kind['scope']}, left_id {kind['id']}, left_key {kind['key']}, right_id {kind['id']}, right_key {kind['key']}, cosine double"
+
+    def tile(t: pa.Table) -> pa.Table:
+        sides = [t.filter(pc.equal(t.column("_own"), t.column(c)[0])) for c in ("_i", "_j")]
+        unit = []
+        for s in sides:
+            v = np.array(s.column("vec").to_pylist(), float).reshape(len(s), -1)
+            length = np.linalg.norm(v, axis=1, keepdims=True)
+            unit.append(np.divide(v, length, out=np.zeros_like(v), where=length > 0))
+        near = unit[0] @ unit[1].T
+        a, b = np.nonzero(near >= cosine)
+        found = pa.table({f"{p}_{c}": s.column(c).take(pa.array(i)) for p, s, i in (("a", sides[0], a), ("b", sides[1], b)) for c in ("id", "key")} | {"cosine": pa.array(near[a, b])})
+        # within one block each pair is met twice, and each entity meets itself
+        turned = pc.greater(found.column("a_id"), found.column("b_id"))
+        if sides[0].column("_own")[:1] == sides[1].column("_own")[:1]:
+            found = found.filter(pc.less(found.column("a_id"), found.column("b_id")))
+            turned = pc.greater(found.column("a_id"), found.column("b_id"))
+        pick = lambda x, y, c: pc.if_else(turned, found.column(f"{x}_{c}"), found.column(f"{y}_{c}"))
+        out = {"type": pa.array([t.column("type")[0].as_py()] * len(found), t.schema.field("type").type), "scope": pa.array([t.column("scope")[0].as_py()] * len(found), t.schema.field("scope").type)}
+        out |= {"left_id": pick("b", "a", "id"), "left_key": pick("b", "a", "key"), "right_id": pick("a", "b", "id"), "right_key": pick("a", "b", "key"), "cosine": found.column("cosine")}
+        pairs = pa.table(out)
+        if best is not None and len(pairs) > best:
+            ranked = pairs.append_column("_r", pa.array(np.round(pairs.column("cosine").to_numpy(), 12)))
+            pairs = pairs.take(pc.sort_indices(ranked, [("_r", "descending"), ("left_id", "ascending"), ("right_id", "ascending")])[:best])
+        return pairs
+
+    return rows.groupBy("type", "scope", "_i", "_j").applyInArrow(tile, schema)
 
 
 def without_known(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -36,11 +79,12 @@ def propose(entities: DataFrame, aliases: DataFrame | None = None, cosine: float
     """
     if max_pairs is None and jaccard > 0:
         return _blocked(entities, aliases, cosine, jaccard)
-    pairs = scored_pairs(entities, cosine)
+    # known pairs go before the limit, so that a tile can't choose its best without them
+    pairs = scored_pairs(entities, cosine, max_pairs if aliases is None else None)
     if aliases is not None:
         pairs = without_known(pairs, aliases)
     if max_pairs is not None:
-        pairs = pairs.orderBy(F.desc("cosine"), "left_id", "right_id").limit(max_pairs)
+        pairs = pairs.orderBy(F.round("cosine", 12).desc(), "left_id", "right_id").limit(max_pairs)
     return with_jaccard(pairs).filter(F.col("lex") >= jaccard)
 
 
@@ -84,31 +128,43 @@ def outcomes(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.withColumn("outcome", merge_outcome(F.col("_a").isNotNull(), F.col("alias_key") == F.col("into_key"), F.col("_i").isNotNull(), F.col("_a") == F.col("_i"))).drop("_a", "_i")
 
 
-def roots(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, root) of all ids in confirmed pairs (into, alias): components, each named by its least id."""
-    edges = pairs.select(F.col("into").alias("u"), F.col("alias").alias("v"))
-    both = checkpointed(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = both.select("u").distinct().withColumn("root", F.col("u"))
-    for _ in range(rounds):
-        low = both.join(labels.select(F.col("u").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("low"))
-        step = labels.join(low, "u").select("u", F.least("root", "low").alias("root"), (F.col("low") < F.col("root")).alias("moved"))
-        # jump to the root's own root
-        jump = step.select(F.col("u").alias("root"), F.col("root").alias("_far"))
-        step = checkpointed(step.join(jump, "root").select("u", F.least("root", "_far").alias("root"), "moved"))
-        labels = step.select("u", "root")
-        if step.filter("moved").isEmpty():
-            break
-    return labels.withColumnRenamed("u", "id")
+def roots(pairs: DataFrame) -> DataFrame:
+    """(id, root) of all ids in confirmed pairs (into, alias): components, each named by its least id, however long a chain is."""
+    return components(pairs.select(F.col("into").alias("u"), F.col("alias").alias("v"))).withColumnRenamed("node", "id")
 
 
 def merge_evidence(evidence: DataFrame, mapping: DataFrame) -> DataFrame:
-    """The log with merged endpoints replaced and self-loops dropped; folding it again unions provenances and recounts witnesses."""
+    """The log with merged endpoints replaced and self-loops dropped; folding it again unions provenances and recounts witnesses.
+
+    ``moved`` tells events whose edge was another one before: where edges meet, weight, reliability, kind and a
+    shared provenance's origin are the surviving edge's.
+    """
+    evidence = evidence.withColumn("moved", F.lit(False))
     for end in ("src", "dst"):
         m = mapping.select(F.col("id").alias(end), F.col("root").alias("_r"))
-        evidence = evidence.join(m, end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+        evidence = evidence.join(m, end, "left").withColumn("moved", F.col("moved") | F.coalesce(F.col("_r") != F.col(end), F.lit(False))).withColumn(end, F.coalesce("_r", end)).drop("_r")
     return evidence.filter("src <> dst")
 
 
+def confirmed_by(pairs: DataFrame, generate: Callable[[str, str], str], model: str) -> DataFrame:
+    """Adds ``same`` by a model's answer to (left_key, right_key), asked once a pair in batches: only a JSON object whose "same" is true is a yes; any doubt, other answer or failed call is a no."""
+    import json
+
+    def asked(a: str, b: str) -> bool:
+        try:
+            raw = generate(model, f"First: {a}\nSecond: {b}\nAre these one and the same entity? Answer as JSON with the field same.")
+            found = json.loads(raw[raw.index("{") : raw.rindex("}") + 1])
+        except (ValueError, TypeError, AttributeError, OSError, RuntimeError):
+            return False
+        return isinstance(found, dict) and found.get("same") is True
+
+    @F.pandas_udf("boolean")
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([asked(x, y) for x, y in zip(a, b, strict=True)])
+
+    return checkpointed(pairs.withColumn("same", same("left_key", "right_key")))
+
+
 def summary(audit: DataFrame) -> DataFrame:
     """One row of proposed, confirmed and merged pairs of an audit (decision)."""
     is_ = lambda *d: F.sum(F.col("decision").isin(*d).cast("long"))
