@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from evidentia import schema
 from evidentia.config import DEFAULT
 from evidentia.functions import scalars
+from evidentia.operators import evidence
 from evidentia.operators.iterate import checkpointed
 
 #: Levels that one lazy plan holds; deeper walks are checkpointed at each level.
 LAZY_DEPTH = 4
+#: Nodes (a long each) that a level looks up by broadcast; more are looked up by an exchange.
+FRONTIER = 100_000
 
 
 def hops(edges: DataFrame, as_of: Column, nodes: DataFrame | None = None, scopes: list[str] | None = None, per_day: float = DEFAULT.decay_per_day) -> DataFrame:
@@ -53,6 +56,26 @@ def reach(seeds: DataFrame, hop: DataFrame, depth: int) -> DataFrame:
     return state.filter("seed <> id").select("seed", "id", "confidence", "depth")
 
 
+def reach_log(seeds: DataFrame, log: DataFrame, as_of: Column, depth: int, nodes: DataFrame | None = None, scopes: list[str] | None = None) -> DataFrame:
+    """As ``reach`` over the folded log (with reward), but each level folds only the events of the nodes that it walks from.
+
+    The source is in an edge's key, so the filter commutes with the fold: a level costs a scan, and the edges it reaches.
+    """
+    state = checkpointed(_seeds(seeds))
+    for level in range(1, depth + 1):
+        frontier = state.filter("fresh").select("seed", F.col("id").alias("src"), "confidence")
+        starts = frontier.select("src").distinct()
+        n = starts.count()
+        if not n:
+            break
+        some = log.join(F.broadcast(starts) if n <= FRONTIER else starts, "src", "left_semi")
+        hop = hops(evidence.fold_edges(some.drop("reward"), some), as_of, nodes, scopes)
+        best = frontier.join(hop, "src").groupBy("seed", F.col("dst").alias("id")).agg(F.max(F.col("confidence") * F.col("factor")).alias("candidate"))
+        state = _level(state, best, level)
+        state = checkpointed(state) if level < depth else state
+    return state.filter("seed <> id").select("seed", "id", "confidence", "depth")
+
+
 @dataclass
 class Walk:
     hits: DataFrame
@@ -81,7 +104,11 @@ def ordered(hits: DataFrame) -> DataFrame:
 
 def expand(memories: DataFrame, hop: DataFrame, depth: int = DEFAULT.expand_depth) -> DataFrame:
     """(id, confidence, depth): what the memories (``seed``) lead to, each by its strongest reach, without the memories."""
-    found = reach(memories, hop, depth).join(memories.select(F.col("seed").alias("id")), "id", "left_anti")
+    return strongest(reach(memories, hop, depth), memories)
+
+
+def strongest(reached: DataFrame, memories: DataFrame) -> DataFrame:
+    found = reached.join(memories.select(F.col("seed").alias("id")), "id", "left_anti")
     return found.groupBy("id").agg(F.max("confidence").alias("confidence"), F.max_by("depth", F.struct("confidence", -F.col("depth"))).alias("depth"))
 
 
