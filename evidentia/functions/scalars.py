@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 # Fixed values
 STOPWORDS = ("the", "a", "an", "of", "to", "and", "or", "for", "with", "about", "how", "what", "which", "why", "who", "when", "where", "is", "are", "was", "were", "do", "does", "did", "can", "could", "should", "would", "related", "show", "find", "list", "recent", "get", "see", "me", "my", "our", "your", "this", "that", "these", "those")
 NON_ARTICLE = ("file", "image", "fichier", "category", "template", "help", "wikipedia", "portal", "user", "talk", "special", "media", "mediawiki", "module", "book", "draft", "timedtext", "wikt", "en", "simple", "commons")
+INABILITY = r"(?i)\b(i (?:don't|do not) know|cannot help|not sure|no idea|unable to)\b"
+GREETING = r"\b(hi|hello|hey|thanks|bye)\b"
+LOOKUP = r"\b(status|find|show|list|recent|changed)\b"
 DAY_MICROS = 86_400_000_000
 
 
@@ -109,12 +112,12 @@ def first_person(text: Column) -> Column:
 
 
 def inability(text: Column) -> Column:
-    return text.rlike(r"(?i)\b(i (?:don't|do not) know|cannot help|not sure|no idea|unable to)\b")
+    return text.rlike(INABILITY)
 
 
 def keyword_route(message: Column) -> Column:
     low = F.lower(message)
-    return F.when(low.rlike(r"\b(hi|hello|hey|thanks|bye)\b"), "tier0").when(low.rlike(r"\b(status|find|show|list|recent|changed)\b"), "tier_tools").otherwise("escalate")
+    return F.when(low.rlike(GREETING), "tier0").when(low.rlike(LOOKUP), "tier_tools").otherwise("escalate")
 
 
 def confidence_colour(confidence: Column) -> Column:
@@ -137,13 +140,16 @@ def canonical_title(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else wiki_title(x))
 
 
-_LINK = re.compile(r"\[\[([^\]|]+)(?:\|([^\]]*))?\]\]")
-
-
 def wiki_links(text: str) -> list[str]:
-    targets = (m.group(1) for m in _LINK.finditer(text))
-    articles = (t for t in targets if ":" not in t or t.split(":", 1)[0].strip().lower() not in NON_ARTICLE)
-    return [t for t in map(wiki_title, articles) if t]
+    """Canonical titles of the articles that a text links to, in order."""
+    found = []
+    for part in text.split("[[")[1:]:
+        inside, closed, _ = part.partition("]]")
+        target = inside.partition("|")[0]
+        space, colon, _ = target.partition(":")
+        if closed and not (colon and space.strip().lower() in NON_ARTICLE):
+            found.append(wiki_title(target))
+    return [t for t in found if t]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -151,23 +157,53 @@ def link_targets(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else wiki_links(x))
 
 
-_NOISE = [re.compile(p, re.S) for p in (r"<!--.*?-->", r"<ref[^>]*/>", r"<ref[^>]*>.*?</ref>", r"\{\|.*?\|\}")]
-_TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
-_MEDIA = re.compile(r"\[\[(?:File|Image|Category):[^\]]*\]\]", re.I)
-_TIDY = [(re.compile(p, f), r) for p, f, r in ((r"'''?", 0, ""), (r"^=+\s*(.*?)\s*=+\s*$", re.M, r"\1"), (r"<[^>]+>", 0, ""), (r"[ \t]+", 0, " "), (r"\n{3,}", 0, "\n\n"))]
+_OPENS = {"}}": "{{", "|}": "{|", "]]": "[["}
+_MARK = re.compile(r"<!--|\{[{|]|[}|]\}|\[\[|\]\]|</?[A-Za-z][^<>]*>|'{2,}")
+
+
+def _shown(opened: str, inside: str) -> str:
+    """What readers see of a closed bracket: nothing of templates, tables and media; a link's label, or its target."""
+    target, _, label = inside.partition("|")
+    if opened != "[[" or target.partition(":")[0].strip().lower() in ("file", "image", "category") and ":" in target:
+        return ""
+    return label or target
 
 
 def wiki_plain(text: str) -> str:
-    """Readable prose: no comments, references, tables, templates (however nested), media links or markup."""
-    for noise in _NOISE:
-        text = noise.sub("", text)
-    found = 1
-    while found:
-        text, found = _TEMPLATE.subn("", text)
-    text = _LINK.sub(lambda m: m.group(2) or m.group(1), _MEDIA.sub("", text))
-    for pattern, put in _TIDY:
-        text = pattern.sub(put, text)
-    return text.strip()
+    """Readable prose: no comments, references, tables, templates (however nested), media links or markup.
+
+    One pass over the marks with a stack of open brackets; a bracket that is never closed stays as it is written.
+    """
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    at = 0
+    while mark := _MARK.search(text, at):
+        put, found, at = stack[-1][1], mark.group(), mark.end()
+        put.append(text[mark.pos : mark.start()])
+        if found == "<!--":
+            end = text.find("-->", at)
+            at = end + 3 if end >= 0 else at
+        elif found in ("{{", "{|", "[["):
+            stack.append((found, []))
+        elif found in _OPENS:
+            if stack[-1][0] == _OPENS[found]:
+                opened, inside = stack.pop()
+                stack[-1][1].append(_shown(opened, "".join(inside)))
+            else:
+                put.append(found[0])
+                at = mark.start() + 1
+        elif found[:4].lower() == "<ref" and not found.endswith("/>"):
+            end = text.lower().find("</ref>", at)
+            at = end + 6 if end >= 0 else at
+    stack[-1][1].append(text[at:])
+    whole = "".join(opened + "".join(inside) for opened, inside in stack)
+    lines: list[str] = []
+    for line in whole.split("\n"):
+        line = re.sub(r"[ \t]+", " ", line)
+        if line.startswith("=") and line.rstrip().endswith("="):
+            line = line.strip("= ")
+        if line or lines[-1:] != [""]:
+            lines.append(line)
+    return "\n".join(lines).strip()
 
 
 @F.pandas_udf(T.StringType())
