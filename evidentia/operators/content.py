@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,23 +109,35 @@ def segment(body: str | None, budget: int = DEFAULT.window_tokens) -> list[str]:
     return out
 
 
-def segmented(bodies: DataFrame, budget: int = DEFAULT.window_tokens) -> DataFrame:
-    """(node_id, ordinal, text, token_count) of (node_id, body)."""
+def segmented(bodies: DataFrame, budget: int = DEFAULT.window_tokens, segmenter: Callable[[str | None, int], list[str]] = segment) -> DataFrame:
+    """(node_id, ordinal, text, token_count) of (node_id, body), by a segmenter that may be replaced."""
 
     @F.pandas_udf("array<string>")
     def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: segment(b, budget))
+        return s.map(lambda b: segmenter(b, budget))
 
     rows = bodies.select("node_id", F.posexplode(split("body")).alias("ordinal", "text"))
     return rows.withColumn("token_count", scalars.token_count(F.col("text")))
 
 
+def segmenter_table(segmenter: Callable[[str | None, int], list[str]] = segment, budget: int = DEFAULT.window_tokens):
+    """The segmenter as a table function (ordinal, text) for SQL: ``spark.udtf.register(name, segmenter_table())``, then LATERAL name(body)."""
+    from pyspark.sql.functions import udtf
+
+    class Segments:
+        def eval(self, body: str):
+            yield from enumerate(segmenter(body, budget))
+
+    return udtf(Segments, returnType="ordinal int, text string")
+
+
 def hard_windows(bodies: DataFrame, budget: int) -> DataFrame:
-    """(node_id, ordinal, text): plain windows of ``budget`` words, without Python."""
+    """(node_id, ordinal, text): plain windows of ``budget`` words, without Python; a row holds its own window only."""
     words = F.regexp_extract_all("body", F.lit(r"\S+"), 0)
-    rows = bodies.withColumn("_w", words).filter(F.size("_w") > 0)
-    rows = rows.select("node_id", "_w", F.explode(F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / budget).cast("int"))).alias("ordinal"))
-    return rows.select("node_id", "ordinal", F.array_join(F.slice("_w", F.col("ordinal") * budget + 1, budget), " ").alias("text"))
+    rows = bodies.select("node_id", words.alias("_w")).filter(F.size("_w") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / budget).cast("int"))
+    windows = F.transform(starts, lambda i: F.array_join(F.slice("_w", i * budget + 1, budget), " "))
+    return rows.select("node_id", F.posexplode(windows).alias("ordinal", "text"))
 
 
 def put_bodies(log: DataFrame) -> DataFrame:
@@ -176,10 +189,64 @@ def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]]
 
 
 def mean_vectors(chunks: DataFrame, key: str = "node_id", vec: str = "vec") -> DataFrame:
-    """(key, vec): the unweighted mean of each key's vectors, place by place."""
-    places = chunks.filter(F.col(vec).isNotNull()).select(key, F.posexplode(vec).alias("i", "x"))
-    means = places.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vec"))
+    """(key, vec): the unweighted mean of each key's vectors, place by place; vectors of a key have one length.
+
+    Sums are taken in each batch, then of each key's sums as they come by in the key's order: no task holds a key's rows.
+    """
+    rows = chunks.filter(F.col(vec).isNotNull()).select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("s"), F.lit(1).cast("long").alias("n"))
+    kind = f"k {rows.schema['k'].dataType.simpleString()}, s array<double>, n long"
+    merged = rows.mapInArrow(_summed, kind).repartition("k").sortWithinPartitions("k").mapInArrow(_summed_in_order, kind)
+    return merged.select(F.col("k").alias(key), F.transform("s", lambda x: x / F.col("n")).alias("vec"))
+
+
+def _sums(batch: pa.RecordBatch) -> tuple[list, list[np.ndarray], np.ndarray]:
+    """A batch's keys in order of appearance, the sums of their vectors, and how many there are."""
+    place: dict = {}
+    at = np.array([place.setdefault(k, len(place)) for k in batch.column("k").to_pylist()], np.int64)
+    counts = np.bincount(at, batch.column("n").to_numpy(), len(place)).astype(np.int64)
+    vectors, flat = batch.column("s"), batch.column("s").flatten().to_numpy(zero_copy_only=False)
+    size = len(flat) // max(len(at), 1)
+    if size and size * len(at) == len(flat) and all(len(v) == size for v in vectors):
+        sums = np.zeros((len(place), size))
+        np.add.at(sums, at, flat.reshape(-1, size))
+        return list(place), list(sums), counts
+    out: list = [0.0] * len(place)
+    for i, v in zip(at, vectors, strict=True):
+        out[i] = out[i] + np.array(v.as_py(), float)
+    return list(place), out, counts
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            keys, sums, n = _sums(batch)
+            yield pa.record_batch([pa.array(keys, batch.schema.field("k").type), pa.array([x.tolist() for x in sums], pa.list_(pa.float64())), pa.array(n)], ["k", "s", "n"])
+
+
+def _summed_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal keys stand together: only the last one of a batch may go on in the next."""
+    open_: list | None = None
+    kind = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind = batch.schema.field("k").type
+        keys, sums, n = _sums(batch)
+        done = [[k, s, int(c)] for k, s, c in zip(keys, sums, n, strict=True)]
+        if open_ is not None:
+            if done[0][0] == open_[0]:
+                done[0][1], done[0][2] = done[0][1] + open_[1], done[0][2] + open_[2]
+            else:
+                done.insert(0, open_)
+        open_ = done.pop()
+        if done:
+            yield _sum_batch(done, kind)
+    if open_ is not None:
+        yield _sum_batch([open_], kind)
+
+
+def _sum_batch(rows: list, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[0] for r in rows], kind), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.int64())], ["k", "s", "n"])
 
 
 def union_chunks(survivor: DataFrame, alias: DataFrame) -> DataFrame:
