@@ -8,6 +8,7 @@ Scopes are applied below both rankings.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from evidentia import schema
 from evidentia.config import DEFAULT
 from evidentia.functions import scalars
+from evidentia.operators import confidence, traverse
+from evidentia.operators.iterate import checkpointed
 
 
 def tokens(text: Column) -> Column:
@@ -86,6 +89,30 @@ def search(chunks: DataFrame, nodes: DataFrame, query: str, scopes: list[str], v
     return memories(gate(fused, floor), spans).orderBy(F.desc("score"), "node_id").limit(limit)
 
 
+@dataclass
+class Answer:
+    """``status`` found or not_found; the memories with type, key and confidence, best first; what they lead to, by confidence."""
+
+    status: str
+    memories: DataFrame
+    expanded: DataFrame
+
+
+def answer(chunks: DataFrame, nodes: DataFrame, log: DataFrame, query: str, scopes: list[str], as_of: Column, expand: bool = True, depth: int = DEFAULT.expand_depth, **options) -> Answer:
+    """``search`` as an asker gets it: each memory named and weighed, and expanded over the edges that the log (with reward) folds to.
+
+    Corroboration and expansion read only the events of the few memories, and of what is reached from them.
+    """
+    found = checkpointed(search(chunks, nodes, query, scopes, **options))
+    # as many rows as the search's limit
+    few = found.select(F.col("node_id").alias("node"))
+    weighed = confidence.corroboration_of_log(log, as_of, nodes, scopes, F.broadcast(few))
+    memories = identified(found, nodes, weighed).orderBy(F.desc("score"), "node_id")
+    seeds = few.select(F.col("node").alias("seed"))
+    reached = traverse.reach_log(seeds, log, as_of, depth if expand and scopes else 0, nodes, scopes)
+    return Answer("not_found" if found.isEmpty() else "found", memories, traverse.ordered(traverse.strongest(reached, seeds)))
+
+
 def key_search(nodes: DataFrame, terms: list[str], scopes: list[str], limit: int = DEFAULT.limit, owner: str | None = None) -> DataFrame:
     """(id, type, key, score): visible nodes whose key contains a term (and, delimited, the owner), by key."""
     if not terms:

@@ -151,8 +151,8 @@ class Answer:
     citations: list[dict] = field(default_factory=list)
 
 
-def ask(spark: SparkSession, query: str, nodes: DataFrame, chunks: DataFrame, tier: str, scopes: list[str] | None = None, viewer: str | None = None, escalate: Callable[[str, str], Verdict] | None = None, limit: int = DEFAULT.limit) -> Answer:
-    """A typed answer for a routed question; what cannot be found, or fails, is said so."""
+def ask(spark: SparkSession, query: str, nodes: DataFrame, chunks: DataFrame, tier: str, scopes: list[str] | None = None, viewer: str | None = None, escalate: Callable[[str, str], Verdict] | None = None, limit: int = DEFAULT.limit, retriever: Callable[[str | None], DataFrame] | None = None) -> Answer:
+    """A typed answer for a routed question; what cannot be found, or fails, is said so. retriever: replaces the search, from the owner that an asker's own items have."""
     scopes = ["public"] if not scopes else scopes
     flags = spark.range(1).select(scalars.first_person(F.lit(query)).alias("mine"), scalars.query_terms(F.lit(query)).alias("terms")).first()
     if flags["mine"] and viewer is None:
@@ -160,8 +160,9 @@ def ask(spark: SparkSession, query: str, nodes: DataFrame, chunks: DataFrame, ti
     if tier == "tier0":
         return Answer("found", "Hello. Ask about what is stored here.", 1.0, "tier0")
     terms = flags["terms"]
-    keyed = retrieval.key_gate(retrieval.key_search(nodes, terms, scopes, limit, viewer if flags["mine"] else None), terms)
-    if not flags["mine"]:
+    owner = viewer if flags["mine"] else None
+    keyed = retriever(owner) if retriever else retrieval.key_gate(retrieval.key_search(nodes, terms, scopes, limit, owner), terms)
+    if not flags["mine"] and not retriever:
         found = retrieval.search(chunks, nodes, query, scopes, limit=limit)
         named = found.join(nodes.select(F.col("id").alias("node_id"), "type", "key"), "node_id").select(F.col("node_id").alias("id"), "type", "key", F.col("relevance").alias("score"))
         keyed = retrieval.merge_hits(named, keyed, limit)
