@@ -20,6 +20,11 @@ def gaps(outbox: DataFrame, after: int = 0) -> DataFrame:
     return seen.filter("seq - _p > 1").select((F.col("_p") + 1).alias("first_missing"), (F.col("seq") - 1).alias("last_missing"))
 
 
+def in_order(outbox: DataFrame, after: int = 0) -> DataFrame:
+    """The changes beyond the cursor in their order."""
+    return outbox.filter(F.col("seq") > after).orderBy("seq")
+
+
 def lanes(outbox: DataFrame) -> DataFrame:
     """Adds ``lane_seq``: each target's changes in their order; targets are independent."""
     return outbox.withColumn("lane_seq", F.row_number().over(Window.partitionBy("target_key").orderBy("seq")))

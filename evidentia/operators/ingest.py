@@ -37,6 +37,11 @@ class Ingested:
     dead: DataFrame
 
 
+def firsts(events: DataFrame) -> DataFrame:
+    """(provenance, seq): the first event of each provenance, the only one that is written."""
+    return events.groupBy("provenance").agg(F.min("seq").alias("seq"))
+
+
 def ingest(events: DataFrame, seen: DataFrame | None = None) -> Ingested:
     """Outcome written, duplicate (its provenance was written before) or quarantined of each event, and the written ones' rows.
 
@@ -45,7 +50,7 @@ def ingest(events: DataFrame, seen: DataFrame | None = None) -> Ingested:
     """
     checked = normalised(events)
     good = checked.filter("reason is null")
-    first = good.groupBy("provenance").agg(F.min("seq").alias("_first"))
+    first = firsts(good).withColumnRenamed("seq", "_first")
     marked = good.join(first, "provenance")
     if seen is not None:
         marked = marked.join(seen.select("provenance").distinct().withColumn("_old", F.lit(True)), "provenance", "left")
