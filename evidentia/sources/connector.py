@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from abc import ABC
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from datetime import datetime
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from evidentia import schema
+from evidentia.functions import scalars
+
+#: Events of a stream that are landed at a time.
+PAGE = 10_000
 
 
 @dataclass
@@ -49,9 +56,8 @@ class Report:
     expected: int | None = None
 
 
-def pages(connector: Connector, since: str | None, retries: int, report: Report) -> Iterator[Page]:
+def pages(connector: Connector, since: str | None, retries: int, report: Report, cursor: Any = None) -> Iterator[Page]:
     """Pages until done; one that keeps failing ends the run as incomplete."""
-    cursor = None
     while True:
         for attempt in range(retries + 1):
             try:
@@ -74,17 +80,36 @@ def pages(connector: Connector, since: str | None, retries: int, report: Report)
         cursor = page.cursor
 
 
+def delta(events: DataFrame, since: str | None, at: str = "ts") -> DataFrame:
+    """The events that moved after the watermark; all without one."""
+    return events if since is None else events.filter(F.col(at).cast("timestamp") > F.lit(since).cast("timestamp"))
+
+
+def in_pages(events: Iterable[dict], size: int = PAGE) -> Iterator[Page]:
+    """A stream's events, so many at a time: the driver holds one page."""
+    rows = iter(events)
+    while page := list(islice(rows, size)):
+        yield Page(page)
+
+
+def later(a: str | None, b: str | None) -> str | None:
+    """Of two times with an offset the later instant, as it is written; the first of equals."""
+    if not a or not b:
+        return a or b
+    return b if datetime.fromisoformat(b) > datetime.fromisoformat(a) else a
+
+
 def sync(spark: SparkSession, connector: Connector, land: Callable[[DataFrame], DataFrame], since: str | None = None, retries: int = 2, expected_total: int | None = None) -> Report:
     """Pulls a source page by page; ``land`` ingests a page and answers its outcomes (provenance, outcome).
 
-    The watermark is the latest time of written events. A complete run that brought fewer events than the
+    The watermark is the latest instant of written events, as the source writes it. A complete run that brought fewer events than the
     source declares, or the caller expects, is incomplete.
     """
     report = Report("delta" if since else "full", watermark=since)
     if type(connector).fetch is not Connector.fetch:
         found = pages(connector, since, retries, report)
     elif type(connector).stream is not Connector.stream:
-        found = iter([Page(list(connector.stream(since)), done=True)])
+        found = in_pages(connector.stream(since))
     else:
         raise TypeError("a connector fetches pages or streams events")
     offset = 0
@@ -94,13 +119,13 @@ def sync(spark: SparkSession, connector: Connector, land: Callable[[DataFrame],
         rows = [{**e, "seq": offset + i} for i, e in enumerate(page.events)]
         offset += len(rows)
         df = spark.createDataFrame([tuple(e.get(f.name) for f in schema.EVENT) for e in rows], schema.EVENT)
-        got = land(df).join(df.select("seq", "occurred_at"), "seq").groupBy("outcome").agg(F.count("*").alias("n"), F.max("occurred_at").alias("last")).collect()
+        got = land(df).join(df.select("seq", "occurred_at"), "seq").groupBy("outcome").agg(F.count("*").alias("n"), F.max_by("occurred_at", scalars.utc_timestamp(F.col("occurred_at"))).alias("last")).collect()
         by = {r["outcome"]: r for r in got}
         report.ingested += by["written"]["n"] if "written" in by else 0
         report.duplicates += by["duplicate"]["n"] if "duplicate" in by else 0
         report.errors += by["quarantined"]["n"] if "quarantined" in by else 0
         if "written" in by:
-            report.watermark = max(report.watermark or "", by["written"]["last"])
+            report.watermark = later(report.watermark, by["written"]["last"])
     expected = expected_total if expected_total is not None else report.expected
     if report.complete and expected is not None and report.ingested + report.duplicates < expected:
         report.complete = False
@@ -125,6 +150,35 @@ class _Reader(DataSourceReader):
             raise RuntimeError("the source could not be read completely")
 
 
+class _Pages(SimpleDataSourceStreamReader):
+    """A connector's pages as a stream: the offset is the next page's cursor, as JSON, and the number of events before it."""
+
+    def __init__(self, connector: Connector, since: str | None) -> None:
+        self.connector, self.since = connector, since
+
+    def initialOffset(self) -> dict:
+        return {"cursor": "null", "seq": 0, "done": 0}
+
+    def _page(self, start: dict) -> tuple[list[tuple], dict]:
+        if start["done"]:
+            return [], start
+        report = Report("stream")
+        page = next(pages(self.connector, self.since, 2, report, json.loads(start["cursor"])), None)
+        if page is None:
+            raise RuntimeError("the source could not be read")
+        rows = [tuple({**e, "seq": start["seq"] + i}.get(f.name) for f in schema.EVENT) for i, e in enumerate(page.events)]
+        return rows, {"cursor": json.dumps(page.cursor), "seq": start["seq"] + len(rows), "done": int(page.done)}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, end = self._page(start)
+        return iter(rows), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        while start["seq"] < end["seq"]:
+            rows, start = self._page(start)
+            yield from rows
+
+
 #: Connectors by name, for ``spark.read.format("events").option("connector", name)``.
 REGISTRY: dict[str, Callable[[], Connector]] = {}
 
@@ -143,16 +197,20 @@ class Events(DataSource):
     def schema(self):
         return schema.EVENT
 
-    def reader(self, schema) -> DataSourceReader:
+    def _connector(self) -> Connector:
         import importlib
 
         name = self.options["connector"]
         if ":" in name:
             module, attribute = name.split(":")
-            make = getattr(importlib.import_module(module), attribute)
-        else:
-            make = REGISTRY[name]
-        return _Reader(make(), self.options.get("since"))
+            return getattr(importlib.import_module(module), attribute)()
+        return REGISTRY[name]()
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self._connector(), self.options.get("since"))
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _Pages(self._connector(), self.options.get("since"))
 
 
 @dataclass
@@ -162,6 +220,27 @@ class Plugins:
     found: dict[str, type[Connector]] = field(default_factory=dict)
     broken: dict[str, str] = field(default_factory=dict)
 
+    def load_folder(self, folder: str) -> Plugins:
+        """The Python files of a folder, by name."""
+        import importlib.util
+        from pathlib import Path
+
+        for path in sorted(Path(folder).glob("*.py")):
+            try:
+                spec = importlib.util.spec_from_file_location(path.stem, path)
+                module = importlib.util.module_from_spec(spec)
+                spec.loader.exec_module(module)
+            except Exception as e:  # noqa: BLE001  a broken plugin must not stop the others
+                self.broken[path.stem] = repr(e)
+                continue
+            self._take(path.stem, module)
+        return self
+
+    def _take(self, name: str, module) -> None:
+        for x in vars(module).values():
+            if isinstance(x, type) and issubclass(x, Connector) and x is not Connector:
+                self.found[f"{name}:{x.__name__}"] = x
+
     def load(self, modules: list[str]) -> Plugins:
         import importlib
 
@@ -171,7 +250,5 @@ class Plugins:
             except Exception as e:  # noqa: BLE001  a broken plugin must not stop the others
                 self.broken[name] = repr(e)
                 continue
-            for x in vars(module).values():
-                if isinstance(x, type) and issubclass(x, Connector) and x is not Connector:
-                    self.found[f"{name}:{x.__name__}"] = x
+            self._take(name, module)
         return self
