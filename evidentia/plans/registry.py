@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from evidentia import schema
 from evidentia.functions import scalars
-from evidentia.operators import confidence, content, coordination, enrichment, evaluation, evidence, lifecycle, resolution, retrieval, routing, traverse
+from evidentia.operators import confidence, content, coordination, enrichment, evaluation, evidence, ingest, lifecycle, resolution, retrieval, routing, traverse
 from evidentia.plans import views
+from evidentia.sources import connector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,8 +79,9 @@ def nodes_sql(*names: str) -> str:
 
 
 #: The edge fold by windows.
-FOLD = """d0 AS (SELECT *, row_number() OVER (PARTITION BY src, dst, type, scope, provenance ORDER BY seq, ts) AS pn, row_number() OVER (PARTITION BY src, dst, type, scope, coalesce(origin, provenance) ORDER BY seq, ts) AS wn, row_number() OVER (PARTITION BY src, dst, type, scope ORDER BY seq, ts, weight, reliability, kind) AS fn, row_number() OVER (PARTITION BY src, dst, type, scope ORDER BY seq DESC, reward DESC) AS ln FROM ev),
-edge AS (SELECT src, dst, type, scope, max(CASE WHEN fn = 1 THEN weight END) AS weight, max(CASE WHEN fn = 1 THEN reliability END) AS reliability, max(CASE WHEN fn = 1 THEN kind END) AS kind, CAST(sum(CASE WHEN wn = 1 THEN 1 ELSE 0 END) AS INTEGER) AS seen_count, max(CASE WHEN wn = 1 THEN ts END) AS last_seen, max(CASE WHEN ln = 1 THEN reward END) AS reward FROM d0 GROUP BY src, dst, type, scope)"""
+FOLD = """d00 AS (SELECT *, row_number() OVER (PARTITION BY src, dst, type, scope, provenance ORDER BY seq, ts) AS pn, row_number() OVER (PARTITION BY src, dst, type, scope ORDER BY seq, ts, weight, reliability, kind) AS fn, row_number() OVER (PARTITION BY src, dst, type, scope ORDER BY seq DESC, reward DESC) AS ln FROM ev),
+d0 AS (SELECT *, row_number() OVER (PARTITION BY src, dst, type, scope, coalesce(origin, provenance), pn = 1 ORDER BY seq, ts) AS wn FROM d00),
+edge AS (SELECT src, dst, type, scope, max(CASE WHEN fn = 1 THEN weight END) AS weight, max(CASE WHEN fn = 1 THEN reliability END) AS reliability, max(CASE WHEN fn = 1 THEN kind END) AS kind, CAST(sum(CASE WHEN pn = 1 AND wn = 1 THEN 1 ELSE 0 END) AS INTEGER) AS seen_count, max(CASE WHEN pn = 1 AND wn = 1 THEN ts END) AS last_seen, max(CASE WHEN ln = 1 THEN reward END) AS reward FROM d0 GROUP BY src, dst, type, scope)"""
 
 
 def decay_sql(ts: str) -> str:
@@ -113,9 +115,9 @@ def edge_fold(t: Tables) -> DataFrame:
     return t.edges("reacts", "supplies").select("src", "dst", "type", "scope", r6("weight").alias("weight"), r6("reliability").alias("reliability"), "kind", "seen_count", F.unix_micros("last_seen").alias("last_seen"), "reward")
 
 
-@query(f"WITH {ev('reacts')} SELECT src, dst, count(DISTINCT coalesce(origin, provenance)) AS seen_count FROM ev GROUP BY src, dst, type, scope")
+@query(f"WITH {ev('reacts')}, once AS (SELECT src, dst, type, scope, provenance, arg_min(coalesce(origin, provenance), seq) AS w FROM ev GROUP BY ALL) SELECT src, dst, CAST(count(DISTINCT w) AS INTEGER) AS seen_count FROM once GROUP BY src, dst, type, scope")
 def edge_seen_count(t: Tables) -> DataFrame:
-    return t.events_of("reacts").groupBy(*evidence.EDGE_KEY).agg(F.count_distinct(evidence.witness()).alias("seen_count")).select("src", "dst", "seen_count")
+    return t.edges("reacts").select("src", "dst", "seen_count")
 
 
 @query(f"WITH {ev('reacts')}, {FOLD} SELECT src, dst, epoch_us(last_seen) AS last_seen FROM edge")
@@ -130,7 +132,7 @@ def event_classification(t: Tables) -> DataFrame:
 
 @query(f"WITH {ev('reacts')} SELECT provenance, min(seq) AS seq FROM ev GROUP BY provenance")
 def provenance_dedup(t: Tables) -> DataFrame:
-    return t.events_of("reacts").groupBy("provenance").agg(F.min("seq").alias("seq"))
+    return ingest.firsts(t.events_of("reacts"))
 
 
 def _flawed(t: Tables) -> DataFrame:
@@ -198,13 +200,13 @@ def body_hash_dups(t: Tables) -> DataFrame:
 @query(f"WITH {ev('supplies')}, {FOLD}, {corroboration_sql()} SELECT node, round(confidence, 6) AS confidence FROM corr")
 def corroboration_all(t: Tables) -> DataFrame:
     log = t.events_of("supplies")
-    return confidence.corroboration(evidence.fold_edges(log.drop("reward"), log), evidence.provenances(log), as_of()).withColumn("confidence", r6("confidence"))
+    return confidence.corroboration_of_log(log, as_of()).withColumn("confidence", r6("confidence"))
 
 
 @query(f"WITH {ev('supplies')}, {nodes_sql('supplier')}, {FOLD}, {corroboration_sql(GRANTED, SOURCE_SEEN)} SELECT node, round(confidence, 6) AS confidence FROM corr")
 def corroboration_scoped(t: Tables) -> DataFrame:
     log = t.events_of("supplies")
-    return confidence.corroboration(evidence.fold_edges(log.drop("reward"), log), evidence.provenances(log), as_of(), t.nodes("supplier"), ["public", "group"]).withColumn("confidence", r6("confidence"))
+    return confidence.corroboration_of_log(log, as_of(), t.nodes("supplier"), ["public", "group"]).withColumn("confidence", r6("confidence"))
 
 
 @query("SELECT l_suppkey, round(1 - coalesce(product(CASE WHEN l_linestatus <> 'O' THEN 1 - l_discount / 10 END), 1) * (1 - coalesce(max(CASE WHEN l_linestatus = 'O' THEN l_discount / 10 END), 0)), 6) AS confidence FROM {lineitem} GROUP BY l_suppkey")
@@ -223,17 +225,8 @@ def chain_confidence(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(r6(confidence.chain(1 - F.col("l_discount")) + 1e-9).alias("confidence"))
 
 
-@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_orderkey AS path, l_suppkey AS node FROM {lineitem} WHERE l_orderkey % 50 = 0 AND l_partkey % 4 = 0),
-pair AS (SELECT DISTINCT a.path AS x, b.path AS y FROM m a JOIN m b ON a.node = b.node),
-reach AS (SELECT x, y FROM pair UNION SELECT r.x, p.y FROM reach r JOIN pair p ON r.y = p.x)
-SELECT x AS path, min(y) AS "group" FROM reach GROUP BY x""")
-def independence_groups(t: Tables) -> DataFrame:
-    paths = t.lineitem.filter("l_orderkey % 50 = 0 and l_partkey % 4 = 0").select(F.col("l_orderkey").alias("path"), F.col("l_suppkey").alias("node"))
-    return confidence.independence_groups(paths)
-
-
 @query()
-def independence_groups_all(t: Tables) -> DataFrame:
+def independence_groups(t: Tables) -> DataFrame:
     """Over all of lineitem; a recursive closure in SQL has too many pairs, so tests hold it against brute force."""
     return confidence.independence_groups(t.lineitem.select(F.col("l_orderkey").alias("path"), F.col("l_suppkey").alias("node")))
 
@@ -295,7 +288,7 @@ def inventory(t: Tables) -> DataFrame:
 
 @query(f"WITH {nodes_sql('orders')} SELECT epoch_us(max(created_at)) AS freshest FROM node")
 def freshness(t: Tables) -> DataFrame:
-    return t.nodes("orders").agg(F.unix_micros(F.max("created_at")).alias("freshest"))
+    return lifecycle.status(t.nodes("orders"), t.events_of("owns")).select(F.unix_micros("freshest").alias("freshest"))
 
 
 # traversal
@@ -307,7 +300,7 @@ def _start(t: Tables) -> DataFrame:
 
 def _traverse(depth: int) -> None:
     def run(t: Tables) -> DataFrame:
-        return traverse.reach(_start(t), traverse.hops(t.edges(*WALKED), as_of()), depth).select("id", r6("confidence").alias("confidence"), "depth")
+        return traverse.reach_log(_start(t), t.events_of(*WALKED), as_of(), depth).select("id", r6("confidence").alias("confidence"), "depth")
 
     run.__name__ = f"traverse_d{depth}"
     query(f"WITH RECURSIVE {ev(*WALKED)}, {FOLD}, {walk_sql(depth, f'SELECT CAST({START} AS BIGINT) AS seed')} SELECT id, round(confidence, 6) AS confidence, depth FROM reach")(run)
@@ -319,7 +312,7 @@ for _depth in (1, 2, 3, 4):
 @query(f"WITH RECURSIVE {ev(*WALKED)}, {nodes_sql()}, {FOLD}, {walk_sql(3, 'SELECT CAST(3000000002 AS BIGINT) AS seed', GRANTED, TARGET_SEEN)} SELECT id, round(confidence, 6) AS confidence, depth FROM reach")
 def traverse_scoped(t: Tables) -> DataFrame:
     start = t.spark.createDataFrame([(3_000_000_002,)], "seed long")
-    return traverse.neighbours(start, t.edges(*WALKED), t.nodes(), as_of(), 3, ["public", "group"]).select("id", r6("confidence").alias("confidence"), "depth")
+    return traverse.reach_log(start, t.events_of(*WALKED), as_of(), 3, t.nodes(), ["public", "group"]).select("id", r6("confidence").alias("confidence"), "depth")
 
 
 _MANY = "SELECT CAST(3000000000 + c_custkey AS BIGINT) AS seed FROM {customer} WHERE c_custkey % 100 = 0"
@@ -328,7 +321,7 @@ _MANY = "SELECT CAST(3000000000 + c_custkey AS BIGINT) AS seed FROM {customer} W
 @query(f"WITH RECURSIVE {ev(*WALKED)}, {FOLD}, {walk_sql(2, _MANY)} SELECT id, round(max(confidence), 6) AS confidence, arg_min(depth, -confidence * 1000000 + depth * 0.0000001) AS depth FROM reach WHERE id NOT IN ({_MANY}) GROUP BY id")
 def expand_multi_seed(t: Tables) -> DataFrame:
     seeds = t.customer.filter("c_custkey % 100 = 0").select((F.lit(3_000_000_000) + F.col("c_custkey")).alias("seed"))
-    return traverse.expand(seeds, traverse.hops(t.edges(*WALKED), as_of()), 2).withColumn("confidence", r6("confidence"))
+    return traverse.strongest(traverse.reach_log(seeds, t.events_of(*WALKED), as_of(), 2), seeds).withColumn("confidence", r6("confidence"))
 
 
 @query(f"WITH {ev('owns')}, {FOLD} SELECT count(*) > 3 AS truncated, CASE WHEN count(*) > 3 THEN 0 ELSE count(*) END AS hits FROM edge WHERE src = {START}")
@@ -421,8 +414,9 @@ def memories_collapse(t: Tables) -> DataFrame:
 @query(f"WITH {fused_sql(3.0, 1.0)}{_MEMORY}, {ev('supplies')}, {FOLD}, {corroboration_sql()}, node AS ({views.NODES['part']}) SELECT m.node_id, n.type, n.key, round(m.relevance, 4) AS relevance, round(coalesce(c.confidence, n.reliability), 6) AS confidence FROM memory m JOIN node n ON n.id = 5000000000 + m.node_id LEFT JOIN corr c ON c.node = n.id")
 def memory_identity(t: Tables) -> DataFrame:
     log = t.events_of("supplies")
-    corr = confidence.corroboration(evidence.fold_edges(log.drop("reward"), log), evidence.provenances(log), as_of())
     found = _memories(t).withColumn("node_id", F.lit(5_000_000_000) + F.col("node_id"))
+    # as many memories as the arms' candidates at most
+    corr = confidence.corroboration_of_log(log, as_of(), ids=F.broadcast(found.select(F.col("node_id").alias("node"))))
     named = retrieval.identified(found, t.nodes("part"), corr)
     return named.select((F.col("node_id") - 5_000_000_000).alias("node_id"), "type", "key", "relevance", r6("confidence").alias("confidence"))
 
@@ -459,15 +453,8 @@ def key_gate(t: Tables) -> DataFrame:
     return retrieval.key_gate(retrieval.key_search(t.nodes(), KEYS, ["public", "group"], 50), KEYS).select("id", "key")
 
 
-@query(f"WITH {nodes_sql('part', 'orders')}, a AS (SELECT id, type, key, reliability AS score FROM node WHERE id % 97 = 0 AND id < 5000001000), b AS (SELECT id, type, key, CAST(1 AS DOUBLE) AS score FROM node WHERE id % 41 = 0 AND id < 5000001000) SELECT * FROM (SELECT *, 0 AS arm FROM a UNION ALL SELECT *, 1 FROM b WHERE id NOT IN (SELECT id FROM a)) ORDER BY arm, score DESC, key, id LIMIT 20")
-def hit_union(t: Tables) -> DataFrame:
-    nodes = t.nodes("part", "orders").filter("id < 5000001000")
-    a = nodes.filter("id % 97 = 0").select("id", "type", "key", F.col("reliability").alias("score"))
-    return retrieval.merge_hits(a, nodes.filter("id % 41 = 0").select("id", "type", "key", F.lit(1.0).alias("score")), 20)
-
-
 @query(f"WITH {nodes_sql('part', 'orders')}, a AS (SELECT id, type, key, reliability AS score FROM node WHERE id % 97 = 0), b AS (SELECT id, type, key, CAST(1 AS DOUBLE) AS score FROM node WHERE id % 41 = 0) SELECT * FROM (SELECT *, 0 AS arm FROM a UNION ALL SELECT *, 1 FROM b WHERE id NOT IN (SELECT id FROM a)) ORDER BY arm, score DESC, key, id LIMIT 20")
-def hit_union_all(t: Tables) -> DataFrame:
+def hit_union(t: Tables) -> DataFrame:
     """Of all parts and orders."""
     nodes = t.nodes("part", "orders")
     a = nodes.filter("id % 97 = 0").select("id", "type", "key", F.col("reliability").alias("score"))
@@ -554,11 +541,13 @@ def er_survivor(t: Tables) -> DataFrame:
 _MERGE = "CASE WHEN {c} >= 5000000000 AND {c} < 6000000000 THEN CAST(5000000000 + ({c} % 1000000000) // 4 * 4 AS BIGINT) ELSE {c} END"
 
 
-@query(f"WITH raw AS ({views.union(views.EVIDENCE, ('supplies', 'supplied_by'))}), ev AS (SELECT * REPLACE ({_MERGE.replace('{c}', 'src')} AS src, {_MERGE.replace('{c}', 'dst')} AS dst) FROM raw), {FOLD} SELECT src, dst, type, scope, seen_count FROM edge WHERE src <> dst")
+@query(f"""WITH raw AS ({views.union(views.EVIDENCE, ('supplies', 'supplied_by'))}), ev AS (SELECT * REPLACE ({_MERGE.replace('{c}', 'src')} AS src, {_MERGE.replace('{c}', 'dst')} AS dst), src <> {_MERGE.replace('{c}', 'src')} OR dst <> {_MERGE.replace('{c}', 'dst')} AS moved FROM raw),
+once AS (SELECT *, row_number() OVER (PARTITION BY src, dst, type, scope, provenance ORDER BY moved, seq, ts) AS pn, row_number() OVER (PARTITION BY src, dst, type, scope ORDER BY moved, seq, ts, reliability, kind) AS fn FROM ev WHERE src <> dst)
+SELECT src, dst, type, scope, CAST(count(DISTINCT CASE WHEN pn = 1 THEN coalesce(origin, provenance) END) AS INTEGER) AS seen_count, round(max(CASE WHEN fn = 1 THEN weight END), 6) AS weight, round(max(CASE WHEN fn = 1 THEN reliability END), 6) AS reliability, max(CASE WHEN fn = 1 THEN kind END) AS kind FROM once GROUP BY src, dst, type, scope""")
 def merge_edges(t: Tables) -> DataFrame:
     ids = t.part.select((F.lit(5_000_000_000) + F.col("p_partkey")).alias("id"), (F.lit(5_000_000_000) + F.floor(F.col("p_partkey") / 4) * 4).cast("long").alias("root"))
     log = resolution.merge_evidence(t.events_of("supplies", "supplied_by"), ids)
-    return evidence.fold_edges(log.drop("reward"), log).select("src", "dst", "type", "scope", "seen_count")
+    return evidence.fold_edges(log.drop("reward"), log).select("src", "dst", "type", "scope", "seen_count", r6("weight").alias("weight"), r6("reliability").alias("reliability"), "kind")
 
 
 @query("""WITH p AS (SELECT doc_id % 10 + 1 AS a, * FROM {documents}), s AS (SELECT doc_id // 10 AS node, doc_id % 10 AS slot, row_number() OVER (PARTITION BY doc_id // 10, doc_id % 10 >= 5 ORDER BY doc_id) - 1 AS o, doc_id % 10 >= 5 AS is_alias, doc_id FROM {documents}),
@@ -651,7 +640,7 @@ _OUT = f"feed AS ({views.OUTBOX})"
 
 @query(f"WITH {_OUT} SELECT seq, change, target_key FROM feed WHERE seq > 100")
 def outbox_in_order(t: Tables) -> DataFrame:
-    return t.sql(views.OUTBOX).filter("seq > 100").sortWithinPartitions("seq").select("seq", "change", "target_key")
+    return coordination.in_order(t.sql(views.OUTBOX), 100).select("seq", "change", "target_key")
 
 
 @query(f"WITH {_OUT}, p AS (SELECT seq, coalesce(lag(seq) OVER (ORDER BY seq), 0) AS b FROM feed WHERE seq > 0) SELECT b + 1 AS first_missing, seq - 1 AS last_missing FROM p WHERE seq - b > 1")
@@ -687,16 +676,28 @@ def fence_final(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS moved, epoch_us(max(ts)) AS watermark FROM {events} WHERE ts > TIMESTAMP '2024-01-20 00:00:00' GROUP BY user_id")
 def delta_movers(t: Tables) -> DataFrame:
-    return t.events.filter(F.col("ts") > F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).groupBy("user_id").agg(F.count("*").alias("moved"), F.unix_micros(F.max(F.col("ts").cast("timestamp"))).alias("watermark"))
+    return connector.delta(t.events, "2024-01-20 00:00:00").groupBy("user_id").agg(F.count("*").alias("moved"), F.unix_micros(F.max(F.col("ts").cast("timestamp"))).alias("watermark"))
+
+
+class _Customers(connector.Connector):
+    """Customers as a paginated source, 1,000 keys a page: each two share a provenance, and one in 33 has no offset in its time."""
 
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table
+        self.last = table.agg(F.max("c_custkey")).first()[0] or 0
 
-@query("WITH p AS (SELECT event_id, event_id // 50 AS page, CASE WHEN event_id % 33 = 0 THEN 'quarantined' WHEN event_id % 4000 <> event_id THEN 'duplicate' ELSE 'written' END AS outcome FROM {events}) SELECT count(*) FILTER (outcome = 'written') AS ingested, count(*) FILTER (outcome = 'duplicate') AS duplicates, count(*) FILTER (outcome = 'quarantined') AS errors, count(DISTINCT page) AS pages FROM p")
+    def fetch(self, cursor: int | None, since: str | None = None) -> connector.Page:
+        page = cursor or 0
+        keys = [r[0] for r in self.table.filter(F.col("c_custkey").between(page * 1000, page * 1000 + 999)).select("c_custkey").orderBy("c_custkey").collect()]
+        events = [{"source": "crm", "provenance": f"pair {k // 2}", "occurred_at": "2024-01-01 00:00:00" if k % 33 == 0 else f"2024-01-{1 + k % 28:02d}T00:00:00Z", "entities": [("user", f"customer {k}", "public", "")], "relations": []} for k in keys]
+        return connector.Page(events, page + 1, (page + 1) * 1000 > self.last)
+
+
+@query("WITH c AS (SELECT c_custkey AS k, c_custkey % 33 = 0 AS bad FROM {customer}) SELECT count(DISTINCT CASE WHEN NOT bad THEN k // 2 END) AS ingested, count(*) FILTER (NOT bad) - count(DISTINCT CASE WHEN NOT bad THEN k // 2 END) AS duplicates, count(*) FILTER (bad) AS errors, max(k) // 1000 + 1 AS pages, '2024-01-' || lpad(CAST(max(CASE WHEN NOT bad AND (k % 2 = 0 OR (k - 1) % 33 = 0 OR NOT EXISTS (SELECT 1 FROM c d WHERE d.k = c.k - 1)) THEN 1 + k % 28 END) AS VARCHAR), 2, '0') || 'T00:00:00Z' AS watermark FROM c")
 def sync_report(t: Tables) -> DataFrame:
-    n = F.col("event_id")
-    outcome = F.when(n % 33 == 0, "quarantined").when(n % 4000 != n, "duplicate").otherwise("written")
-    rows = t.events.select(F.floor(n / 50).alias("page"), outcome.alias("outcome"))
-    count = lambda o: F.count(F.when(F.col("outcome") == o, 1))
-    return rows.agg(count("written").alias("ingested"), count("duplicate").alias("duplicates"), count("quarantined").alias("errors"), F.count_distinct("page").alias("pages"))
+    """A sync of all customers, page by page, each landed by the ingest."""
+    r = connector.sync(t.spark, _Customers(t.customer), lambda events: ingest.ingest(events).outcomes)
+    return t.spark.createDataFrame([(r.ingested, r.duplicates, r.errors, r.pages, r.watermark)], "ingested long, duplicates long, errors long, pages long, watermark string")
 
 
 # routing
@@ -752,21 +753,16 @@ def token_budget(t: Tables) -> DataFrame:
 # pages
 
 
-@query("""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS href FROM {pages}""")
-def page_links(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))).alias("href"))
-
-
-@query(r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<[^>]+>', ' ', 'g'), '[ \t\n]+', ' ', 'g'))) AS text_hash FROM {pages}")
-def page_text(t: Tables) -> DataFrame:
-    bare = F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>|<[^>]+>", " ")
-    return t.pages.select("page_id", scalars.sha256(F.trim(F.regexp_replace(bare, r"[ \t\n]+", " "))).alias("text_hash"))
+_WORDS2 = "w AS (SELECT doc_id, regexp_replace(split_part(text, ' ', 1), '[^a-z]', 'x', 'g') AS a, regexp_replace(split_part(text, ' ', 2), '[^a-z]', 'x', 'g') AS b FROM {documents})"
 
 
-@query("""WITH l AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1))) AS href FROM {pages}) SELECT href, count(*) AS pages FROM l GROUP BY href""")
-def link_graph(t: Tables) -> DataFrame:
-    links = t.pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))).alias("href"))
-    return links.groupBy("href").agg(F.count("*").alias("pages"))
+@query(f"WITH {_WORDS2} SELECT doc_id, b || ' and ' || b AS body, array_to_string(list_filter([upper(substr(a, 1, 1)) || substr(a, 2), upper(substr(b, 1, 1)) || substr(b, 2)], lambda x: x <> ''), ',') AS targets FROM w WHERE a <> '' AND b <> ''")
+def wiki_text(t: Tables) -> DataFrame:
+    """Prose and link targets of wikitext that is made of each document's first two words."""
+    word = lambda n: F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(n)), "[^a-z]", "x")
+    rows = t.documents.select("doc_id", word(1).alias("a"), word(2).alias("b")).filter("a <> '' and b <> ''")
+    text = F.concat(F.lit("<!-- no -->[["), "a", F.lit("#part|"), "b", F.lit("]] {{skip|{{"), "a", F.lit("}}}}and<ref>[x]</ref> '''[["), "b", F.lit("]]'''[[File:"), "a", F.lit(".png]]"))
+    return rows.select("doc_id", scalars.plain_text(text).alias("body"), F.array_join(scalars.link_targets(text), ",").alias("targets"))
 
 
 @query("WITH t AS (SELECT doc_id, regexp_replace(split_part(text, ' ', 1) || '_' || split_part(text, ' ', 2), '[\\s%#]', 'x', 'g') AS a FROM {documents}) SELECT doc_id, upper(substr(trim(replace(a, '_', ' ')), 1, 1)) || substr(trim(replace(a, '_', ' ')), 2) AS title FROM t")
