@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,46 @@ def test_wiki_markup():
     assert scalars.wiki_plain("{{a{{b}}c}}'''Mars''' is [[planet|a planet]]<ref>x</ref>.\n== Head ==\n[[Category:x]]") == "Mars is a planet.\nHead"
 
 
+def test_wiki_prose_without_markup():
+    plain = scalars.wiki_plain
+    assert plain("a<!-- x [[y]] -->b <ref name=q/>c<ref>{{cite|z}}</ref>d") == "ab cd"
+    assert plain("before {| class=x\n| cell {{t|}}\n|} after") == "before after"
+    assert plain("{{a|{{b|[[c]]}}|d}}[[File:x.png|thumb|a [[link]] here]]end") == "end"
+    assert plain("an open {{bracket and ''quotes''") == "an open {{bracket and quotes"
+    assert plain("[[a|]] [[b|c]] [[d]] <b>e</b>  f") == "a c d e f"
+    assert plain("x\n\n\n\ny\n=== Head ===\nz = 1") == "x\n\ny\nHead\nz = 1"
+    assert plain("") == "" and plain("a }} b ]] c |} d") == "a }} b ]] c |} d"
+    assert scalars.wiki_links("[[a]] [[b|c]] [[open [[ :d]] [[Help:e]] [[]]") == ["A", "B", ":d"]
+
+
+def test_mean_vectors_of_hot_and_null_keys(spark):
+    rows = [(i % 3 or None if i % 3 else None, [float(i), 1.0]) for i in range(300)] + [(7, None), (8, [2.0, 3.0])]
+    df = spark.createDataFrame(rows, "node_id long, vec array<float>").repartition(5)
+    want = {}
+    for k, v in rows:
+        if v:
+            want.setdefault(k, []).append(v)
+    got = {r.node_id: r.vec for r in content.mean_vectors(df).collect()}
+    assert got == {k: [pytest.approx(sum(x) / len(v)) for x in zip(*v, strict=True)] for k, v in want.items()}
+    moved = {r.id: r.vec for r in evaluation.centred(spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 6.0])], "id long, vec array<float>")).collect()}
+    assert moved == {1: [-1.0, -2.0], 2: [1.0, 2.0]}
+
+
+def test_answer_names_weighs_and_expands(spark):
+    nodes = spark.createDataFrame([(1, "concept", "Mars", "public", 0.7), (2, "concept", "Phobos", "public", 0.6), (3, "concept", "Secret", "private", 0.9)], "id long, type string, key string, scope string, reliability double")
+    chunks = _chunks(spark, [(1, 1, "Mars is the fourth planet", None)])
+    log = "src long, dst long, type string, scope string, provenance string, origin string, seq long, ts timestamp, weight double, reliability double, kind string, reward double"
+    now = datetime(2024, 1, 1)
+    rows = [(2, 1, "about", "public", "p", None, 1, now, 1.0, 0.8, "observation", 0.0), (1, 2, "has", "public", "q", None, 2, now, 1.0, 0.5, "observation", 0.0), (2, 3, "hides", "private", "r", None, 3, now, 1.0, 0.9, "observation", 0.0)]
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    got = retrieval.answer(chunks, nodes, spark.createDataFrame(rows, log), "fourth planet", ["public"], at)
+    assert got.status == "found" and [(r.key, r.confidence) for r in got.memories.collect()] == [("Mars", pytest.approx(0.8))]
+    assert [(r.id, r.confidence) for r in got.expanded.collect()] == [(2, pytest.approx(0.5))]
+    none = retrieval.answer(chunks, nodes, spark.createDataFrame(rows, log), "zebra", ["public"], at)
+    assert none.status == "not_found" and none.memories.count() == none.expanded.count() == 0
+    assert retrieval.answer(chunks, nodes, spark.createDataFrame(rows, log), "fourth", ["public"], at, expand=False).expanded.count() == 0
+
+
 def _chunks(spark, rows):
     return spark.createDataFrame([(i, n, 0, t, v) for i, n, t, v in rows], "id long, node_id long, ordinal int, text string, vec array<float>")
 

@@ -1,5 +1,6 @@
 """Numeric contracts of the graph operators."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -37,9 +38,10 @@ def corroborated(spark, events, nodes=None, scopes=None):
 def test_reinforcement_counts_origins(spark):
     log = spark.createDataFrame([event(1, 2, 1, "ev-1", "doc-A"), event(1, 2, 2, "ev-2", "doc-A"), event(1, 2, 3, "ev-3", "doc-B"), event(1, 2, 4, "ev-3", "doc-C")], LOG)
     assert [r.outcome for r in evidence.classified(log).orderBy("seq").collect()] == ["new_origin", "existing_origin", "new_origin", "duplicate"]
-    # a duplicate's origin is never a witness of its own unless its first event brought it
-    first = evidence.classified(log).filter("outcome <> 'duplicate'").drop("outcome")
-    assert evidence.fold_edges(first).first().seen_count == 2
+    # a duplicate's origin is never recorded
+    assert evidence.fold_edges(log).first().seen_count == 2
+    log = spark.createDataFrame([event(1, 2, 1, "p1", "A"), event(1, 2, 2, "p1", "B"), event(1, 2, 3, "p2", "B")], LOG)
+    assert [r.outcome for r in evidence.classified(log).orderBy("seq").collect()] == ["new_origin", "duplicate", "new_origin"]
 
 
 def test_fold_matches_sequential_rules(spark):
@@ -48,7 +50,10 @@ def test_fold_matches_sequential_rules(spark):
     state = {}
     for e in events:
         key = e[:4]
-        s = state.setdefault(key, {"rel": e[9], "seen": set(), "last": None})
+        s = state.setdefault(key, {"rel": e[9], "seen": set(), "last": None, "from": set()})
+        if e[4] in s["from"]:
+            continue
+        s["from"].add(e[4])
         who = e[5] or e[4]
         if who not in s["seen"]:
             s["seen"].add(who)
@@ -141,6 +146,50 @@ def test_components_and_survivors(spark):
     assert {(r.into, r.alias) for r in chosen.collect()} == {(2, 1), (3, 4)}
 
 
+def test_merge_keeps_the_survivor_s_terms(spark):
+    log = spark.createDataFrame([event(11, 20, 1, "p1", "A", 0.3), event(10, 20, 2, "p2", "B", 0.9), event(10, 20, 3, "p1", "C", 0.5), event(11, 30, 4, "p4", reliability=0.2)], LOG)
+    mapping = spark.createDataFrame([(10, 10), (11, 10)], "id long, root long")
+    edges = {r.dst: (r.src, r.reliability, r.seen_count) for r in evidence.fold_edges(resolution.merge_evidence(log, mapping)).collect()}
+    # p1 was the survivor's already, from C
+    assert edges == {20: (10, 0.9, 2), 30: (10, 0.2, 1)}
+
+
+def test_roots_follow_long_chains(spark):
+    pairs = spark.createDataFrame([(i + 1, i) for i in range(200)], "into long, alias long")
+    assert {r.root for r in resolution.roots(pairs).collect()} == {0}
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_scored_pairs_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(resolution, "TILE", tile)
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice("ab"), "public", f"key {i}", None if i == 5 else [0.0, 0.0, 0.0] if i == 6 else [rnd.uniform(-1, 1) for _ in range(3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, type string, scope string, key string, vec array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (math.hypot(*a) * math.hypot(*b) or 1)
+    want = {(a[0], b[0]): cos(a[4], b[4]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[4] and b[4] and cos(a[4], b[4]) >= 0.3}
+    got = {(r.left_id, r.right_id): r for r in resolution.scored_pairs(df, 0.3).collect()}
+    assert {k: pytest.approx(v) for k, v in want.items()} == {k: r.cosine for k, r in got.items()}
+    assert all(r.left_key == f"key {r.left_id}" and r.right_key == f"key {r.right_id}" and r.type == rows[r.left_id][1] for r in got.values())
+    top = resolution.propose(df, None, 0.3, 0.0, 7)
+    assert {(r.left_id, r.right_id) for r in top.collect()} == set(sorted(want, key=lambda k: -want[k])[:7])
+    known = spark.createDataFrame([(rows[a][1], f"key {b}", f"key {a}") for a, b in sorted(want, key=lambda k: -want[k])[:3]], "type string, alias_key string, canonical_key string")
+    assert {(r.left_id, r.right_id) for r in resolution.propose(df, known, 0.3, 0.0, 7).collect()} == set(sorted(want, key=lambda k: -want[k])[3:10])
+
+
+def test_walks_over_the_log_equal_walks_over_the_edges(spark, monkeypatch):
+    rnd = random.Random(3)
+    log = spark.createDataFrame([(*event(rnd.randint(0, 9), rnd.randint(0, 9), i, f"p{rnd.randint(0, 50)}", reliability=rnd.uniform(0.1, 0.9)), rnd.choice([0.0, 0.0, 0.0, -1.0])) for i in range(60)], LOG + ", reward double")
+    seeds = spark.createDataFrame([(0,), (3,)], "seed long")
+    key = lambda df: sorted((r.seed, r.id, round(r.confidence, 9), r.depth) for r in df.collect())
+    want = key(traverse.reach(seeds, traverse.hops(evidence.fold_edges(log.drop("reward"), log), at()), 3))
+    for frontier in (100_000, 0):
+        monkeypatch.setattr(traverse, "FRONTIER", frontier)
+        assert key(traverse.reach_log(seeds, log, at(), 3)) == want
+    ids = spark.createDataFrame([(4,), (5,)], "node long")
+    every = {r.node: r.confidence for r in confidence.corroboration_of_log(log, at()).collect()}
+    assert {r.node: r.confidence for r in confidence.corroboration_of_log(log, at(), ids=ids).collect()} == {k: v for k, v in every.items() if k in (4, 5)}
+
+
 def test_merge_outcomes(spark):
     nodes = spark.createDataFrame([("entity", "a", "public"), ("entity", "b", "public"), ("entity", "c", "private")], "type string, key string, scope string")
     asked = spark.createDataFrame([("entity", "x", "a"), ("entity", "a", "a"), ("entity", "a", "z"), ("entity", "a", "c"), ("entity", "a", "b")], "type string, alias_key string, into_key string")
@@ -220,5 +269,5 @@ def test_independence_groups_of_all_paths(spark):
 
     data = "/root/testdata/sf0.001"
     pairs = [tuple(r) for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect()]
-    got = entry.queries()["independence_groups_all"](spark, data).collect()
+    got = entry.queries()["independence_groups"](spark, data).collect()
     assert {r.path: r.group for r in got} == grouped(pairs) and len(got) == len({p for p, _ in pairs})

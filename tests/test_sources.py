@@ -39,6 +39,48 @@ def test_sync_contracts(spark):
     assert (delta.mode, delta.ingested) == ("delta", 3)
 
 
+class Stream(connector.Connector):
+    def stream(self, since=None):
+        for i in range(25):
+            yield {"source": "t", "provenance": f"s-{i}", "occurred_at": "2026-01-01T23:00:00-05:00" if i == 3 else "2026-01-02T01:00:00Z", "entities": [("source", f"s-{i}", "public", "")], "relations": []}
+
+
+def test_streams_land_in_pages_and_watermarks_are_instants(spark, monkeypatch):
+    monkeypatch.setattr(connector.in_pages, "__defaults__", (10,))
+    sizes = []
+
+    def landed(df):
+        sizes.append(df.count())
+        return land(df)
+
+    r = connector.sync(spark, Stream(), landed)
+    # eleven in the evening, five hours west, is later than one o'clock
+    assert (r.ingested, sizes, r.watermark) == (25, [10, 10, 5], "2026-01-01T23:00:00-05:00")
+
+
+def test_pages_as_a_stream(spark, tmp_path):
+    reader = connector._Pages(Titles(120), None)
+    at, seen, ends = reader.initialOffset(), [], []
+    while True:
+        rows, end = reader.read(at)
+        rows = list(rows)
+        if not rows:
+            break
+        assert list(reader.readBetweenOffsets(at, end)) == rows
+        seen += rows
+        ends.append(end)
+        at = end
+    names = [f.name for f in connector.schema.EVENT]
+    assert [r[names.index("seq")] for r in seen] == list(range(120)) and len(ends) == 3
+
+
+def test_plugins_of_a_folder(tmp_path):
+    (tmp_path / "good.py").write_text("from evidentia.sources.connector import Connector\nclass Mine(Connector):\n    pass\n")
+    (tmp_path / "bad.py").write_text("raise ValueError('no')\n")
+    found = connector.Plugins().load_folder(str(tmp_path))
+    assert list(found.found) == ["good:Mine"] and list(found.broken) == ["bad"]
+
+
 def test_python_source(spark):
     spark.dataSource.register(connector.Events)
     df = spark.read.format("events").option("connector", f"{__name__}:Titles").load() if __name__ != "test_sources" else None
