@@ -11,12 +11,13 @@ from evidentia.config import DEFAULT
 def gaps(outbox: DataFrame, after: int = 0) -> DataFrame:
     """(first_missing, last_missing) runs of sequence numbers beyond the cursor that never came.
 
-    The number before each row is looked up by ranges of ``seq``, so no task orders the whole feed.
+    The number before each row is looked up by ranges of ``seq``, so no task orders the whole feed; one row for each
+    65,536 numbers is ordered as one, and joined by whatever way its size allows.
     """
     rows = outbox.filter(F.col("seq") > after).select("seq", F.floor(F.col("seq") / 65_536).alias("_b"))
     before = F.lag("seq").over(Window.partitionBy("_b").orderBy("seq"))
     edges = rows.groupBy("_b").agg(F.max("seq").alias("_last")).select("_b", F.coalesce(F.lag("_last").over(Window.orderBy("_b")), F.lit(after)).alias("_carry"))
-    seen = rows.withColumn("_p", before).join(F.broadcast(edges), "_b").withColumn("_p", F.coalesce("_p", "_carry"))
+    seen = rows.withColumn("_p", before).join(edges, "_b").withColumn("_p", F.coalesce("_p", "_carry"))
     return seen.filter("seq - _p > 1").select((F.col("_p") + 1).alias("first_missing"), (F.col("seq") - 1).alias("last_missing"))
 
 

@@ -135,15 +135,23 @@ def outbox(changes: DataFrame, offset: int = 0) -> DataFrame:
 def ranked(df: DataFrame, order: list[str], name: str, offset: int = 0) -> DataFrame:
     """A gapless total rank: a bucket's rank from the sizes of the buckets before it, then a rank inside the bucket.
 
-    Buckets are quantile ranges of the first column, a number.
+    Buckets are quantile ranges of the first column, a number; a number that fills several of them is cut by the
+    second column's first characters, so that no task ranks all rows of one number.
     """
     cuts = df.agg(F.percentile_approx(order[0], [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col(order[0])))
-    placed = df.withColumn("_b", bucket)
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col(order[0]))).cast("string")
+    often = sorted({c for c in cuts if cuts.count(c) > 1})
+    if often and len(order) > 1:
+        # '' comes before any sign: rows of the number itself come before the rest of its range
+        same = F.col(order[0]).isin(*often)
+        bucket = F.concat(F.lpad(bucket, 2, "0"), F.when(same, F.concat(F.lit("a"), F.substring(F.col(order[1]).cast("string"), 1, 12))).otherwise("b"))
+    else:
+        bucket = F.lpad(bucket, 2, "0")
+    placed = df.withColumn("_b", F.coalesce(bucket, F.lit("")))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("_b").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return placed.withColumn("_r", inside).join(F.broadcast(sizes), "_b").withColumn(name, (F.col("_r") + F.col("_before") + offset).cast("long")).drop("_b", "_r", "_before")
+    return placed.withColumn("_r", inside).join(sizes, "_b").withColumn(name, (F.col("_r") + F.col("_before") + offset).cast("long")).drop("_b", "_r", "_before")
 
 
 def latest(log: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,9 +7,11 @@ Scopes are applied below both rankings.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,10 +143,37 @@ def merge_hits(first: DataFrame, second: DataFrame, limit: int = DEFAULT.limit)
     return both.orderBy("arm", F.desc("score"), "key", "id").limit(limit)
 
 
-def hyperplane_key(vec: Column, planes: list[list[float]]) -> Column:
-    """A bucket for approximate search: a bit for each plane's side."""
-    bits = [F.when(scalars.dot(vec, scalars.vector(p)) >= 0, 1 << i).otherwise(0) for i, p in enumerate(planes)]
-    return sum(bits[1:], bits[0])
+def centroids(chunks: DataFrame, lists: int = 64, sample: int = 10_000, rounds: int = 10) -> list[list[float]]:
+    """Directions that the vectors lie around: spherical k-means of at most ``sample`` vectors, the ones with the least hash of their id."""
+    rows = chunks.filter("vec is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").collect()
+    x = np.array([r.vec for r in rows], float).reshape(len(rows), -1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    c = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)] if len(x) else x
+    for _ in range(rounds):
+        own = (x @ c.T).argmax(1) if len(x) else []
+        c = np.array([m / max(np.linalg.norm(m), 1e-12) if (m := x[own == i].sum(0)).any() else c[i] for i in range(len(c))])
+    return c.tolist()
+
+
+def indexed(chunks: DataFrame, around: list[list[float]]) -> DataFrame:
+    """Every chunk that has a vector with ``bucket``, the centroid it is closest to; to be written partitioned by it."""
+    c = np.array(around, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("vec").to_pylist(), float).reshape(batch.num_rows, -1)
+            own = (x @ c.T).argmax(1) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.record_batch([*batch.columns, pa.array(own, pa.int32())], [*batch.schema.names, "bucket"])
+
+    rows = chunks.filter("vec is not null").drop("bucket")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, bucket int")
+
+
+def dense_by_index(index: DataFrame, vector: list[float], around: list[list[float]], k: int = DEFAULT.candidates, probes: int = 16) -> DataFrame:
+    """As ``dense``, from the buckets of the ``probes`` centroids closest to the vector only: approximate."""
+    near = np.argsort(-(np.array(around, float) @ np.array(vector, float)), kind="stable")[:probes]
+    return dense(index.filter(F.col("bucket").isin([int(i) for i in near])), vector, k)
 
 
 def postings(chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from evidentia import schema
 from evidentia.config import DEFAULT
 from evidentia.functions import scalars
-from evidentia.operators import retrieval
+from evidentia.operators import evaluation, retrieval
 
 # Fixed values
 PROTOTYPES = (
@@ -38,8 +39,9 @@ CONFIDENCE = {"found": 0.7, "not_found": 0.3, "partial": 0.5, "error": 0.0}
 
 
 def nearest(messages: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """Adds intent, tier, score of the closest prototype (intent, tier, ordinal, vec); the first of equals. Prototypes are a handful."""
-    pairs = messages.select("id", F.col("vec").alias("_m")).join(F.broadcast(prototypes.select("intent", "tier", "ordinal", F.col("vec").alias("_p"))))
+    """Adds intent, tier, score of the closest prototype (intent, tier, ordinal, vec); the first of equals. Prototypes are a stated set."""
+    asked = messages.select("id", F.col("vec").alias("_m"))
+    pairs = reduce(DataFrame.unionByName, [asked.join(F.broadcast(p.select("intent", "tier", "ordinal", F.col("vec").alias("_p")))) for p in evaluation.in_blocks(prototypes, "ordinal")])
     scored = pairs.withColumn("score", scalars.cosine(F.col("_m"), F.col("_p")))
     best = F.max_by(F.struct("intent", "tier", "score"), F.struct(F.col("score"), -F.col("ordinal")))
     return messages.join(scored.groupBy("id").agg(best.alias("_b")), "id").select(*messages.columns, "_b.*")

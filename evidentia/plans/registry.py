@@ -797,4 +797,4 @@ def floor_sweep(t: Tables) -> DataFrame:
 
 @query("WITH l AS (SELECT user_id, list(value ORDER BY value) AS v FROM {events} GROUP BY user_id) SELECT user_id, v[least(len(v) - 1, CAST(floor(0.95 * len(v)) AS BIGINT)) + 1] AS p95 FROM l")
 def latency_percentile_rule(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(evaluation.latency_rank(F.sort_array(F.collect_list("value")), 0.95).alias("p95"))
+    return evaluation.latency_ranks(t.events, "user_id", "value", 0.95).withColumnRenamed("value", "p95")

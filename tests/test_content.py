@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,40 @@ def test_bands_and_ranks(spark):
     assert r.p == 3
 
 
+def test_latency_ranks_count_equal_values(spark):
+    rows = [("a", float(i % 7)) for i in range(100)] + [("b", 1.0), ("c", None)]
+    got = {r.k: r.v for r in evaluation.latency_ranks(spark.createDataFrame(rows, "k string, v double"), "k", "v", 0.95).collect()}
+    assert got == {"a": sorted(v for k, v in rows if k == "a")[95], "b": 1.0}
+
+
+def test_stated_sets_meet_all_rows_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, hot(i % 8)) for i in range(30)], "id long, vec array<double>")
+    key = lambda df: sorted((r.query_id, r.chunk_id, r.cos) for r in df.collect())
+    whole = key(evaluation.similarities(rows, rows.filter("id < 10")))
+    monkeypatch.setattr(evaluation, "BLOCK", 3)
+    assert key(evaluation.similarities(rows, rows.filter("id < 10"))) == whole and len(whole) == 300
+
+
+def test_index_finds_nine_of_ten_neighbours(spark):
+    # directions with neighbours, as embeddings of texts have; on vectors spread evenly only all probes find all
+    rnd = np.random.default_rng(3)
+    middle = rnd.normal(size=(40, 32))
+    vectors = middle[rnd.integers(0, 40, 1500)] + 0.6 * rnd.normal(size=(1500, 32))
+    table = spark.createDataFrame([(i, i, 0, "", v.tolist()) for i, v in enumerate(vectors)] + [(-1, -1, 0, "", None)], "id long, node_id long, ordinal int, text string, vec array<double>")
+    around = retrieval.centroids(table, 24, sample=600)
+    index = retrieval.indexed(table.withColumn("bucket", F.lit("mine")), around).persist()
+    assert index.count() == 1500 and len(around) == 24
+    hits = 0
+    for i in range(0, 1500, 150):
+        vector = vectors[i].tolist()
+        want = {r.id for r in retrieval.dense(table, vector, 10).collect()}
+        hits += len(want & {r.id for r in retrieval.dense_by_index(index, vector, around, 10, 6).collect()})
+        if not i:
+            assert {r.id for r in retrieval.dense_by_index(index, vector, around, 10, 24).collect()} == want
+    index.unpersist()
+    assert hits >= 90
+
+
 def test_ingest_outcomes(spark):
     def e(seq, provenance, at="2026-01-01T00:00:00Z", relations=(), origin=None, scope="public"):
         return ("t", provenance, origin, at, [("file", "/a/f.txt", scope, "f"), ("dir", "/a", "private", "a")], list(relations), seq)

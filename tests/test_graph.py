@@ -237,6 +237,13 @@ def test_outbox_numbers_have_no_gaps(spark):
     assert [s for s, _ in rows] == list(range(8, 58)) and len({k for _, k in rows}) == 50
 
 
+def test_ranks_of_many_rows_of_one_number(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice([3, 3, 3, rnd.randint(0, 9)]), f"{rnd.randint(0, 10**9)}x{i}") for i in range(400)]
+    got = [(r.order, r.idem) for r in evidence.ranked(spark.createDataFrame(rows, "order long, idem string"), ["order", "idem"], "n").orderBy("n").collect()]
+    assert got == sorted(rows)
+
+
 def grouped(pairs):
     root = {("path", p): ("path", p) for p, _ in pairs} | {("node", n): ("node", n) for _, n in pairs}
 

@@ -99,6 +99,64 @@ def test_wiki_events(spark, tmp_path):
     assert {(r.src, r.dst) for r in wiki.resolve(links, wiki.redirects(responses)).collect()} == {("Mars", "Mars"), ("Mars", "Earth")}
 
 
+class Api:
+    """A wiki of articles A0, A1, ... in pages of three; each links to the next through a redirect."""
+
+    def __init__(self, n):
+        self.n, self.titles = n, []
+
+    def __call__(self, params):
+        if "titles" in params:
+            asked = params["titles"].split("|")
+            self.titles.append(len(asked))
+            return {"query": {"redirects": [{"from": t, "to": t.replace("To ", "A")} for t in asked if t.startswith("To ")]}}
+        at = int(params.get("gapcontinue", 0))
+        page = lambda i: {"title": f"a{i}", "revisions": [{"timestamp": f"2026-01-{1 + i:02d}T00:00:00Z", "slots": {"main": {"content": f"'''a{i}''' [[to {i + 1}|next]] [[A{i}]]"}}}]}
+        more = {"continue": {"gapcontinue": str(at + 3)}} if at + 3 < self.n else {}
+        return {"query": {"pages": [page(i) for i in range(at, min(self.n, at + 3))]}} | more
+
+
+def test_wiki_is_pulled_by_its_continue_token(spark):
+    api = Api(8)
+    r = connector.sync(spark, wiki.Wiki(api, batch=2), land)
+    assert (r.ingested, r.pages, r.complete, r.watermark) == (8, 3, True, "2026-01-08T00:00:00Z") and max(api.titles) == 2
+    first = wiki.Wiki(Api(8)).fetch(None).events[0]
+    assert first["relations"] == [("A0", "A1", "links_to")] and first["entities"][0] == ("article", "A0", "public", "a0 next A0")
+    cut = connector.sync(spark, wiki.Wiki(Api(8), ceiling=5), land)
+    assert (cut.ingested, cut.pages, cut.complete, cut.ceilings) == (5, 2, False, 1)
+    exact = connector.sync(spark, wiki.Wiki(Api(6), ceiling=6), land)
+    assert (exact.ingested, exact.complete) == (6, True)
+    late = connector.sync(spark, wiki.Wiki(Api(8)), land, since="2026-01-06T00:00:00Z")
+    assert (late.mode, late.ingested) == ("delta", 2)
+
+
+class Hostile(connector.Connector):
+    """Titles by keyset cursor; each third page fails once; a page over its byte ceiling loses the second half of its window; movers only in a delta."""
+
+    def __init__(self, titles, ceiling=10_000, movers=()):
+        self.titles, self.ceiling, self.movers, self.failed = sorted(titles), ceiling, set(movers), set()
+
+    def fetch(self, cursor, since=None):
+        rest = [t for t in self.titles if (cursor is None or t > cursor) and (since is None or t in self.movers)][:4]
+        if cursor and len(cursor) % 3 == 0 and cursor not in self.failed:
+            self.failed.add(cursor)
+            raise ConnectionError
+        over = sum(map(len, rest)) > self.ceiling
+        kept = rest[: len(rest) // 2] if over else rest
+        events = [{"source": "h", "provenance": t, "occurred_at": "2026-01-01T00:00:00Z", "entities": [("source", t, "public", "")], "relations": []} for t in kept]
+        return connector.Page(events, rest[-1] if rest else cursor, len(rest) < 4, over)
+
+
+def test_hostile_source(spark):
+    titles = [f"t{i:02d}" for i in range(10)]
+    whole = connector.sync(spark, Hostile(titles), land)
+    assert (whole.ingested, whole.complete, whole.errors) == (10, True, 0)
+    lost = connector.sync(spark, Hostile(titles, ceiling=8), land)
+    assert (lost.complete, lost.ceilings) == (False, 2) and lost.ingested < 10
+    moved = connector.sync(spark, Hostile(titles, movers={"t03", "t08"}), land, since="2025-01-01T00:00:00Z")
+    assert (moved.mode, moved.ingested, moved.complete) == ("delta", 2, True)
+
+
 def test_feed_is_dispatched_once_in_lanes(spark, tmp_path):
     rows = [(i, "content_added" if i % 2 else "edge_reinforced", f"k{i % 3}", "{}", f"id{i}") for i in range(1, 21)]
     from evidentia import schema
