@@ -542,3 +542,18 @@ def remove_repeats(docs: DataFrame, k: int = 50, block_bytes: int = BLOCK_BYTES)
 def cleaned(docs: DataFrame, k: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents' columns, with what is left of each text (code points are left whole) and, if there is n_chars, its code points."""
     return _plan(docs, k, block_bytes, True)
+
+
+#: DuckDB SQL of ``remove_repeats`` for passages of 50 bytes: two hexadecimal digits a byte, cut in blocks of 1,000 bytes first.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, pos, substr(part, 2 * (pos % 1000) + 1, 100) AS w FROM 
+  (SELECT doc_id, h, block, substr(h, 2000 * block + 1, 2100) AS part FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS block FROM d)), LATERAL (SELECT unnest(range(block * 1000, least(block * 1000 + 1000, len(h) // 2 - 49))) AS pos) AS starts),
+least_doc AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+hits AS (SELECT doc_id, pos FROM windows JOIN least_doc USING (w) WHERE first < doc_id),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT *, CASE WHEN pos > coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -100) + 50 THEN 1 ELSE 0 END AS fresh FROM hits)),
+spans AS (SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b FROM islands GROUP BY doc_id, island),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM spans),
+cut AS (SELECT d.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM d JOIN gaps USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.operators.iterate import shared_folder
+
 #: Bytes of a batch that goes to Python.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -27,13 +29,10 @@ def text_of(name: str = "text") -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of this session's own only where it names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named)
+    """The shared folder that the cluster names; a folder of this session's own only where a single machine names none."""
+    named = shared_folder(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 

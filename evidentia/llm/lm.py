@@ -36,7 +36,9 @@ from evidentia.llm.common import cut, release, small_batches, text_of
 ALPHA = 0.1
 MIX = 0.6
 BLOCK_BYTES = 8 << 20
-MAX_WORDS = 1_000_000
+#: Words whose hashes a worker remembers, and words scored at a time.
+MAX_WORDS = 300_000
+CHUNK = 1 << 17
 #: Bits that tell words, or pairs, of a part apart.
 _KEY = 40
 _START = np.uint64(0x5851F42D4C957F2D)
@@ -58,9 +60,9 @@ _HASHES = _Hashes()
 
 
 class _Block:
-    """The words of a block's texts, as indexes into its distinct words and pairs."""
+    """The words of a block's texts, as indexes into its distinct words and pairs; without places, the distinct ones alone."""
 
-    def __init__(self, texts: list[str], parts: int) -> None:
+    def __init__(self, texts: list[str], parts: int, places: bool = True) -> None:
         chunks, sizes = [], []
         for t in texts:
             words = t.lower().split()
@@ -68,27 +70,39 @@ class _Block:
             sizes.append(len(words))
         self.sizes = np.array(sizes, np.int64)
         word = np.concatenate(chunks) if chunks else np.zeros(0, np.uint64)
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
+        del chunks
         starts = np.cumsum(self.sizes) - self.sizes
-        before[starts[self.sizes > 0]] = _START
-        pair = (before * _C1) ^ ((word + _C2) * _C3)
+        self.first = np.zeros(len(word), bool)
+        self.first[starts[self.sizes > 0]] = True
+        pair = np.empty_like(word)
+        pair[1:] = word[:-1]
+        pair[self.first] = _START
+        pair *= _C1
+        pair ^= (word + _C2) * _C3
         pair ^= pair >> np.uint64(29)
         pair *= _C2
         pair ^= pair >> np.uint64(32)
         self.at = []
         #: for words and for pairs: the part, key and count of each distinct one, ordered by part and key
         self.distinct = []
-        for code in (word, pair):
+        codes = [word, pair]
+        del word, pair
+        while codes:
+            code = codes.pop(0)
             # the part from the upper half's remainder, the key from the lower half and the eight bits on top
             joint = ((code >> np.uint64(32)) % np.uint64(parts)) << np.uint64(_KEY)
             joint |= (code >> np.uint64(56)) << np.uint64(32) | code & np.uint64(0xFFFFFFFF)
-            unique, at, count = np.unique(joint, return_inverse=True, return_counts=True)
-            self.at.append(at)
+            del code
+            if places:
+                unique, at, count = np.unique(joint, return_inverse=True, return_counts=True)
+                self.at.append(at.astype(np.int32))
+                del at
+            else:
+                joint.sort()
+                edge = np.flatnonzero(np.append(True, joint[1:] != joint[:-1])) if len(joint) else np.zeros(0, np.int64)
+                unique, count = joint[edge], np.diff(np.append(edge, len(joint)))
+            del joint
             self.distinct.append(((unique >> np.uint64(_KEY)).astype(np.int64), unique & np.uint64((1 << _KEY) - 1), count))
-        first = np.zeros(len(word), bool)
-        first[starts[self.sizes > 0]] = True
-        self.first = first
 
     def slices(self, parts_of: np.ndarray) -> dict[int, slice]:
         edge = np.flatnonzero(np.append(True, parts_of[1:] != parts_of[:-1])) if len(parts_of) else np.zeros(0, np.int64)
@@ -122,7 +136,7 @@ _ANSWER = "block long, part long, blob binary, vocabulary long, words_t long, wo
 def _count(parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         release("lm")
-        b = _Block(t.column("text").to_pylist(), parts)
+        b = _Block(t.column("text").to_pylist(), parts, False)
         by = [b.slices(d[0]) for d in b.distinct]
         rows = []
         for p in sorted(by[0].keys() | by[1].keys()):
@@ -200,17 +214,19 @@ def _score(parts: int, stats: dict[str, int], alpha: float, mix: float) -> Calla
                 for kind in (0, 1):
                     if s := by[kind].get(p):
                         counts[kind][0][s], counts[kind][1][s] = got[2 * kind], got[2 * kind + 1]
-            word, pair = ([c[b.at[kind]] for c in counts[kind]] for kind in (0, 1))
-            before = []
-            for c in word:
-                x = np.zeros_like(c)
-                x[1:] = c[:-1]
-                x[b.first] = 0
-                before.append(x)
-            each = losses(tuple(word), tuple(before), tuple(pair), stats, alpha, mix)
-            doc = np.repeat(np.arange(n), b.sizes)
-            means = [np.bincount(doc, e, n) / np.maximum(b.sizes, 1) for e in each]
-            sizes = b.sizes
+            sums, sizes = [np.zeros(n), np.zeros(n)], b.sizes
+            ends = np.cumsum(sizes)
+            for lo in range(0, len(b.first), CHUNK):
+                hi = min(lo + CHUNK, len(b.first))
+                word, pair = ([c[b.at[kind][lo:hi]] for c in counts[kind]] for kind in (0, 1))
+                # the word before; the first of all is a text's first
+                before = [np.where(b.first[lo:hi], 0, c[b.at[0][np.arange(lo, hi) - 1]]) for c in counts[0]]
+                doc = np.searchsorted(ends, np.arange(lo, hi), side="right")
+                for total, each in zip(sums, losses(tuple(word), tuple(before), tuple(pair), stats, alpha, mix), strict=True):
+                    total += np.bincount(doc, each, n)
+            means = [s / np.maximum(sizes, 1) for s in sums]
+            del b, by, counts
+            release("lm")
         else:
             means, sizes = [np.zeros(0), np.zeros(0)], np.zeros(0, np.int64)
         return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "n_words": pa.array(sizes, pa.int64()), "target_loss": means[0], "background_loss": means[1], "score": means[0] - means[1]})
@@ -232,3 +248,29 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, alpha: float =
     stats = {c: total[c] or 0 for c in names}
     answers = answers.filter("block >= 0").select("block", "part", "blob")
     return scored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(blocks, stats, alpha, mix), _RESULT)
+
+
+def _corpus_sql(table: str) -> str:
+    return f"SELECT *, row_number() OVER () AS d, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '') AS ws FROM {table}"
+
+
+def _loss_sql(x: str) -> str:
+    """-ln p of a word w after v under one corpus' model, from the joined counts."""
+    alone = f"((CASE WHEN w.t + w.b < 2 THEN rare_{x} ELSE w.{x} END) + {ALPHA}) / (words_{x} + {ALPHA} * (vocabulary + 1))"
+    return f"-ln(CASE WHEN coalesce(v.{x}, 0) > 0 THEN {MIX} * coalesce(p.{x}, 0) / v.{x} + {1 - MIX} * ({alone}) ELSE {alone} END)"
+
+
+#: DuckDB SQL of ``cross_entropy_difference`` of documents against conversations, with its defaults, rounded to six digits.
+SQL = f"""
+WITH docs AS (SELECT doc_id, d, ws FROM ({_corpus_sql('documents')})),
+tokens AS (
+  SELECT 'b' AS c, d, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM docs
+  UNION ALL SELECT 't', d, unnest(ws), generate_subscripts(ws, 1) FROM ({_corpus_sql('conversations')})),
+after AS (SELECT *, lag(word) OVER (PARTITION BY c, d ORDER BY i) AS before FROM tokens),
+w AS (SELECT word, count(*) FILTER (c = 't') AS t, count(*) FILTER (c = 'b') AS b FROM tokens GROUP BY word),
+p AS (SELECT before, word, count(*) FILTER (c = 't') AS t, count(*) FILTER (c = 'b') AS b FROM after WHERE before IS NOT NULL GROUP BY before, word),
+stats AS (SELECT count(*) FILTER (t + b >= 2) AS vocabulary, sum(t) AS words_t, sum(b) AS words_b, coalesce(sum(t) FILTER (t + b < 2), 0) AS rare_t, coalesce(sum(b) FILTER (t + b < 2), 0) AS rare_b FROM w),
+each AS (SELECT a.d, {_loss_sql('t')} AS lt, {_loss_sql('b')} AS lb FROM after a JOIN w ON w.word = a.word LEFT JOIN w v ON v.word = a.before LEFT JOIN p ON p.before = a.before AND p.word = a.word, stats WHERE a.c = 'b'),
+means AS (SELECT d, avg(lt) AS lt, avg(lb) AS lb FROM each GROUP BY d)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(lt, 0.0), 6) AS target_loss, round(coalesce(lb, 0.0), 6) AS background_loss, round(coalesce(lt - lb, 0.0), 6) AS score FROM docs LEFT JOIN means USING (d)
+"""

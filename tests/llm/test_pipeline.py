@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline as p
 import __spark_entry__ as entry
 
@@ -24,6 +26,19 @@ def test_run_equals_its_stages(spark):
     assert sorted(map(key, whole.collect())) == sorted(map(key, docs.collect()))
 
 
+@pytest.mark.parametrize("name", ["op3_cross_entropy_difference", "op8_sketches", "op10_byte_repeats"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    found = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    want = sorted(found.fetchall())
+    assert sorted(tuple(r) for r in entry.queries()[name](spark, DATA).select(*names).collect()) == want
+
+
 def test_mixing_sql(spark):
     import duckdb
 
