@@ -244,6 +244,19 @@ def test_ranks_of_many_rows_of_one_number(spark):
     assert got == sorted(rows)
 
 
+def test_a_cluster_must_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from evidentia.operators.iterate import shared_folder
+
+    conf = {"spark.sql.warehouse.dir": "/w/"}
+    asked = lambda master, **more: shared_folder(SimpleNamespace(conf=conf | more, sparkContext=SimpleNamespace(master=master, getConf=dict)))
+    assert asked("local[4]") == "/w/_checkpoints" and asked("yarn", **{"spark.checkpoint.dir": "s3://x"}) == "s3://x"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            asked(master)
+
+
 def grouped(pairs):
     root = {("path", p): ("path", p) for p, _ in pairs} | {("node", n): ("node", n) for _, n in pairs}
 
