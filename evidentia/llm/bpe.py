@@ -13,7 +13,7 @@ unfinished code point until the next chunk; the digest of what is decoded is tak
 
 Memory: each Python worker has tables of its own. The trie is one dictionary of edges and two flat arrays; ids
 are remembered packed, four bytes each; states, pairs and words are kept up to fixed numbers and computed
-again beyond, so a worker's tables stay at about 200 MB whatever the texts; a parameter asks for less.
+again beyond, so a worker's tables stay at about 400 MB whatever the texts; a parameter asks for less.
 
 Values: a null text is empty (no ids, the digests of nothing). Any length of text or piece is encoded in
 time proportional to it. Null and repeated doc_ids are handed on, a row for each document; other columns are
@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import frugal, small_batches, text_of
 
-MAX_STATES = 80_000
-MAX_PAIRS = 300_000
-MAX_EDGES = 40_000
+MAX_STATES = 200_000
+MAX_PAIRS = 500_000
+MAX_EDGES = 60_000
 #: Bytes read outside the full table until it is begun anew, for texts of another kind.
 REFRESH = 4_000_000
-MAX_WORDS = 250_000
-MAX_PIECES = 30_000
+MAX_WORDS = 400_000
+MAX_PIECES = 60_000
 #: Longer pieces are not kept.
 KEPT_PIECE = 64
 
@@ -256,6 +256,10 @@ class _Kept(dict):
         self[key] = ids
 
 
+#: Signs that are a match of their own behind a word.
+_SIGNS = frozenset(".,;:!?")
+
+
 class _Words(_Kept):
     """A word between single spaces to the ids of the space and the word.
 
@@ -272,12 +276,15 @@ class _Words(_Kept):
         if (ids := self.old.get(word)) is not None:
             self.keep(word, ids)
             return ids
-        if not word or word[0].isspace() or word[-1].isspace():
+        if word.isalpha():
+            # letters alone are one match with their space
+            ids = array("i", self.pieces.machine.encode(b" " + word.encode())).tobytes()
+        elif word[-1:] in _SIGNS and word[:-1].isalpha():
+            ids = self._match(" " + word[:-1]) + self.pieces[word[-1]]
+        elif not word or word[0].isspace() or word[-1].isspace():
             raise _Unsafe
-        pieces = self.split(" " + word)
-        if len(pieces) == 1:
-            ids = array("i", self.pieces.machine.encode(pieces[0].encode())).tobytes()
         else:
+            pieces = self.split(" " + word)
             # a match that begins with the space is a word of its own, and remembered as one
             ids = b"".join([self._match(p) if p[0] == " " else self.pieces[p] for p in pieces])
         if len(word) <= KEPT_PIECE:
