@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's ids (their number and digest) and the digest of what they decode to."""
     # executors hold what the stages before have touched, too
-    return bpe.round_trip(docs, share=0.4)
+    return bpe.round_trip(docs, share=0.16)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
