@@ -146,42 +146,41 @@ class _Block:
         return flag[at]
 
     def _place(self) -> None:
+        self._found = None
         self.part = (self.value % np.uint64(self.parts)).astype(np.int64)
         self.key = (self.value >> np.uint64(32)).astype(np.uint32)
 
     def _keyed(self, bits: dict[int, bytes]) -> np.ndarray:
         """The runs of the keys that the parts' bits (in the order of ``keys``) name."""
         wanted = np.zeros(len(self.value), bool)
-        order = np.argsort(self.part, kind="stable")
-        sorted_part = self.part[order]
-        for p, (keys, _) in self.keys().items():
-            if (own := bits.get(p)) is None:
+        found = self.keys()
+        for p, own in bits.items():
+            if p not in found or not any(own):
                 continue
-            hit = keys[np.unpackbits(np.frombuffer(own, np.uint8), count=len(keys)).astype(bool)]
-            if len(hit):
-                rows = order[np.searchsorted(sorted_part, p, "left") : np.searchsorted(sorted_part, p, "right")]
-                wanted[rows] = np.isin(self.key[rows], hit)
+            keys, _, rows = found[p]
+            hit = np.unpackbits(np.frombuffer(own, np.uint8), count=len(keys)).astype(bool)
+            # the part's runs are ordered by key, as its keys are
+            wanted[rows] = hit[np.searchsorted(keys, self.key[rows])]
         return np.flatnonzero(wanted)
 
     def many(self) -> dict[int, dict[int, int]]:
         """Each part's keys (by their place among its keys) that several runs have, with the number of their different strings."""
         out: dict[int, dict[int, int]] = {}
-        joint = self.part.astype(np.uint64) << np.uint64(32) | self.key
-        order = np.argsort(joint, kind="stable")
-        edge = np.flatnonzero(np.append(True, joint[order][1:] != joint[order][:-1])) if len(order) else np.zeros(0, np.int64)
-        size = np.diff(np.append(edge, len(order)))
-        found = self.keys()
-        for a, n in zip(edge[size >= _COUNTED].tolist(), size[size >= _COUNTED].tolist(), strict=True):
-            rows = order[a : a + n]
-            p = int(self.part[rows[0]])
-            strings = {self.buffer[f : f + m + self.k - 1] for f, m in zip(self.first[rows].tolist(), self.length[rows].tolist(), strict=True)}
-            out.setdefault(p, {})[int(np.searchsorted(found[p][0], self.key[rows[0]]))] = len(strings)
+        for p, (keys, _, rows) in self.keys().items():
+            place = np.searchsorted(keys, self.key[rows])
+            size = np.bincount(place, minlength=len(keys))
+            for i in np.flatnonzero(size >= _COUNTED).tolist():
+                own = rows[np.searchsorted(place, i) : np.searchsorted(place, i, "right")]
+                strings = {self.buffer[f : f + m + self.k - 1] for f, m in zip(self.first[own].tolist(), self.length[own].tolist(), strict=True)}
+                out.setdefault(p, {})[i] = len(strings)
         return out
 
-    def keys(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Each part's distinct keys, ascending, and whether two documents of this block have them."""
-        out = {}
-        order = np.lexsort((self.key, self.part))
+    def keys(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Each part's distinct keys, ascending, whether two documents of this block have them, and the part's runs ordered by key."""
+        if self._found is not None:
+            return self._found
+        out = self._found = {}
+        order = np.argsort(self.part.astype(np.uint64) << np.uint64(32) | self.key, kind="stable")
         part, key, ids = self.part[order], self.key[order], self.ids[self.doc[order]]
         if not len(part):
             return out
@@ -189,10 +188,11 @@ class _Block:
         new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1])
         at = np.flatnonzero(new)
         twice = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
+        begins = np.append(at, len(order))
         part, key = part[at], key[at]
         edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         for a, b in zip(edge, np.append(edge[1:], len(part)), strict=True):
-            out[int(part[a])] = key[a:b], twice[a:b]
+            out[int(part[a])] = key[a:b], twice[a:b], order[begins[a] : begins[b]]
         return out
 
     def strings(self, repeated: dict[int, bytes]) -> dict[int, tuple[dict[bytes, int], list, list, list]]:
@@ -329,7 +329,7 @@ def _find_keys(k: int, parts: int) -> Callable[[pa.Table], pa.Table]:
         block = t.column("_block")[0].as_py()
         b = _Block(t, k, parts)
         many, rows = b.many(), []
-        for p, (keys, twice) in b.keys().items():
+        for p, (keys, twice, _) in b.keys().items():
             several = many.get(p, {})
             head = np.array([len(keys), len(several)], np.int64).tobytes()
             counts = np.array(list(several), np.uint32).tobytes() + np.array(list(several.values()), np.uint32).tobytes()
