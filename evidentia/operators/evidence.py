@@ -39,7 +39,7 @@ def witnesses(events: DataFrame) -> DataFrame:
     """
     kept = [c for c in ("weight", "reliability", "kind") if c in events.columns]
     # of a merged log, what the surviving edge had comes before what was moved to it
-    moved = [c for c in ("moved",) if c in events.columns]
+    moved = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("moved",) if c in events.columns]
     once = events.groupBy(*EDGE_KEY, "provenance").agg(F.min(F.struct(*moved, "seq", "ts", "origin", *kept)).alias("first"))
     return once.groupBy(*EDGE_KEY, F.coalesce("first.origin", "provenance").alias("witness")).agg(F.min("first").alias("first"))
 

@@ -139,7 +139,7 @@ def merge_evidence(evidence: DataFrame, mapping: DataFrame) -> DataFrame:
     ``moved`` tells events whose edge was another one before: where edges meet, weight, reliability, kind and a
     shared provenance's origin are the surviving edge's.
     """
-    evidence = evidence.withColumn("moved", F.lit(False))
+    evidence = evidence.withColumn("moved", F.coalesce(F.col("moved"), F.lit(False)) if "moved" in evidence.columns else F.lit(False))
     for end in ("src", "dst"):
         m = mapping.select(F.col("id").alias(end), F.col("root").alias("_r"))
         evidence = evidence.join(m, end, "left").withColumn("moved", F.col("moved") | F.coalesce(F.col("_r") != F.col(end), F.lit(False))).withColumn(end, F.coalesce("_r", end)).drop("_r")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evidentia import ports
 from evidentia.config import DEFAULT
 from evidentia.functions import scalars
-from evidentia.operators import changes, content, coordination, embedding, evidence, lifecycle, retrieval, routing, traverse
+from evidentia.operators import changes, content, coordination, embedding, evidence, lifecycle, resolution, retrieval, routing, traverse
 from evidentia.store import Store
 
 #: (query, scopes, limit, owner) to hits (id, type, key, score).
@@ -140,6 +140,27 @@ class Graph:
         found = traverse.reach_log(seeds, self.store.read("evidence"), _now() if as_of is None else as_of, depth if scopes else 0, self.store.read("node"), scopes)
         return traverse.ordered(found.select("id", "confidence", "depth"))
 
+    def audit(self, kind: str, rows: DataFrame) -> None:
+        """Appends a pass' decisions or its summary to the audit, each row as JSON under its kind."""
+        last = self.store.read("audit").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        self.store.append("audit", rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct("*")).alias("payload"), F.lit(last + 1).alias("seq")))
+
+    def resolve(self, degree: DataFrame, confirm: Column, **thresholds) -> DataFrame:
+        """A pass of entity resolution over the store's entities: its decisions and summary are audited, merged ids replaced in the evidence, merges told; the summary."""
+        nodes = self.store.read("node")
+        entities = nodes.filter("type = 'entity' and vec is not null").select("id", "type", "scope", "key", "vec")
+        decided, mapping = resolution.run_pass(entities, degree, confirm, **thresholds)
+        found = resolution.summary(decided)
+        self.audit("entity_resolution", decided)
+        self.audit("entity_resolution_pass", found)
+        moved = mapping.filter("id <> root")
+        if not moved.isEmpty():
+            merged = resolution.merge_evidence(self.store.read("evidence"), mapping)
+            self.store.replace("evidence", merged)
+            self.store.replace("node", nodes.join(moved.select("id"), "id", "left_anti"))
+            self._tell(changes.merges(moved.select(F.col("root").alias("into_id"), F.col("id").alias("alias_id"), F.lit("merged").alias("outcome"), F.col("id").alias("seq"))))
+        return found
+
     def collect_garbage(self, as_of: Column | None = None) -> DataFrame:
         """Removes the events of edges that have evaporated; one row of how many edges there were, went and stayed."""
         log = self.store.read("evidence")
@@ -176,6 +197,25 @@ class EmbedWorker(ports.Worker):
         return counts
 
 
+class Models:
+    """Embedding and generation as callers ask for them, over a model: batches are answered whole or not at all, prompts have a ceiling."""
+
+    def __init__(self, model: ports.Model, namespace: str = "hash-64", ceiling: int = DEFAULT.hard_tokens) -> None:
+        self.model, self.namespace, self.ceiling = model, namespace, ceiling
+
+    def embed(self, texts: list[str]) -> dict:
+        """vectors, namespace and dim; another number of vectors, or of another length, is an error."""
+        vectors = self.model.embed(texts) if texts else []
+        if len(vectors) != len(texts) or len({len(v) for v in vectors}) > 1:
+            raise ValueError("the embedder answered other vectors than it was asked for")
+        return {"vectors": vectors, "namespace": self.namespace, "dim": len(vectors[0]) if vectors else 0}
+
+    def generate(self, model: str, prompt: str, **options) -> str:
+        """The model's text; a prompt beyond the ceiling is refused before any call."""
+        routing.ensure(prompt, self.ceiling)
+        return self.model.complete({"model": model, "prompt": prompt, **options})["text"]
+
+
 class Timer:
     """Runs a job again and again, for instance ``Graph.collect_garbage`` every hour; one that fails is noted and tried again at its next turn."""
 

@@ -19,7 +19,7 @@ _STAMPS = "namespace string, model string, dim int, status string, seq long"
 
 #: Of each schema version, the tables that it adds.
 MIGRATIONS: tuple[tuple[int, dict[str, T.StructType | str]], ...] = (
-    (1, {"node": _NODE, "evidence": T.StructType([*schema.EVIDENCE.fields, T.StructField("reward", T.DoubleType())])}),
+    (1, {"node": _NODE, "evidence": T.StructType([*schema.EVIDENCE.fields, T.StructField("reward", T.DoubleType()), T.StructField("moved", T.BooleanType())])}),
     (2, {"outbox": schema.OUTBOX, "dead_letter": schema.DEAD_LETTER, "stagnant": schema.STAGNANT}),
     (3, {"content": _CONTENT, "chunk": schema.CHUNK}),
     (4, {"node_alias": "type string, alias_key string, canonical_key string, seq long", "schema_meta": _STAMPS}),

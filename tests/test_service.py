@@ -194,6 +194,41 @@ def test_graph_claims_walks_and_collects(spark, filled):
     assert (gone["edges"], gone["reaped"], gone["kept"]) == (2, 2, 0) and filled.read("evidence").count() == 0
 
 
+def test_resolution_is_audited_and_told(spark, store):
+    graph = service.Graph(store)
+    rows = [(1, "entity", "big red planet", "public", "observation", 0.5, NOW), (2, "entity", "red planet", "public", "observation", 0.5, NOW), (3, "entity", "blue sea", "public", "observation", 0.5, NOW)]
+    graph.add_nodes(spark.createDataFrame(rows, NODE))
+    graph.add_edges(spark.createDataFrame([(2, 3, "near", "public", "p", None, 1, NOW, 1.0, 0.5, "observation"), (1, 3, "near", "public", "q", None, 2, NOW, 1.0, 0.9, "observation")], LOG))
+    store.replace("node", embedding.with_vectors(store.read("node"), embedding.embed_keys(store.read("node"))))
+    degree = spark.createDataFrame([(1, 5)], "node long, degree long")
+    done = graph.resolve(degree, F.lit(True), cosine=0.7, jaccard=0.5).first()
+    assert (done.proposed, done.confirmed, done.merged) == (1, 1, 1)
+    assert sorted(r.id for r in store.read("node").collect()) == [1, 3]
+    edge = evidence.fold_edges(store.read("evidence").drop("reward")).collect()
+    assert [(e.src, e.dst, e.seen_count, e.reliability) for e in edge] == [(1, 3, 2, 0.9)]
+    assert [r.kind for r in store.read("audit").orderBy("seq").collect()] == ["entity_resolution", "entity_resolution_pass"]
+    assert store.read("outbox").filter("change = 'node_merged'").first().idem_key == "merge:2->1"
+
+
+def test_models_answer_whole_batches_within_a_ceiling():
+    class Echo(Hashes):
+        def complete(self, request):
+            return {"text": f"{request['model']}:{request['prompt']}"}
+
+    models = service.Models(Echo(), ceiling=4)
+    assert models.embed(["a", "b"])["dim"] == 64 and models.embed([]) == {"vectors": [], "namespace": "hash-64", "dim": 0}
+    assert models.generate("m", "short") == "m:short"
+    with pytest.raises(ValueError, match="exceed"):
+        models.generate("m", "x" * 40)
+
+    class Short(Hashes):
+        def embed(self, texts):
+            return [[1.0]]
+
+    with pytest.raises(ValueError, match="other vectors"):
+        service.Models(Short()).embed(["a", "b"])
+
+
 def test_timer_goes_on_after_a_failure():
     calls = []
 
