@@ -83,7 +83,7 @@ class Core:
         nodes, log = self.store.read("node"), self.store.read("evidence")
         found = routing.status(nodes, log.select(*evidence.EDGE_KEY).distinct(), self.connectors, self.panel)
         stamps = embedding.namespaces(self.store.read("schema_meta")).collect()
-        return found | {"namespaces": [r.asDict() for r in stamps], "capabilities": [*sorted(self.connectors), f"consilium:{len(self.panel)}-model-panel"]}
+        return found | {"namespaces": [r.asDict() for r in stamps], "capabilities": [*sorted(self.connectors), f"panel:{len(self.panel)}-models"]}
 
 
 class Graph:

@@ -163,7 +163,7 @@ def test_core_asks_routes_and_searches(filled):
     assert core.ask("find my order", ["group"], "ann").citations[0]["ref"] == "order 17 of ann"
     assert [h["key"] for h in core.search("fourth planet")] == ["Mars"] and core.search("fourth planet", ["private"]) == []
     state = core.status()
-    assert (state["nodes"], state["edges"], state["capabilities"]) == (3, 2, ["wiki", "consilium:2-model-panel"])
+    assert (state["nodes"], state["edges"], state["capabilities"]) == (3, 2, ["wiki", "panel:2-models"])
     assert [(n["namespace"], n["dim"], n["status"]) for n in state["namespaces"]] == [("hash-64", 64, "pending")]
     whole = core.answer("fourth planet", as_of=at())
     assert [(r.key, r.confidence) for r in whole.memories.collect()] == [("Mars", pytest.approx(0.8))] and [r.id for r in whole.expanded.collect()] == [2]
