@@ -68,7 +68,9 @@ def reach_log(seeds: DataFrame, log: DataFrame, as_of: Column, depth: int, nodes
         n = starts.count()
         if not n:
             break
+        # read once, for the fold and the rewards: the events of the edges that the level reaches
         some = log.join(F.broadcast(starts) if n <= FRONTIER else starts, "src", "left_semi")
+        some = checkpointed(some.hint("rebalance"))
         hop = hops(evidence.fold_edges(some.drop("reward"), some), as_of, nodes, scopes)
         best = frontier.join(hop, "src").groupBy("seed", F.col("dst").alias("id")).agg(F.max(F.col("confidence") * F.col("factor")).alias("candidate"))
         state = _level(state, best, level)
