@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evidentia import schema
 from evidentia.functions import scalars
 from evidentia.operators import confidence, content, coordination, enrichment, evaluation, evidence, ingest, lifecycle, resolution, retrieval, routing, traverse
+from evidentia.operators.iterate import checkpointed
 from evidentia.plans import views
 from evidentia.sources import connector
 
@@ -414,7 +415,8 @@ def memories_collapse(t: Tables) -> DataFrame:
 @query(f"WITH {fused_sql(3.0, 1.0)}{_MEMORY}, {ev('supplies')}, {FOLD}, {corroboration_sql()}, node AS ({views.NODES['part']}) SELECT m.node_id, n.type, n.key, round(m.relevance, 4) AS relevance, round(coalesce(c.confidence, n.reliability), 6) AS confidence FROM memory m JOIN node n ON n.id = 5000000000 + m.node_id LEFT JOIN corr c ON c.node = n.id")
 def memory_identity(t: Tables) -> DataFrame:
     log = t.events_of("supplies")
-    found = _memories(t).withColumn("node_id", F.lit(5_000_000_000) + F.col("node_id"))
+    # found once, for the ids and for the answer
+    found = checkpointed(_memories(t).withColumn("node_id", F.lit(5_000_000_000) + F.col("node_id")))
     # as many memories as the arms' candidates at most
     corr = confidence.corroboration_of_log(log, as_of(), ids=F.broadcast(found.select(F.col("node_id").alias("node"))))
     named = retrieval.identified(found, t.nodes("part"), corr)
