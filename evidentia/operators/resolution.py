@@ -17,46 +17,75 @@ from evidentia.operators.iterate import checkpointed, components
 
 
 #: Entities of a tile's side.
-TILE = 1024
+TILE = 4096
+#: Rows of a tile whose products are held at once.
+STRIP = 512
+#: Products of a tile that cost about as much as one pair that a join brings together.
+CHEAPER = 50
 
 
-def scored_pairs(entities: DataFrame, cosine: float = DEFAULT.pair_cosine, best: int | None = None) -> DataFrame:
+def scored_pairs(entities: DataFrame, cosine: float = DEFAULT.pair_cosine, best: int | None = None, jaccard: float | None = None) -> DataFrame:
     """(type, scope, left_id, left_key, right_id, right_key, cosine) of entities (id, type, scope, key, vec) of one type and scope.
 
     A (type, scope) is cut into blocks of about ``TILE`` entities, and each two blocks are one task's matrix
-    product; with ``best`` a tile gives no more than its so many closest pairs.
+    product; with ``best`` a tile gives no more than its so many closest pairs, with ``jaccard`` only those whose
+    keys share enough words, and how many as ``lex`` (keys without words share none).
     """
-    rows = entities.filter("vec is not null").select("type", "scope", "id", "key", F.col("vec").cast("array<double>").alias("vec"))
+    kind = {f.name: f.dataType.simpleString() for f in entities.schema}
+    vec = F.col("vec") if kind["vec"] in ("array<float>", "array<double>") else F.col("vec").cast("array<double>")
+    words = [] if jaccard is None else [F.coalesce(scalars.word_set(F.col("key")), F.array().cast("array<string>")).alias("_w")]
+    rows = entities.filter("vec is not null").select("type", "scope", "id", "key", vec.alias("vec"), *words)
     sizes = rows.groupBy("type", "scope").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_blocks"))
     rows = rows.join(sizes, ["type", "scope"]).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks").cast("long")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("type", "scope", "id", "key", "vec", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    kind = {f.name: f.dataType.simpleString() for f in entities.schema}
-    schema = f"type {kind['type']}, scope {kind['scope']}, left_id {kind['id']}, left_key {kind['key']}, right_id {kind['id']}, right_key {kind['key']}, cosine double"
+    rows = rows.select("type", "scope", "id", "key", "vec", *["_w" for _ in words], "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    schema = f"type {kind['type']}, scope {kind['scope']}, left_id {kind['id']}, left_key {kind['key']}, right_id {kind['id']}, right_key {kind['key']}, cosine double" + ("" if jaccard is None else ", lex double")
+
+    def closest(pairs: pa.Table) -> pa.Table:
+        if best is None or len(pairs) <= best:
+            return pairs
+        ranked = pairs.append_column("_r", pa.array(np.round(pairs.column("cosine").to_numpy(), 12)))
+        return pairs.take(pc.sort_indices(ranked, [("_r", "descending"), ("left_id", "ascending"), ("right_id", "ascending")])[:best])
 
     def tile(t: pa.Table) -> pa.Table:
         sides = [t.filter(pc.equal(t.column("_own"), t.column(c)[0])) for c in ("_i", "_j")]
-        unit = []
+        one = t.column("_i")[0] == t.column("_j")[0]
+        unit, sets = [], []
         for s in sides:
-            v = np.array(s.column("vec").to_pylist(), float).reshape(len(s), -1)
+            v = s.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(s), -1)
             length = np.linalg.norm(v, axis=1, keepdims=True)
             unit.append(np.divide(v, length, out=np.zeros_like(v), where=length > 0))
-        near = unit[0] @ unit[1].T
-        a, b = np.nonzero(near >= cosine)
-        found = pa.table({f"{p}_{c}": s.column(c).take(pa.array(i)) for p, s, i in (("a", sides[0], a), ("b", sides[1], b)) for c in ("id", "key")} | {"cosine": pa.array(near[a, b])})
-        # within one block each pair is met twice, and each entity meets itself
-        turned = pc.greater(found.column("a_id"), found.column("b_id"))
-        if sides[0].column("_own")[:1] == sides[1].column("_own")[:1]:
-            found = found.filter(pc.less(found.column("a_id"), found.column("b_id")))
+            if jaccard is not None:
+                # one number for each set of words
+                found: dict[tuple, int] = {}
+                sets.append((np.array([found.setdefault(tuple(sorted(w)), len(found)) for w in s.column("_w").to_pylist()], np.int64), [frozenset(x) for x in found]))
+
+        def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            (left, of), (right, at) = sets
+            met, where = np.unique(left[a] * len(at) + right[b], return_inverse=True)
+            x, y = ([side[i] for i in part.tolist()] for side, part in ((of, met // max(1, len(at))), (at, met % max(1, len(at)))))
+            return np.array([len(p & q) / max(1, len(p | q)) for p, q in zip(x, y, strict=True)], float)[where]
+
+        pieces = []
+        for start in range(0, max(1, len(sides[0])), STRIP):
+            near = unit[0][start : start + STRIP] @ unit[1].T
+            a, b = np.nonzero(near >= cosine)
+            value, a = near[a, b], a + start
+            if one:
+                # each pair is met twice here, and each entity meets itself
+                keep = (a < b) & pc.not_equal(sides[0].column("id").take(pa.array(a)), sides[1].column("id").take(pa.array(b))).to_numpy()
+                a, b, value = a[keep], b[keep], value[keep]
+            lex = None if jaccard is None else alike(a, b)
+            if lex is not None:
+                keep = lex >= jaccard
+                a, b, value, lex = a[keep], b[keep], value[keep], lex[keep]
+            found = pa.table({f"{p}_{c}": s.column(c).take(pa.array(i)) for p, s, i in (("a", sides[0], a), ("b", sides[1], b)) for c in ("id", "key")} | {"cosine": pa.array(value)})
             turned = pc.greater(found.column("a_id"), found.column("b_id"))
-        pick = lambda x, y, c: pc.if_else(turned, found.column(f"{x}_{c}"), found.column(f"{y}_{c}"))
-        out = {"type": pa.array([t.column("type")[0].as_py()] * len(found), t.schema.field("type").type), "scope": pa.array([t.column("scope")[0].as_py()] * len(found), t.schema.field("scope").type)}
-        out |= {"left_id": pick("b", "a", "id"), "left_key": pick("b", "a", "key"), "right_id": pick("a", "b", "id"), "right_key": pick("a", "b", "key"), "cosine": found.column("cosine")}
-        pairs = pa.table(out)
-        if best is not None and len(pairs) > best:
-            ranked = pairs.append_column("_r", pa.array(np.round(pairs.column("cosine").to_numpy(), 12)))
-            pairs = pairs.take(pc.sort_indices(ranked, [("_r", "descending"), ("left_id", "ascending"), ("right_id", "ascending")])[:best])
-        return pairs
+            pick = lambda x, y, c: pc.if_else(turned, found.column(f"{x}_{c}"), found.column(f"{y}_{c}"))  # noqa: E731, B023
+            out = {"type": pa.array([t.column("type")[0].as_py()] * len(found), t.schema.field("type").type), "scope": pa.array([t.column("scope")[0].as_py()] * len(found), t.schema.field("scope").type)}
+            out |= {"left_id": pick("b", "a", "id"), "left_key": pick("b", "a", "key"), "right_id": pick("a", "b", "id"), "right_key": pick("a", "b", "key"), "cosine": found.column("cosine")} | ({} if lex is None else {"lex": pa.array(lex)})
+            pieces.append(closest(pa.table(out)))
+        return closest(pa.concat_tables(pieces))
 
     return rows.groupBy("type", "scope", "_i", "_j").applyInArrow(tile, schema)
 
@@ -75,7 +104,8 @@ def with_jaccard(pairs: DataFrame) -> DataFrame:
 def propose(entities: DataFrame, aliases: DataFrame | None = None, cosine: float = DEFAULT.pair_cosine, jaccard: float = DEFAULT.pair_jaccard, max_pairs: int | None = DEFAULT.max_pairs) -> DataFrame:
     """Candidate pairs: the closest ``max_pairs`` by cosine, of these the ones whose keys share enough words.
 
-    Without ``max_pairs`` pairs are blocked by a shared word of the key: with a jaccard above 0 this loses none.
+    Without ``max_pairs`` and with a jaccard above 0 a pair shares one of its keys' rarer words: pairs are blocked by
+    these where that is less work than all pairs' products in tiles. Neither way loses one.
     """
     if max_pairs is None and jaccard > 0:
         return _blocked(entities, aliases, cosine, jaccard)
@@ -96,6 +126,13 @@ def _blocked(entities: DataFrame, aliases: DataFrame | None, cosine: float, jacc
     kept = rare.join(counts, "w").groupBy("id", "type", "scope", "_n").agg(F.sort_array(F.collect_list(F.struct("_c", "w"))).alias("_l"))
     prefix = F.slice("_l", 1, F.greatest(F.lit(1), F.col("_n") - F.ceil(F.col("_n") * F.lit(jaccard)).cast("int") + 1))
     blocks = kept.select("id", "type", "scope", F.explode(prefix).alias("p")).select("id", "type", "scope", "p.w")
+    # as many pairs as words bring together, against all that there are
+    pairs_in = lambda rows, *by: rows.groupBy(*by).agg(F.count("*").cast("double").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0))).first()[0]
+    if pairs_in(blocks, "type", "scope", "w") * CHEAPER > pairs_in(entities, "type", "scope"):
+        pairs = scored_pairs(entities, cosine, None, jaccard)
+        if aliases is not None:
+            pairs = without_known(pairs, aliases)
+        return pairs
     a = blocks.select("type", "scope", "w", F.col("id").alias("left_id"))
     b = blocks.select("type", "scope", "w", F.col("id").alias("right_id"))
     meet = a.join(b, ["type", "scope", "w"]).filter("left_id < right_id").select("type", "scope", "left_id", "right_id").distinct()

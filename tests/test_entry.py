@@ -60,3 +60,46 @@ def test_titles_of_letters_without_a_plain_capital(spark, tmp_path):
     texts = ["ßheit, | x", "ŉ b", "ﬁne day", "ᾳ b", "ǆ b", "a\x0bb c", "a__b c", " a b", "　a b c", "", "x", "100% #1", "_ _"]
     got, want = _alike(spark, tmp_path, "canonical_titles", documents=pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
     assert got == want
+
+
+def test_customers_in_few_jobs(spark, tmp_path):
+    import pandas as pd
+
+    keys = [k for k in range(1, 60_000) if k % 7000 > 2]
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few-jobs", "sync")
+    try:
+        got, want = _alike(spark, tmp_path, "sync_report", customer=pd.DataFrame({"c_custkey": keys}))
+        jobs = before.getJobIdsForGroup("few-jobs")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # 60 pages
+    assert got == want and len(jobs) < 60
+
+
+@pytest.mark.parametrize("name", ["er_jaccard", "er_survivor"])
+def test_pairs_of_few_words_are_products_of_tiles(spark, tmp_path, monkeypatch, name):
+    import numpy as np
+    import pandas as pd
+    from evidentia.operators import resolution
+
+    asked, plain = [], resolution.scored_pairs
+    monkeypatch.setattr(resolution, "TILE", 100)
+    monkeypatch.setattr(resolution, "STRIP", 16)
+    monkeypatch.setattr(resolution, "scored_pairs", lambda *a: asked.append(a) or plain(*a))
+    chance = np.random.default_rng(5)
+    rows = pd.DataFrame({"vec_id": range(400), "label": chance.integers(0, 30, 400).astype("int32"), "embedding": list(chance.normal(size=(400, 8)).astype("float32"))})
+    got, want = _alike(spark, tmp_path, name, embeddings=rows)
+    assert got == want and len(got) > 1000 and asked
+
+
+def test_pairs_by_rare_words_and_by_tiles_are_the_same(spark, monkeypatch):
+    from evidentia.operators import resolution
+
+    keys = ["red car", "Red  car!", "blue car", "", None, "a", "red car two", "blue van", "red"]
+    df = spark.createDataFrame([(i, "t", "public", k, [1.0, float(i % 3)] if i != 8 else None) for i, k in enumerate(keys * 3)], "id long, type string, scope string, key string, vec array<double>")
+    found = []
+    for cheaper in (0, 1e9):
+        monkeypatch.setattr(resolution, "CHEAPER", cheaper)
+        found.append(sorted((r.left_id, r.right_id, r.left_key, r.right_key, round(r.cosine, 9), r.lex) for r in resolution.propose(df, None, 0.3, 0.5, None).collect()))
+    assert found[0] == found[1] and len(found[0]) > 20
