@@ -19,6 +19,8 @@ from evidentia.functions import scalars
 
 #: Events of a stream that are landed at a time.
 PAGE = 10_000
+#: Events that are landed together: a landing's jobs cost the same for one page as for many.
+LANDED = 50_000
 
 
 @dataclass
@@ -99,8 +101,32 @@ def later(a: str | None, b: str | None) -> str | None:
     return b if datetime.fromisoformat(b) > datetime.fromisoformat(a) else a
 
 
+def _gathered(found: Iterator[Page]) -> Iterator[list[dict]]:
+    """The events of whole pages, about ``LANDED`` together; what was gathered before a failure comes before it."""
+    held: list[dict] = []
+    failed = None
+    while failed is None:
+        try:
+            page = next(found)
+        except StopIteration:
+            break
+        except Exception as e:  # noqa: BLE001  raised again once the pages before it are landed
+            failed = e
+            break
+        held += page.events
+        if len(held) >= LANDED:
+            yield held
+            held = []
+    if held:
+        yield held
+    if failed is not None:
+        raise failed
+
+
 def sync(spark: SparkSession, connector: Connector, land: Callable[[DataFrame], DataFrame], since: str | None = None, retries: int = 2, expected_total: int | None = None) -> Report:
-    """Pulls a source page by page; ``land`` ingests a page and answers its outcomes (provenance, outcome).
+    """Pulls a source page by page; ``land`` ingests whole pages, of about ``LANDED`` events together, and answers their outcomes (provenance, outcome).
+
+    What came before a source fails is landed.
 
     The watermark is the latest instant of written events, as the source writes it. A complete run that brought fewer events than the
     source declares, or the caller expects, is incomplete.
@@ -113,10 +139,8 @@ def sync(spark: SparkSession, connector: Connector, land: Callable[[DataFrame],
     else:
         raise TypeError("a connector fetches pages or streams events")
     offset = 0
-    for page in found:
-        if not page.events:
-            continue
-        rows = [{**e, "seq": offset + i} for i, e in enumerate(page.events)]
+    for events in _gathered(found):
+        rows = [{**e, "seq": offset + i} for i, e in enumerate(events)]
         offset += len(rows)
         df = spark.createDataFrame([tuple(e.get(f.name) for f in schema.EVENT) for e in rows], schema.EVENT)
         got = land(df).join(df.select("seq", "occurred_at"), "seq").groupBy("outcome").agg(F.count("*").alias("n"), F.max_by("occurred_at", scalars.utc_timestamp(F.col("occurred_at"))).alias("last")).collect()
