@@ -7,17 +7,17 @@ bits of three-word shingles, repeats included, and links at 3 differing bits; th
 Index: fingerprints meet in cells, one for each table and value of the table's bits. For the query the tables
 are exact: of so many blocks that all but three must agree, each choice of the agreeing ones is a table, and
 there are more and longer ones the more fingerprints there are. For near copies a table is a fixed choice of
-bits, as many that a cell holds some dozens of fingerprints, and there are so many tables that a pair of a
+bits, as many that a cell holds some hundreds of fingerprints, and there are so many tables that a pair of a
 Jaccard coefficient of 0.8 misses all of them with probability ``MISS`` (less above 0.8). In a cell the
 fingerprints are sorted by Gray rank, in which those that share leading bits stand together. The shared
 leading patterns form the upper nodes; a pair of nodes is followed only while the differences counted so far
 stay within the limit, and not at all once all below both is known to be in one component; so whole groups
-are pruned. A cell of more than ``CELL`` fingerprints is cut into shares, and each two shares meet in a task
+are pruned. A cell of more than ``CELL`` fingerprints (for near copies ``NEAR_TIMES`` as many) is cut into shares, and each two shares meet in a task
 of their own, but for shares of one component; so no task holds an unbounded group and no pair is left out.
 
 Groups of copies: equal fingerprints (for near copies: equal sets of shingles) are one vertex from the start.
 Before pairs are searched, the rows of a cell meet its hubs only (the row with the most copies, and one by
-chance), which joins a large group by a number of pairs in proportion to it.
+chance; for near copies in the first tables), which joins a large group by a number of pairs in proportion to it.
 
 Near copies are decided by the sets themselves: a candidate pair (up to ``REACH`` of 128 bits apart) is a link
 if the sets' Jaccard coefficient is 0.8 or more. A parity of the sets rules out most others without them.
@@ -53,10 +53,14 @@ AGREE = 1 - math.acos(8 / 9) / math.pi
 MISS = 0.01
 #: Tables whose cells have a hub by chance, too.
 HUB_TABLES = 4
+#: Tables in which near copies meet hubs; a pair that meets in another one only is left to the search of all pairs.
+NEAR_HUB_TABLES = 8
 #: Bits of a set's parity.
 PARITY = 1024
 #: Fingerprints of a cell that meet in one task.
 CELL = 512
+#: So many times as many for near copies, of which fewer and larger cells are made: each table is one more copy of all rows in an exchange.
+NEAR_TIMES = 8
 #: Rows of a task's index, before the copies that large cells add.
 SHARD = 1 << 15
 #: Rows of two longs up to which a table is broadcast.
@@ -259,7 +263,7 @@ def exact_tables(bits: int, n: int) -> np.ndarray:
 
 def likely_tables(n: int) -> np.ndarray:
     """Masks (table, word) of 128 bits for near copies among n fingerprints, the same for the same n."""
-    width = max(10, math.ceil(math.log2(max(n, 2))) - 6)
+    width = max(10, math.ceil(math.log2(max(n, 2))) - 9)
     number = math.ceil(math.log(MISS) / math.log(1 - AGREE**width))
     chance = np.random.default_rng(128)
     out = np.zeros((number, 128), np.uint8)
@@ -317,13 +321,14 @@ def _to_hubs(rows: DataFrame, words: list[str], bits: int) -> DataFrame:
     return found.select(F.least("r.node", "h.node").alias("u"), F.greatest("r.node", "h.node").alias("v")).distinct()
 
 
-def _meeting(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+def _meeting(rows: DataFrame, heavy: DataFrame, most: int) -> DataFrame:
     """The rows with i and j: a cell's rows that meet in one task; the shares of a heavy cell in pairs, but for shares of one label."""
     light = rows.join(heavy, "cell", "left_anti").withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
-    inside = rows.join(heavy.select("cell"), "cell", "left_semi")
+    # read several times, made once
+    inside = cut(rows.join(heavy.select("cell"), "cell", "left_semi"))
     sizes = inside.groupBy("cell", "label").agg(F.count("*").alias("n"))
-    large = sizes.filter(F.col("n") > CELL).select("cell", "label", F.ceil(F.col("n") / CELL).cast("int").alias("own"))
-    rest = sizes.filter(F.col("n") <= CELL).groupBy("cell").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("pool"))
+    large = sizes.filter(F.col("n") > most).select("cell", "label", F.ceil(F.col("n") / most).cast("int").alias("own"))
+    rest = sizes.filter(F.col("n") <= most).groupBy("cell").agg(F.ceil(F.sum("n") / most).cast("int").alias("pool"))
     name = lambda of, share: F.xxhash64(of, share)
     shares = large.select("cell", F.col("label").alias("of"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("k")).unionByName(rest.select("cell", F.lit(None).cast("long").alias("of"), F.explode(F.sequence(F.lit(0), F.col("pool") - 1)).alias("k")))
     shares = shares.select("cell", "of", name(F.col("of"), F.col("k")).alias("share"))
@@ -366,20 +371,19 @@ def link_components(prints: DataFrame, bits: int, tables: np.ndarray, decide: Ca
 
     With n and p0, ... (a set's size and parity) pairs that these rule out are not asked for.
     """
-    words, total = _words(prints), prints.count()
+    words, total, most = _words(prints), prints.count(), CELL if decide is None else NEAR_TIMES * CELL
     plain = prints.withColumn("label", F.col("node"))
-    rows = _celled(plain, tables)
-    heavy = cut(rows.groupBy("cell").count().filter(F.col("count") > CELL).select("cell"))
+    heavy = cut(_celled(prints.select(*words), tables).groupBy("cell").count().filter(F.col("count") > most).select("cell"))
     edges, labelled = None, plain
     if decide is not None or not heavy.isEmpty():
         # where pairs are links by themselves, only the rows of heavy cells need hubs
-        narrow = rows.select("cell", "at", "node", "copies", *words)
+        narrow = _celled(prints.select("node", "copies", *words), tables if decide is None else tables[:NEAR_HUB_TABLES])
         hubs = _to_hubs(narrow if decide is not None else narrow.join(heavy, "cell", "left_semi"), words, bits)
         edges = decide(hubs) if decide is not None else cut(hubs)
         roots = components(edges)
         labelled = plain.join(roots, "node", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
     rows = _celled(labelled, tables)
-    met = rows.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")}) if heavy.isEmpty() else _meeting(rows, heavy)
+    met = rows.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")}) if heavy.isEmpty() else _meeting(rows, heavy, most)
     found = _pairs(met, words, bits, len(tables) * total, decide is None)
     found = decide(found) if decide is not None else found
     return components(found if edges is None else edges.unionByName(found))

@@ -195,6 +195,33 @@ def test_representatives_against_brute_force(spark, monkeypatch, cell, small):
     assert want <= kept and len(kept) <= len(want) + 0.02 * (len(texts) - len(want))
 
 
+def test_representatives_where_cells_are_cut_into_shares(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "NEAR_TIMES", 1)
+    test_representatives_against_brute_force(spark, monkeypatch, 8, 0)
+
+
+def test_tables_of_near_copies_grow_slowly():
+    """Each table is a copy of all fingerprints in an exchange."""
+    tables = [len(simhash.likely_tables(n)) for n in (40_000, 200_000, 12_000_000)]
+    assert tables[0] == tables[1] and tables[2] <= 2.5 * tables[0]
+
+
+def test_rounds_of_components_send_no_table_through_the_driver(spark, monkeypatch):
+    from evidentia.operators import iterate
+
+    plans = []
+    plain = iterate.checkpointed
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(iterate, "checkpointed", kept)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "u long, v long")
+    assert {r.root for r in iterate.components(edges).collect()} == {0, 50}
+    assert len(plans) > 1 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_representatives_of_repeated_rows(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
     df = docs(spark, [a, a, b, c, c + " more", a, a], [1, 2, 2, 2, 3, 1, None])
